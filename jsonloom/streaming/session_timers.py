@@ -1,4 +1,7 @@
-"""Sessions by keyed timers: the state of a key is its open session, and an event-time timer ends it."""
+"""Sessions by keyed timers: the state of a key is its open session, and an event-time timer ends it.
+
+Keys are hashed to key groups. Spark's stateful operator runs once a group; the group's state holds the
+open session of each of its keys and the queue of their timers."""
 
 from __future__ import annotations
 
@@ -18,7 +21,8 @@ from jsonloom.session import fresh_path
 END_OF_INPUT_S = 9_183_024_000
 
 PARTIAL = "key_ string, start_s bigint, end_s bigint, events bigint, types string"
-STATE = "spans string"
+STATE = "open string"
+KEYS_A_GROUP = 500
 
 
 def partial_sessions(events: DataFrame, key: Column, instant_s: Column, kind: Column | None, gap_s: int, chunk_s: int) -> DataFrame:
@@ -55,65 +59,87 @@ def _merged(a: list[Any], b: list[Any]) -> None:
 
 
 def session_updater(gap_s: int, bounded: bool):
-    """The function of the stateful operator.
-
-    Ordered updates open a session or extend the open one and reset its timer to the end + gap; the
-    timer's expiry emits what is final. With ``bounded`` (all of a key's runs come in one batch) a
-    session ends as soon as a later one opens; otherwise late runs may still join sessions, and one
-    is final only when the watermark has passed its end + gap."""
-
-    def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spans: list[list[Any]] = json.loads(state.get[0]) if state.exists else []
-        done: list[list[Any]] = []
-        if state.hasTimedOut:
-            mark = state.getCurrentWatermarkMs()
-        else:
-            for pdf in batches:
-                spans.extend(
-                    [s, e, n, None if t is None else json.loads(t)]
-                    for s, e, n, t in zip(pdf["start_s"].tolist(), pdf["end_s"].tolist(), pdf["events"].tolist(), pdf["types"].tolist(), strict=True)
-                )
-            mark = state.getCurrentWatermarkMs()
-        if key[0] is None:
-            return
-        spans.sort(key=lambda x: (x[0], x[1]))
-        open_: list[list[Any]] = []
-        for x in spans:
-            if open_ and x[0] - open_[-1][1] <= gap_s:
-                _merged(open_[-1], x)
-                continue
-            if bounded and open_:
-                done.append(open_.pop())
-            open_.append(x)
-        if not bounded or state.hasTimedOut:
-            final = [bounded or min(x[1] + gap_s, END_OF_INPUT_S - 1) * 1000 < mark for x in open_]
-            done += [x for x, f in zip(open_, final, strict=True) if f]
-            open_ = [x for x, f in zip(open_, final, strict=True) if not f]
-        if open_:
-            state.update((json.dumps(open_),))
-            state.setTimeoutTimestamp(max(min(open_[0][1] + gap_s, END_OF_INPUT_S - 1) * 1000, mark, 0) + 1)
+    """The function of the stateful operator, for one group of keys.
+
+    The state holds the group's open sessions by key; each has a timer at its end + gap, and the
+    group's timer is the earliest of them. Updates, taken in order of time, open a key's session or
+    extend it and so reset its timer; expiry emits what is final and waits for the next timer. With
+    ``bounded`` (all runs of a key come in one batch) a session ends as soon as a later one of its
+    key opens; otherwise late runs may still join, and only the watermark makes a session final."""
+
+    def update(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[list[Any]]] = json.loads(state.get[0]) if state.exists else {}
+        mark = state.getCurrentWatermarkMs()
+        done: list[tuple[str, list[Any]]] = []
+        if not state.hasTimedOut:
+            runs = [r for pdf in batches for r in zip(*(pdf[c].tolist() for c in ("key_", "start_s", "end_s", "events", "types")), strict=True)]
+            if pd.isna(group[0]):  # the marker that ends the input
+                return
+            runs.sort(key=lambda r: (r[0], r[1], r[2]))
+            for key, start, end, events, types in runs:
+                run = [start, end, events, None if types is None else json.loads(types)]
+                spans = held.setdefault(key, [])
+                if bounded:
+                    if spans and start - spans[0][1] > gap_s:
+                        done.append((key, spans.pop()))
+                    if spans:
+                        _merged(spans[0], run)
+                    else:
+                        spans.append(run)
+                else:
+                    spans.append(run)
+                    spans.sort(key=lambda x: (x[0], x[1]))
+                    joined = [spans[0]]
+                    for x in spans[1:]:
+                        if x[0] - joined[-1][1] <= gap_s:
+                            _merged(joined[-1], x)
+                        else:
+                            joined.append(x)
+                    held[key] = joined
+        if state.hasTimedOut or not bounded:
+            for key, spans in list(held.items()):
+                final = [x for x in spans if _timer(x[1] + gap_s) < mark]
+                if final:
+                    done += [(key, x) for x in final]
+                    held[key] = [x for x in spans if _timer(x[1] + gap_s) >= mark]
+                    if not held[key]:
+                        del held[key]
+        if held:
+            state.update((json.dumps(held),))
+            state.setTimeoutTimestamp(max(min(_timer(x[1] + gap_s) for spans in held.values() for x in spans), mark) + 1)
         elif state.exists:
             state.remove()
         if done:
             yield pd.DataFrame(
                 {
-                    "key_": [key[0]] * len(done), "start_s": [x[0] for x in done], "end_s": [x[1] for x in done], "events": [x[2] for x in done],
-                    "types": [None if x[3] is None else json.dumps(x[3], sort_keys=True) for x in done],
+                    "key_": [k for k, _ in done], "start_s": [x[0] for _, x in done], "end_s": [x[1] for _, x in done], "events": [x[2] for _, x in done],
+                    "types": [None if x[3] is None else json.dumps(x[3], sort_keys=True) for _, x in done],
                 }
             )
 
     return update
 
 
-def session_stream(partials: DataFrame, gap_s: int, *, late_s: int = 0, bounded: bool = False) -> DataFrame:
+def _timer(at_s: int) -> int:
+    """The moment of a timer, in ms; within what a watermark can pass."""
+    return max(0, min(at_s, END_OF_INPUT_S - 1)) * 1000
+
+
+def session_stream(partials: DataFrame, gap_s: int, *, key_groups: int = 1024, late_s: int = 0, bounded: bool = False) -> DataFrame:
     """Streaming DataFrame of partial sessions (``PARTIAL``) -> streaming DataFrame of final ones.
 
+    key_groups: keys are hashed to so many groups, each a state row with its own queue of timers (a
+        call of the stateful function costs far more than a key). Choose it so that a group has at
+        most some thousand keys with an open session.
     late_s: how far behind the newest event one may still come; later ones are dropped by Spark's
-    watermark, which is what ends sessions at all."""
+        watermark, which is what ends sessions at all."""
     at = F.least(F.greatest(F.col("end_s"), F.lit(0)), F.lit(END_OF_INPUT_S))
-    marked = partials.withColumn("at_", F.timestamp_seconds(at)).withWatermark("at_", f"{late_s} seconds")
-    return marked.groupBy("key_").applyInPandasWithState(
-        session_updater(gap_s, bounded), PARTIAL, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    group = F.pmod(F.xxhash64("key_"), F.lit(key_groups))
+    marked = partials.withColumn("at_", F.timestamp_seconds(at)).withColumn("group_", F.when(F.col("key_").isNotNull(), group))
+    return (
+        marked.withWatermark("at_", f"{late_s} seconds")
+        .groupBy("group_")
+        .applyInPandasWithState(session_updater(gap_s, bounded), PARTIAL, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -146,13 +172,15 @@ def sessions(
         F.lit(0).cast("bigint").alias("events"), F.lit(None).cast("string").alias("types"),
     )
     folded.unionByName(end).write.parquet(f"{work}/partials")
+    keys = spark.read.schema(PARTIAL).parquet(f"{work}/partials").agg(F.approx_count_distinct("key_")).first()[0]
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_A_GROUP)
     stream = spark.readStream.schema(PARTIAL).parquet(f"{work}/partials")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, state_store)
     try:
         query = (
-            session_stream(stream, gap_s, bounded=True)
+            session_stream(stream, gap_s, key_groups=groups, bounded=True)
             .writeStream.format("parquet")
             .option("checkpointLocation", f"{work}/progress")
             .option("path", f"{work}/sessions")
