@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.text import normal_form
+from jsonloom.operators.redelivery import quoted, spare_names
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SMALL_TARGETS = 10_000  # a target table of more rows isn't broadcast
@@ -111,18 +112,21 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mixture(documents: DataFrame, rates: DataFrame, *, key: str = "doc_id", seed: int = 7) -> DataFrame:
     """``documents`` (with source in normal form) times their rate, numbered by ``copy`` from 1.
 
-    Every document comes floor(rate) times, and once more if a hash of (key, seed) falls below the
+    Documents: (doc_id, source, ...), any more columns but ``copy`` (ValueError). A NULL key draws like any
+    other value, repeated keys draw alike. Every document comes floor(rate) times, and once more if a hash of (key, seed) falls below the
     fraction: the same draw on every run, whatever the partitioning. Documents of other sources, and of
     sources with rate 0, don't come. Nothing is exchanged: the rates join by broadcast (their number is
     checked) and each document decides alone, so a source with most of the rows costs no task more."""
+    if "copy" in {c.lower() for c in documents.columns}:
+        raise ValueError("the documents already have a column copy")
+    rate, copies = spare_names(documents, "rate_", "copies_")
     few = rates.select("source").limit(SMALL_TARGETS + 1).count() <= SMALL_TARGETS
-    r = rates.where("rate > 0").select(F.col("source").alias("source"), F.col("rate").alias("rate_"))
+    r = rates.where("rate > 0").select("source", F.col("rate").alias(rate))
     joined = documents.join(F.broadcast(r) if few else r, "source")
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
-    whole = F.floor("rate_")
-    copies = (whole + F.when(draw < F.col("rate_") - whole, 1).otherwise(0)).cast("int")
-    out = joined.withColumn("copies_", copies).where("copies_ > 0")
-    return out.select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col("copies_"))).alias("copy"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(quoted(key)), F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    whole = F.floor(F.col(rate))
+    out = joined.withColumn(copies, (whole + F.when(draw < F.col(rate) - whole, 1).otherwise(0)).cast("int")).where(F.col(copies) > 0)
+    return out.select(*[quoted(c) for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias("copy"))
 
 
 def mixture_shares(mixed: DataFrame, rates: DataFrame) -> DataFrame:
