@@ -24,7 +24,8 @@ def _zone(z: Column) -> Column:
 
 
 def _seconds(date: Column, clock: Column, zone: Column) -> Column:
-    iso = F.concat(date, F.lit("T"), F.regexp_replace(clock, ",", "."), _zone(zone))
+    full = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(F.regexp_replace(clock, ",", "."))
+    iso = F.concat(date, F.lit("T"), full, _zone(zone))
     return F.unix_seconds(iso.try_cast("timestamp"))
 
 

@@ -11,7 +11,12 @@ HOT_KEYS = 256  # at most this many keys are spread; the broadcast list is never
 SALTS = 32
 
 
-def _tmp(df: DataFrame, *names: str) -> list[str]:
+def quoted(name: str) -> str:
+    """A column's name as an expression, also with dots and quotes in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
     """Names that don't clash with a column of ``df``."""
     have = {c.lower() for c in df.columns}
     out = []
@@ -52,22 +57,23 @@ def keep_one_delivery(
     for name in (count_as, key_as):
         if name.lower() in {c.lower() for c in messages.columns}:
             raise ValueError(f"the input already has a column {name}")
-    k, age, salt, tie, n, rank = _tmp(messages, "k_", "age_", "salt_", "tie_", "n_", "rank_")
+    k, age, salt, tie, n, rank, hot_key, spread_by = spare_names(messages, "k_", "age_", "salt_", "tie_", "n_", "rank_", "hot_", "spread_")
+    columns = [F.col(quoted(c)) for c in messages.columns]
     rows = messages.select("*", key.alias(k), F.lit(1).alias(age))
     if stored is not None:
-        rows = rows.unionByName(stored.select(*messages.columns).select("*", key.alias(k), F.lit(0).alias(age)))
-    plain = [c for c, t in messages.dtypes if not t.startswith("map") and not t.startswith("variant") and "map<" not in t]
+        rows = rows.unionByName(stored.select(*columns).select("*", key.alias(k), F.lit(0).alias(age)))
+    plain = [F.col(quoted(c)) for c, t in messages.dtypes if "map<" not in t and "variant" not in t]
     keyed = rows.where(F.col(k).isNotNull())
     counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias(n))
     hot = F.broadcast(
-        counts.where(F.col(n) > 1000).orderBy(F.desc(n), k).limit(HOT_KEYS).select(F.col(k).alias(k + "h"), F.lit(SALTS).alias(salt + "n"))
+        counts.where(F.col(n) > 1000).orderBy(F.desc(n), k).limit(HOT_KEYS).select(F.col(k).alias(hot_key), F.lit(SALTS).alias(spread_by))
     )
 
     def salted(df: DataFrame, pick: Column) -> DataFrame:
-        joined = df.join(hot, F.col(k) == F.col(k + "h"), "left")
-        return joined.withColumn(salt, pick).drop(k + "h", salt + "n")
+        joined = df.join(hot, F.col(k) == F.col(hot_key), "left")
+        return joined.withColumn(salt, pick).drop(hot_key, spread_by)
 
-    spread = F.coalesce(F.col(salt + "n"), F.lit(1))
+    spread = F.coalesce(F.col(spread_by), F.lit(1))
     left = salted(keyed, F.pmod(F.xxhash64(F.monotonically_increasing_id()), spread))
     right = salted(counts, F.explode(F.sequence(F.lit(0).cast("bigint"), (spread - 1).cast("bigint"))))
     counted = left.join(right, [k, salt])
@@ -79,6 +85,6 @@ def keep_one_delivery(
         .withColumn(rank, F.row_number().over(window))
         .where(F.col(rank) == 1)
     )
-    out = [*[F.col(f"`{c}`") for c in messages.columns], F.col(k).alias(key_as), F.col(n).alias(count_as)]
+    out = [*columns, F.col(k).alias(key_as), F.col(n).alias(count_as)]
     loose = rows.where(F.col(k).isNull()).withColumn(n, F.lit(1).cast("bigint"))
     return single.select(*out).unionAll(repeated.select(*out)).unionAll(loose.select(*out))

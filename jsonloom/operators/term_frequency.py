@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def term_frequencies(
-    occurrences: DataFrame, *, rare_at_most: int = 2, common_at_least: int = 10, common_above: float = 0.02
+    occurrences: DataFrame, *, weight: Column | None = None, rare_at_most: int = 2, common_at_least: int = 10, common_above: float = 0.02
 ) -> DataFrame:
     """(field, term, occurrences, records, field_records, mark) of all terms.
 
-    occurrences: (field, record, term), a row each time a record holds a term, or with a column ``n``
-        for so many times. ``record`` may be any type; NULL terms and records don't count.
+    occurrences: (field, record, term), a row each time a record holds a term; other columns are ignored.
+        ``record`` may be any type; rows with NULL as field, term or record don't count.
+    weight: how often a row says the term, once by default; NULL counts as 0.
     mark: 'rare' for at most ``rare_at_most`` records, 'common' for at least ``common_at_least``
         records that are also more than ``common_above`` of the field's records with a value, else NULL.
 
     Terms are counted per record first, then summed over records; both steps combine within the map
     task by hash before anything is exchanged, so a term in a third of all records costs one row a
     task. Empty input gives no rows."""
-    rows = occurrences.where(F.col("term").isNotNull() & F.col("record").isNotNull())
-    weight = F.col("n").cast("bigint") if "n" in occurrences.columns else F.lit(1).cast("bigint")
-    per_record = rows.groupBy("field", "record", "term").agg(F.sum(weight).alias("n_"))
+    times = F.coalesce(weight, F.lit(0)) if weight is not None else F.lit(1)
+    rows = occurrences.select("field", "record", "term", times.cast("bigint").alias("times_")).where("field is not null and record is not null and term is not null")
+    per_record = rows.groupBy("field", "record", "term").agg(F.sum("times_").alias("n_"))
     terms = per_record.groupBy("field", "term").agg(F.sum("n_").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     holders = rows.groupBy("field", "record").agg(F.lit(1).alias("one_")).groupBy("field").agg(F.count("one_").alias("field_records"))
     out = terms.join(F.broadcast(holders), "field")  # a row a field

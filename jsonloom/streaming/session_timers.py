@@ -133,7 +133,7 @@ def session_stream(partials: DataFrame, gap_s: int, *, key_groups: int = 1024, l
         most some thousand keys with an open session.
     late_s: how far behind the newest event one may still come; later ones are dropped by Spark's
         watermark, which is what ends sessions at all."""
-    at = F.least(F.greatest(F.col("end_s"), F.lit(0)), F.lit(END_OF_INPUT_S))
+    at = F.least(F.greatest(F.col("end_s"), F.lit(1)), F.lit(END_OF_INPUT_S))  # later than the first watermark, 0
     group = F.pmod(F.xxhash64("key_"), F.lit(key_groups))
     marked = partials.withColumn("at_", F.timestamp_seconds(at)).withColumn("group_", F.when(F.col("key_").isNotNull(), group))
     return (
