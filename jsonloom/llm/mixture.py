@@ -101,12 +101,12 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     one = want.join(per, "source", "left").join(F.broadcast(total)).join(F.broadcast(weights))  # one row each
     size = F.coalesce(F.col("source_tokens"), F.lit(0))
     target = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(F.lit(0.0))
+    reachable = size * F.col("max_repeat") * F.col("weights") >= F.col("weight") * F.col("total_tokens")  # without a division's rounding
     rated = one.select(
-        "source", "weight", target.alias("target_share"), "total_tokens", size.alias("source_tokens"), (target * F.col("total_tokens")).alias("target_tokens"), "max_repeat"
-    ).withColumn("wanted_rate", F.when(F.col("source_tokens") > 0, F.col("target_tokens") / F.col("source_tokens")))
-    return rated.withColumn("rate", F.least("wanted_rate", F.col("max_repeat").cast("double"))).withColumn(
-        "reachable", F.col("source_tokens") * F.col("max_repeat") >= F.col("target_tokens")
-    )
+        "source", "weight", target.alias("target_share"), "total_tokens", size.alias("source_tokens"), (target * F.col("total_tokens")).alias("target_tokens"),
+        "max_repeat", reachable.alias("reachable"),
+    ).withColumn("wanted_rate", F.when(F.col("source_tokens") > 0, F.col("target_tokens") / F.col("source_tokens")))
+    return rated.withColumn("rate", F.when(F.col("wanted_rate").isNotNull(), F.least("wanted_rate", F.col("max_repeat").cast("double"))))
 
 
 def mixture(documents: DataFrame, rates: DataFrame, *, key: str = "doc_id", seed: int = 7) -> DataFrame:
