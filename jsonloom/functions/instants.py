@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jsonloom.functions.text import bound
+
 # The months of RFC 2822 dates, in order.
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
@@ -35,14 +37,18 @@ def instant_seconds(c: Column) -> Column:
     Reads ISO 8601 (with blank or T, fractions, zones), its compact form, RFC 2822 dates, and epoch
     seconds or milliseconds. NULL for anything else, also for dates that don't exist and times
     without a date. Doesn't depend on the session's time zone."""
-    text = F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " "))
+    return bound(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")), _read)
+
 
+def _read(text: Column) -> Column:
     def part(pattern: str, n: int) -> Column:
         return F.regexp_extract(text, pattern, n)
 
-    month = F.lpad(((F.instr(F.lit(MONTHS), F.lower(part(MAIL, 2))) + 2) / 3).cast("int").cast("string"), 2, "0")
-    month_ok = (F.instr(F.lit(MONTHS), F.lower(part(MAIL, 2))) % 3) == 1
-    mail_date = F.concat_ws("-", part(MAIL, 3), month, F.lpad(part(MAIL, 1), 2, "0"))
+    def mail(place: Column) -> Column:
+        month = F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0")
+        date = F.concat_ws("-", part(MAIL, 3), month, F.lpad(part(MAIL, 1), 2, "0"))
+        return F.when(place % 3 == 1, _seconds(date, part(MAIL, 4), part(MAIL, 5)))
+
     compact_date = F.concat_ws("-", part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3))
     compact_clock = F.concat_ws(":", part(COMPACT, 4), part(COMPACT, 5), part(COMPACT, 6))
     return (
@@ -50,5 +56,5 @@ def instant_seconds(c: Column) -> Column:
         .when(text.rlike(r"^\d{9,10}(\.\d+)?$"), F.substring_index(text, ".", 1).try_cast("bigint"))
         .when(text.rlike(r"^\d{12,13}$"), F.floor(text.try_cast("bigint") / F.lit(1000)).cast("bigint"))
         .when(text.rlike(COMPACT), _seconds(compact_date, compact_clock, part(COMPACT, 7)))
-        .when(text.rlike(MAIL) & month_ok, _seconds(mail_date, part(MAIL, 4), part(MAIL, 5)))
+        .when(text.rlike(MAIL), bound(F.instr(F.lit(MONTHS), F.lower(part(MAIL, 2))), mail))
     )

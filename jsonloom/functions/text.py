@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"(?U)\s+"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. Spark copies an expression to each place of its use, also
+    into filters and join keys; a lambda's variable keeps what is planned small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normal_form(c: Column) -> Column:
     """Lower case, outer white space removed, inner runs of it as one blank. NULL if nothing is left."""
     text = F.trim(F.lower(F.regexp_replace(c.cast("string"), WHITE, " ")))
@@ -18,10 +26,11 @@ def denoted_number(c: Column) -> Column:
     """The whole number a text denotes, as BIGINT, in any spelling: leading zeros, sign, exponent, a
     fraction of zeros, white space around it. NULL for every other text, a number with a fraction and
     a number beyond BIGINT."""
-    text = F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
-    plain = F.when(text.rlike(r"^[0-9]{1,18}$"), text.try_cast("bigint"))
-    exact = F.when(
-        text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$"), text.try_cast("decimal(38,10)")
-    )
-    whole = exact.try_cast("decimal(28,0)")
-    return F.coalesce(plain, F.when(whole == exact, whole.try_cast("bigint")))
+
+    def read(text: Column) -> Column:
+        plain = F.when(text.rlike(r"^[0-9]{1,18}$"), text.try_cast("bigint"))
+        number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")
+        exact = bound(F.when(number, text.try_cast("decimal(38,10)")), lambda x: F.when(x == F.floor(x), x.try_cast("bigint")))
+        return F.coalesce(plain, exact)
+
+    return bound(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), read)

@@ -11,7 +11,7 @@ from jsonloom.operators.events import deliveries, distinct_events
 from jsonloom.operators.keyed_totals import heavy_keys, keyed_distinct, keyed_totals, stacked_keys
 from jsonloom.operators.redelivery import keep_one_delivery
 from jsonloom.operators.term_frequency import term_frequencies
-from jsonloom.session import table
+from jsonloom.session import stage, table
 from jsonloom.streaming.session_timers import sessions
 
 COMMIT = NodeTable("commit", ("commits",), ("sha", "message"))
@@ -44,12 +44,13 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_next_batch(spark: SparkSession, d: str) -> DataFrame:
     """All batches but the last as stored messages, then the last one merged in."""
-    log = deliveries(table(spark, d, "event_log"))
+    log = deliveries(table(spark, d, "event_log")).select("event_id", "delivery_no", "batch_id", "received_at")
     last = log.agg(F.max("batch_id")).first()[0] or 0
     order = [F.col("received_at").asc_nulls_last(), F.col("delivery_no")]
     old = keep_one_delivery(log.where(F.col("batch_id") < last), F.col("event_id"), order)
     new = log.where((F.col("batch_id") >= last) | F.col("batch_id").isNull())
-    both = keep_one_delivery(new, F.col("event_id"), order, stored=old.drop("message_key", "deliveries"))
+    stored = stage(old.drop("message_key", "deliveries"), "stored")
+    both = keep_one_delivery(new, F.col("event_id"), order, stored=stored)
     return both.select("message_key", "delivery_no", "batch_id")
 
 
