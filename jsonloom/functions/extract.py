@@ -7,38 +7,52 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jsonloom.functions.text import bound
 from jsonloom.kinds import ACCEPTS, SQL_TYPE
 
 
 def kind_of(v: Column) -> Column:
     """The narrowest kind of a VARIANT: whole numbers by range; fractions are float or double where the
     shortest text of one is the very number, else bigdec. NULL for SQL NULL (a missing value)."""
-    schema = F.schema_of_variant(v)
-    n = F.try_variant_get(v, "$", "decimal(38,0)")
-    exact = F.try_variant_get(v, "$", "string").try_cast("decimal(38,18)")
-    double = F.try_variant_get(v, "$", "double")
-    whole = F.when(n.between(-128, 127), "byte").when(n.between(-32768, 32767), "short").when(n.between(-(2**31), 2**31 - 1), "int")
-    whole = whole.when(n.between(F.lit(-(2**63)).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)")), "long").otherwise("bigint")
-    single = double.cast("float").cast("string").try_cast("decimal(38,18)")
-    fraction = F.when(single == exact, "float").when(double.cast("string").try_cast("decimal(38,18)") == exact, "double").otherwise("bigdec")
-    real = (
-        F.when(double == F.floor(double), F.when(n.isNull(), "bigint").otherwise(whole))
-        .when(exact.isNotNull() & (exact != 0), fraction)
-        .when(double.cast("float").cast("string") == double.cast("string"), "float")
-        .otherwise("double")
-    )
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(F.is_variant_null(v), "null")
-        .when(schema == "BOOLEAN", "bit")
-        .when(schema == "STRING", "string")
-        .when(schema.startswith("OBJECT"), "object")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema == "BIGINT", whole)
-        .when(schema.startswith("DECIMAL") & (exact == n), whole)
-        .when(schema.startswith("DECIMAL"), fraction)
-        .when(schema.isin("DOUBLE", "FLOAT"), real)
-    )
+
+    def whole(n: Column) -> Column:
+        out = F.when(n.between(-128, 127), "byte").when(n.between(-32768, 32767), "short").when(n.between(-(2**31), 2**31 - 1), "int")
+        low, high = (F.lit(x).cast("decimal(38,0)") for x in (-(2**63), 2**63 - 1))
+        return out.when(n.between(low, high), "long").otherwise("bigint")
+
+    def equal(text: Column, other: Column, small: Column) -> Column:
+        """Whether two number texts are the same number; digits beyond what a double can have make them differ."""
+        near = text.try_cast("decimal(38,37)") == other.try_cast("decimal(38,37)")
+        wide = ~text.rlike(r"\.[0-9]{19,}$") & (text.try_cast("decimal(38,18)") == other.try_cast("decimal(38,18)"))
+        return F.coalesce(F.when(small, near).otherwise(wide), F.lit(False))
+
+    def decimal(text: Column) -> Column:
+        def fraction(double: Column) -> Column:
+            small = double.between(-1, 1)
+            single = equal(text, double.cast("float").cast("string"), small)
+            return F.when(single, "float").when(equal(text, double.cast("string"), small), "double").otherwise("bigdec")
+
+        is_whole = text.rlike(r"^-?[0-9]+(\.0*)?$")
+        return F.when(is_whole, bound(F.substring_index(text, ".", 1).try_cast("decimal(38,0)"), whole)).otherwise(bound(text.try_cast("double"), fraction))
+
+    def real(double: Column) -> Column:
+        n = double.try_cast("decimal(38,0)")
+        kind = F.when(double.cast("float").cast("string") == double.cast("string"), "float").otherwise("double")
+        return F.when(double == F.floor(double), F.when(n.isNull(), "bigint").otherwise(whole(n))).otherwise(kind)
+
+    def by_schema(schema: Column) -> Column:
+        return (
+            F.when(schema == "BOOLEAN", "bit")
+            .when(schema == "STRING", "string")
+            .when(schema.startswith("OBJECT"), "object")
+            .when(schema.startswith("ARRAY"), "array")
+            .when(schema == "BIGINT", bound(F.try_variant_get(v, "$", "decimal(38,0)"), whole))
+            .when(schema.startswith("DECIMAL"), bound(F.try_variant_get(v, "$", "string"), decimal))
+            .when(schema.isin("DOUBLE", "FLOAT"), bound(F.try_variant_get(v, "$", "double"), real))
+        )
+
+    known = F.when(F.is_variant_null(v), "null").otherwise(bound(F.schema_of_variant(v), by_schema))
+    return F.when(v.isNotNull(), known)
 
 
 def as_kind(v: Column, target: str, strict: bool = False) -> Column:

@@ -142,8 +142,8 @@ def _as(target: str, path: str, name: str):
     return run
 
 
-as_int, as_long, as_double, as_string, as_bool = _as("int", "key", "v"), _as("long", "customer.key", "v"), _as("double", "total", "v"), _as("string", "status", "v"), _as("bit", "open", "v")
-as_short = _as("short", "key", "v")
+as_int, as_long, as_double, as_string, as_bool = _as("int", "key", "value"), _as("long", "customer.key", "value"), _as("double", "total", "value"), _as("string", "status", "value"), _as("bit", "open", "value")
+as_short = _as("short", "key", "value")
 
 
 def match_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -455,12 +455,12 @@ SQL = {
 UNION ALL SELECT unnest(['status', 'open', 'customer', 'customer.note', 'lines']), unnest(['string', 'bit', 'object', 'null', 'array']) FROM o
 UNION ALL SELECT 'lines[0].qty', CASE WHEN l_quantity <> floor(l_quantity) THEN 'float' WHEN l_quantity < 128 THEN 'byte' ELSE 'short' END FROM l WHERE pos = 0)
 SELECT field, kind, count(*) AS n FROM f GROUP BY field, kind""",
-    "as_short": f"{_ORDERS} SELECT o_orderkey, CASE WHEN o_orderkey < 32768 THEN CAST(o_orderkey AS SMALLINT) END AS v, true AS refused FROM o",
-    "as_int": f"{_ORDERS} SELECT o_orderkey, CAST(o_orderkey AS INT) AS v, true AS refused FROM o",
-    "as_long": f"{_ORDERS} SELECT o_orderkey, o_custkey AS v, true AS refused FROM o",
-    "as_double": f"{_ORDERS} SELECT o_orderkey, o_totalprice AS v, true AS refused FROM o",
-    "as_string": f"{_ORDERS} SELECT o_orderkey, o_orderstatus AS v, true AS refused FROM o",
-    "as_bool": f"{_ORDERS} SELECT o_orderkey, o_orderstatus = 'O' AS v, true AS refused FROM o",
+    "as_short": f"{_ORDERS} SELECT o_orderkey, CASE WHEN o_orderkey < 32768 THEN CAST(o_orderkey AS SMALLINT) END AS value, true AS refused FROM o",
+    "as_int": f"{_ORDERS} SELECT o_orderkey, CAST(o_orderkey AS INT) AS value, true AS refused FROM o",
+    "as_long": f"{_ORDERS} SELECT o_orderkey, o_custkey AS value, true AS refused FROM o",
+    "as_double": f"{_ORDERS} SELECT o_orderkey, o_totalprice AS value, true AS refused FROM o",
+    "as_string": f"{_ORDERS} SELECT o_orderkey, o_orderstatus AS value, true AS refused FROM o",
+    "as_bool": f"{_ORDERS} SELECT o_orderkey, o_orderstatus = 'O' AS value, true AS refused FROM o",
     "match_kinds": f"{_ORDERS} SELECT shown, count(*) AS n FROM (SELECT unnest([o_orderstatus, 'yes/no', 'other', 'list', 'nothing']) AS shown FROM o) GROUP BY shown",
     "classify_prices": f"""SELECT CASE WHEN o_totalprice = floor(o_totalprice) THEN CASE WHEN o_totalprice < 128 THEN 'byte' WHEN o_totalprice < 32768 THEN 'short' ELSE 'int' END
  WHEN CAST({_SHORTEST} AS DECIMAL(18,6)) = CAST(o_totalprice AS DECIMAL(18,2)) THEN 'float' ELSE 'double' END AS kind, count(*) AS n FROM (SELECT *, CAST(o_totalprice AS FLOAT) AS f FROM orders) GROUP BY 1""",
