@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,14 @@ class Aggregate:
         """Lazy: only the tables and columns that a query touches are read."""
         return Aggregate({t: spark.read.parquet(f"{path}/{t}") for t in TABLES})
 
+    def rewrite(self, name: str, f: Callable[[Column], Column]) -> Aggregate:
+        """One scalar table mapped value by value. Ids stay, so whatever refers to a value sees the new one;
+        keys of objects are kept with the objects and don't change."""
+        if name not in _VALUE:
+            raise ValueError(f"{name} isn't a table of scalars")
+        mapped = self._tables[name].select("id", f(F.col("value")).alias("value"))
+        return Aggregate({**self._tables, name: mapped})
+
     def union(self, other: Aggregate) -> Aggregate:
         """Both aggregates' documents, values shared between them once."""
         both = {t: self._tables[t].unionByName(other._tables[t]) for t in TABLES}

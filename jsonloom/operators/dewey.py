@@ -197,7 +197,7 @@ def dewey_tables(documents: DataFrame, key: Column, body: Column, tables: Sequen
 
     The labelled rows are written once to the shared folder, partitioned by table, so that each
     table reads its own files only and the documents are parsed once."""
-    rows = stage(dewey_rows(documents, key, body, tables), "dewey")
+    rows = stage(dewey_rows(documents, key, body, tables), "dewey", by="node_table")
     out = {}
     for t in tables:
         mine = rows.where(F.col("node_table") == t.name)

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.numbers import classify, decimal_parts, read_number
+from jsonloom.functions.extract import kind_of
 from jsonloom.kinds import MARKER
+from jsonloom.session import stage
 
 NODES = (
     "doc string, node_id string, parent_id string, depth int, pos int, key string, kind string, v_bool boolean, v_long bigint, "
     "v_double double, v_big string, v_str string, n_children int, chash string"
 )
+PATH = ", path string"
 _ARROW = [
     ("doc", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("key", pa.string()),
     ("kind", pa.string()), ("v_bool", pa.bool_()), ("v_long", pa.int64()), ("v_double", pa.float64()), ("v_big", pa.string()), ("v_str", pa.string()),
@@ -107,32 +110,51 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tup
     return [tuple(r) for r in rows]
 
 
-def _shredder(mode: str, strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def node_paths(rows: list[tuple]) -> list[str]:
+    """The path of each node of a document's rows: keys and positions from the root."""
+    paths: dict[str, str] = {}
+    out = []
+    for _, label, parent, _, pos, key, *_ in rows:  # parents come before their children
+        if parent is None:
+            path = ""
+        elif key is None:
+            path = f"{paths[parent]}[{pos}]"
+        else:
+            path = (paths[parent] + "." if paths[parent] else "") + key
+        paths[label] = path
+        out.append(path)
+    return out
+
+
+def _shredder(mode: str, strict: bool, paths: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += shred_document(doc, parse_exact(body), mode)
+                    found = shred_document(doc, parse_exact(body), mode)
                 except ValueError:
                     if strict:
                         raise
+                    continue
+                rows += [(*r, p) for r, p in zip(found, node_paths(found), strict=True)] if paths else found
                 if len(rows) > 50_000:
-                    yield _batch(rows)
+                    yield _batch(rows, paths)
                     rows = []
-            yield _batch(rows)
+            yield _batch(rows, paths)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ARROW, strict=True)], names=[n for n, _ in _ARROW])
+def _batch(rows: list[tuple], paths: bool) -> pa.RecordBatch:
+    fields = [*_ARROW, ("path", pa.string())] if paths else _ARROW
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False) -> DataFrame:
-    """The nodes of all documents (schema NODES), one row each. No exchange: every document is shredded
-    where it is read.
+def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False, paths: bool = False) -> DataFrame:
+    """The nodes of all documents (schema NODES), one row each; with ``paths`` also the path of each, keys
+    and positions from the root. No exchange: every document is shredded where it is read.
 
     body: JSON as STRING, BINARY (UTF-8), VARIANT or STRUCT. A NULL, empty or unreadable one gives no
     nodes, or an error if ``strict``; so does a number with an exponent beyond bounds. doc may be NULL or
@@ -142,20 +164,31 @@ def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str
     slim = documents.select(doc.cast("string").alias("doc"), body.alias("body"))
     kind = dict(slim.dtypes)["body"]
     text = F.col("body").cast("string") if kind in ("string", "binary") else F.to_json("body", {"ignoreNullFields": "false"})
-    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict), NODES)
-
-
-def schema_paths(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``path``: keys and positions from the root, as text of the path language.
-
-    One exchange by document and label prefix a level would be needed for joins; instead each document's
-    keys are collected once (bounded by the document) and looked up by label."""
-    keys = nodes.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))))).alias("keys_"))
-    ancestors = F.transform(F.sequence(F.lit(2), F.col("depth") + 1), lambda n: F.array_join(F.slice(F.split("node_id", r"\."), F.lit(1), n), "."))
-    steps = F.when(F.col("depth") > 0, F.transform(ancestors, lambda a: F.element_at("keys_", a))).otherwise(F.array().cast("array<string>"))
-    return nodes.join(keys, "doc").withColumn("path", F.regexp_replace(F.array_join(steps, "."), r"\.\[", "[")).drop("keys_")
+    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict, paths), NODES + PATH if paths else NODES)
 
 
 def kind_marker(kind: Column) -> Column:
     """The marker byte of a kind."""
     return F.element_at(F.create_map(*[x for k, n in MARKER.items() for x in (F.lit(k), F.lit(n))]), kind)
+
+
+def shred_native(documents: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(doc, node_id, parent_id, depth, key, kind, v): nodes of VARIANT documents (doc, v) by built-in functions,
+    without Python. Each level explodes the containers of the one before; levels are written to the shared
+    folder, so nothing is computed twice. Numbers have the kinds that VARIANT keeps (no literal text).
+    Documents that are NULL have no nodes. ValueError beyond ``max_depth`` levels."""
+    spark = documents.sparkSession
+    level = documents.where(F.col("v").isNotNull()).select(
+        F.col("doc"), F.lit("1").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"), kind_of(F.col("v")).alias("kind"), "v"
+    )
+    found: DataFrame | None = None
+    for depth in range(1, max_depth + 1):
+        level = stage(level, "variants")
+        found = level if found is None else found.unionByName(level)
+        containers = level.where("kind in ('array', 'object')").select("doc", F.col("node_id").alias("up"), F.col("v").alias("inner"))
+        if containers.isEmpty():
+            return found
+        inside = containers.lateralJoin(spark.tvf.variant_explode(F.col("inner").outer()))
+        label = F.concat_ws(".", "up", (F.col("pos") + 1).cast("string"))
+        level = inside.select("doc", label.alias("node_id"), F.col("up").alias("parent_id"), F.lit(depth).alias("depth"), "key", kind_of(F.col("value")).alias("kind"), F.col("value").alias("v"))
+    raise ValueError(f"documents deeper than {max_depth} levels")

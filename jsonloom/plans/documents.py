@@ -11,7 +11,8 @@ from jsonloom.functions.khash import khash, khash_bucket
 from jsonloom.functions.numbers import number_kind, number_parts
 from jsonloom.functions.paths import path_steps
 from jsonloom.operators.aggregate import Aggregate, dense_ids, distinct_trees, json_of_nodes, rebuild, string_id, value_frequencies
-from jsonloom.operators.shred import schema_paths, shred
+from jsonloom.functions.sql import register
+from jsonloom.operators.shred import shred, shred_native
 from jsonloom.session import fresh_path, stage, table
 from jsonloom.sources.datasource import decode_blob, encode_blob, to_variant
 from jsonloom.streaming.shred_stream import latest_facts, shred_stream
@@ -249,13 +250,13 @@ def shred_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes = schema_paths(shred(_props(spark, d), F.col("event_id"), F.col("props")))
+    nodes = shred(_props(spark, d), F.col("event_id"), F.col("props"), paths=True)
     return nodes.select(F.col("doc").cast("bigint").alias("event_id"), "path", "v_long")
 
 
 def spec_paths(spark: SparkSession, d: str) -> DataFrame:
     """The distinct schema of all specifications: paths and kinds with the number of documents."""
-    nodes = schema_paths(shred(table(spark, d, "api_spec"), F.col("spec_id"), F.col("body")))
+    nodes = shred(table(spark, d, "api_spec"), F.col("spec_id"), F.col("body"), paths=True)
     return nodes.where("depth = 1").groupBy("path", "kind").agg(F.countDistinct("doc").alias("documents"))
 
 
@@ -390,6 +391,25 @@ def rebuild_nodes(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("doc").cast("bigint").alias("event_id"), Cursor(F.parse_json("body")).field("k").as_("long").alias("k"))
 
 
+def rewrite_strings(spark: SparkSession, d: str) -> DataFrame:
+    """A packed table mapped value by value: every string in upper case, read back through the documents."""
+    a = Aggregate.pack(_nations(spark, d), F.col("root"), F.col("body")).rewrite("string", F.lower)
+    c = Cursor(F.parse_json("body"))
+    return a.reconstruct().select(F.col("doc").alias("root"), c.field("name").as_("string").alias("name"), c.query("region.name").as_("string").alias("region"))
+
+
+def sql_surface(spark: SparkSession, d: str) -> DataFrame:
+    """The registered SQL functions: shredding as a table function, key hashes and kinds."""
+    register(spark)
+    table(spark, d, "events").createOrReplaceTempView("jsonloom_events")
+    return spark.sql("SELECT event_id, n.key, khash(n.key) AS khash, n.v_long AS k FROM jsonloom_events, LATERAL shred_json(props) n WHERE n.parent_id IS NOT NULL")
+
+
+def native_shred(spark: SparkSession, d: str) -> DataFrame:
+    """Specifications shredded by built-in functions alone, level by level: nodes by depth and kind."""
+    return shred_native(_specs(spark, d).select(F.col("spec_id").alias("doc"), "v")).groupBy("depth", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sum_by_key(spark: SparkSession, d: str) -> DataFrame:
     """The sum of the members named k over all nodes, by type of event."""
     nodes = shred(_props(spark, d), F.concat_ws("|", "event_type", F.col("event_id").cast("string")), F.col("props"))
@@ -397,14 +417,15 @@ def sum_by_key(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(F.substring_index("doc", "|", 1).alias("event_type")).agg(F.sum("v_long").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+_NAMES = {"match_kinds": "match_kind", "khash_keys": "khash", "khash_buckets": "khash_bucket"}
 QUERIES = {
-    f.__name__: f
+    _NAMES.get(f.__name__, f.__name__): f
     for f in (
         json_source, encode_from_struct, encode_from_string, decode_all_roots, field_lookup, path_query, array_index, array_neg_index, read_segments, try_query, kind_filter,
         as_short, as_int, as_long, as_double, as_string, as_bool, match_kinds, classify_numbers, classify_prices, bigdec_parts, object_entries, array_elements, container_size,
         array_left_right, khash_keys, khash_buckets, entries_by_khash, nth_key, path_split, shred_nodes, node_paths, spec_paths, shred_pages, streamed_shred, facts_latest,
         dedup_strings, dedup_numbers, value_freq, dedup_arrays, dedup_objects, assign_ids, pack_multi_root, union_dedup, table_listing, summary, root_lookup, deref_join, key_join,
-        eager_scan, reconstruct_json, rebuild_nodes, sum_by_key,
+        eager_scan, reconstruct_json, rebuild_nodes, sum_by_key, rewrite_strings, sql_surface, native_shred,
     )
 }
 
@@ -461,7 +482,7 @@ SELECT field, kind, count(*) AS n FROM f GROUP BY field, kind""",
     "as_double": f"{_ORDERS} SELECT o_orderkey, o_totalprice AS value, true AS refused FROM o",
     "as_string": f"{_ORDERS} SELECT o_orderkey, o_orderstatus AS value, true AS refused FROM o",
     "as_bool": f"{_ORDERS} SELECT o_orderkey, o_orderstatus = 'O' AS value, true AS refused FROM o",
-    "match_kinds": f"{_ORDERS} SELECT shown, count(*) AS n FROM (SELECT unnest([o_orderstatus, 'yes/no', 'other', 'list', 'nothing']) AS shown FROM o) GROUP BY shown",
+    "match_kind": f"{_ORDERS} SELECT shown, count(*) AS n FROM (SELECT unnest([o_orderstatus, 'yes/no', 'other', 'list', 'nothing']) AS shown FROM o) GROUP BY shown",
     "classify_prices": f"""SELECT CASE WHEN o_totalprice = floor(o_totalprice) THEN CASE WHEN o_totalprice < 128 THEN 'byte' WHEN o_totalprice < 32768 THEN 'short' ELSE 'int' END
  WHEN CAST({_SHORTEST} AS DECIMAL(18,6)) = CAST(o_totalprice AS DECIMAL(18,2)) THEN 'float' ELSE 'double' END AS kind, count(*) AS n FROM (SELECT *, CAST(o_totalprice AS FLOAT) AS f FROM orders) GROUP BY 1""",
     "bigdec_parts": """SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS VARCHAR) AS unscaled, CAST(2 AS INT) AS scale,
@@ -471,8 +492,8 @@ FROM (SELECT spec_id, body, unnest(json_keys(body)) AS key FROM api_spec WHERE j
     "array_elements": f"{_ORDERS} SELECT o_orderkey, CAST(pos AS INT) AS pos, l_linenumber AS n, l_quantity AS qty, l_returnflag AS flag FROM l",
     "container_size": f"{_ORDERS} SELECT o_orderkey, CAST(count(*) AS INT) AS lines, CAST(7 AS INT) AS members, CAST(NULL AS INT) AS scalar FROM l GROUP BY o_orderkey",
     "array_left_right": f'{_ORDERS} SELECT o_orderkey, CAST(pos AS INT) AS pos, l_partkey AS part, lft AS "left", rgt AS "right" FROM l',
-    "khash_keys": f"WITH {_KEYS} SELECT key, {_KHASH} AS khash FROM k",
-    "khash_buckets": f"WITH {_KEYS} SELECT CAST(({_KHASH}) // 33554432 AS INT) AS bucket, count(*) AS n FROM k GROUP BY 1",
+    "khash": f"WITH {_KEYS} SELECT key, {_KHASH} AS khash FROM k",
+    "khash_bucket": f"WITH {_KEYS} SELECT CAST(({_KHASH}) // 33554432 AS INT) AS bucket, count(*) AS n FROM k GROUP BY 1",
     "entries_by_khash": f"WITH {_SPEC} SELECT spec_id, string_agg(key, ',' ORDER BY khash, key) AS stored_order FROM e GROUP BY spec_id",
     "nth_key": f"WITH {_SPEC} SELECT spec_id, key FROM (SELECT *, row_number() OVER (PARTITION BY spec_id ORDER BY khash, key) AS i FROM e) WHERE i = 2",
     "path_split": "SELECT p_partkey, p_brand || '/' || p_size || '/' || p_type || '/-1' AS steps FROM part",
@@ -505,5 +526,11 @@ UNION ALL SELECT 'string', (SELECT 2 * count(*) FROM o) + (SELECT count(*) FROM
     "eager_scan": "SELECT c_name AS value FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT CAST(c_nationkey AS VARCHAR) FROM customer UNION SELECT unnest(['name', 'tags', 'nation'])",
     "reconstruct_json": f"{_ORDERS} SELECT o_orderkey, any_value(o_totalprice) AS total, any_value(o_orderstatus = 'O') AS open, any_value(o_custkey) AS custkey, CAST(count(*) AS INT) AS lines, {_nth('n_lines - 1', 'l_quantity')} AS last_qty FROM l GROUP BY o_orderkey",
     "rebuild_nodes": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "rewrite_strings": f"WITH {_NATION} SELECT 'nation-' || n_nationkey AS root, lower(n_name) AS name, lower(r_name) AS region FROM n",
+    "sql_surface": f"SELECT event_id, key, {_KHASH} AS khash, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM (SELECT *, 'k' AS key FROM events)",
+    "native_shred": """SELECT depth, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bit' WHEN 'NULL' THEN 'null' ELSE 'byte' END AS kind, count(*) AS n
+FROM (WITH RECURSIVE t AS (SELECT spec_id, j.* FROM api_spec, json_tree(CASE WHEN json_valid(body) THEN body END) j),
+ d AS (SELECT spec_id, id, CAST(0 AS INT) AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.spec_id, t.id, d.depth + 1 FROM t JOIN d ON t.spec_id = d.spec_id AND t.parent = d.id)
+ SELECT t.type, d.depth FROM t JOIN d USING (spec_id, id)) GROUP BY 1, 2""",
     "sum_by_key": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY event_type",
 }

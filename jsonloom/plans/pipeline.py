@@ -215,6 +215,16 @@ h AS (SELECT field, count(DISTINCT record) AS field_records FROM ok GROUP BY fie
 m AS (SELECT n.*, CASE WHEN records <= 2 THEN 'rare' WHEN records >= 10 AND records > field_records * 0.02 THEN 'common' END AS mark FROM n JOIN h USING (field))"""
 _SQL_KEYS = f"""WITH {_SQL_LOG}, k AS (SELECT 'event.repo.name' AS field, {_sql_normal("repo.name")} AS key_value, * FROM log
  UNION ALL SELECT 'event.actor.id', CAST(actor.id AS VARCHAR), * FROM log), ok AS (SELECT * FROM k WHERE key_value IS NOT NULL)"""
+_SQL_NESTED = f"""WITH {_SQL_LOG},
+p AS (SELECT event_id, CASE WHEN json_type(payload) = 'VARCHAR' THEN payload->>'$' ELSE payload END AS b FROM log WHERE json_valid(payload) AND event_id IS NOT NULL),
+c AS (SELECT event_id, json_extract(b, '$.commits') AS c FROM p WHERE json_valid(b)),
+e AS (SELECT event_id, unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') ELSE [c] END) AS e FROM c),
+t AS (SELECT page_id || '/' || (t->>'id') AS parent_id, t->'group' AS g, t->'showtimes' AS s FROM (SELECT page_id, unnest(json_extract(body, '$.results[*]')) AS t FROM theater_page WHERE json_valid(body))),
+g AS (SELECT parent_id, unnest(CASE json_type(g) WHEN 'ARRAY' THEN json_extract(g, '$[*]') ELSE [g] END) AS g FROM t),
+s AS (SELECT parent_id, j.value->>'id' AS id FROM t, json_tree(t.s) j WHERE j.type = 'OBJECT' AND list_contains(json_keys(j.value), 'start'))
+SELECT DISTINCT * FROM (SELECT 'commit' AS child_table, CAST(event_id AS VARCHAR) AS parent_id, lower(e->>'sha') AS child_key FROM e WHERE json_type(e) = 'OBJECT'
+ UNION ALL SELECT 'theater_group', parent_id, {_sql_normal("CASE json_type(g) WHEN 'OBJECT' THEN g->>'code' WHEN 'VARCHAR' THEN g->>'$' END")} FROM g
+ UNION ALL SELECT 'showtime', parent_id, id FROM s) WHERE child_key IS NOT NULL AND parent_id IS NOT NULL"""
 _SQL_RANKED = f"""WITH {_SQL_LOG}, r AS (SELECT *, coalesce(CAST(event_id AS VARCHAR), 'd' || delivery_no) AS k FROM log),
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY instant_s IS NULL, payload IS NULL, received_at NULLS LAST, delivery_no) AS no, count(*) OVER (PARTITION BY k) AS deliveries FROM r)"""
 
@@ -227,6 +237,7 @@ SELECT event_id AS message_key, delivery_no, batch_id FROM o WHERE no = 1""",
     "p2_found": f"{_SQL_SESSIONS} FROM s GROUP BY actor_id, no",
     "p2_sessions": f"""{_SQL_SESSIONS}, max(instant_s) - min(instant_s) AS duration_s, count(*) AS events, count(*) FILTER (type = 'PushEvent') AS push_events
 FROM s GROUP BY actor_id, no""",
+    "p3_found": _SQL_NESTED,
     "p4_found": f"{_SQL_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"{_SQL_TERMS} SELECT field, term, occurrences, records, mark FROM m",
     "p5_found": f"""{_SQL_KEYS}, n AS (SELECT field, key_value, count(*) AS n FROM ok GROUP BY field, key_value)

@@ -16,7 +16,7 @@ from jsonloom.functions.khash import khash, khash_bucket, khash_of
 from jsonloom.functions.numbers import classify, decimal_from_parts, decimal_parts, int_bytes, int_from_bytes, number_kind, read_number
 from jsonloom.functions.paths import parse_path, path_steps, render_path
 from jsonloom.operators.aggregate import dense_ids, document_text, json_of_nodes, rebuild
-from jsonloom.operators.shred import NODES, Number, parse_exact, schema_paths, shred, shred_document
+from jsonloom.operators.shred import NODES, Number, parse_exact, shred, shred_document
 from jsonloom.session import fresh_path
 from jsonloom.sources.blob import BlobBuilder, BlobError, BlobReader, decode, encode
 from jsonloom.sources.datasource import BlobDataSource, read_json_files
@@ -209,8 +209,8 @@ def test_shred_edges(spark):
 
 def test_paths_of_nodes_and_rebuild(spark):
     df = spark.createDataFrame([("a", '{"x":{"y.z":[1,{"w":null}]}}')], "root string, body string")
-    nodes = shred(df, F.col("root"), F.col("body"))
-    assert {r.path for r in schema_paths(nodes).collect()} == {"", "x", "x.y.z", "x.y.z[0]", "x.y.z[1]", "x.y.z[1].w"}
+    nodes = shred(df, F.col("root"), F.col("body"), paths=True)
+    assert {r.path for r in nodes.collect()} == {"", "x", "x.y.z", "x.y.z[0]", "x.y.z[1]", "x.y.z[1].w"}
     assert [r.body for r in rebuild(json_of_nodes(nodes)).collect()] == ['{"x":{"y.z":[1,{"w":null}]}}']
 
 
@@ -298,3 +298,50 @@ def test_document_text_orders_children_by_place():
     rows = [("1", None, "array", None)] + [(f"1.{i}", None, "byte", str(i)) for i in range(1, 13)]
     assert document_text(rows) == "[" + ",".join(map(str, range(1, 13))) + "]"
     assert kind_of is not None
+
+
+def test_sql_functions(spark):
+    from jsonloom.functions.sql import register
+
+    register(spark)
+    row = spark.sql("SELECT khash('name') AS a, khash('') AS b, khash(CAST(NULL AS STRING)) AS c, number_kind(' 1.5 ') AS d, number_kind('x') AS e").first()
+    assert list(row) == [4166048239, khash_of(""), None, "float", None]
+    assert spark.sql("SELECT kind FROM VALUES ('[1]'), ('{'), (NULL) AS t(b), LATERAL shred_json(b) ORDER BY kind").collect() == [("array",), ("byte",)]
+
+
+def test_native_shredding_matches_exact(spark):
+    from jsonloom.operators.shred import shred_native
+
+    df = spark.createDataFrame([("a", KINDS), ("b", "[[],{},[null,[1]]]"), ("c", "7"), ("d", None)], "root string, body string")
+    native = shred_native(df.select(F.col("root").alias("doc"), F.try_parse_json("body").alias("v")))
+    exact = shred(df, F.col("root"), F.col("body"))
+    assert sorted((r.doc, r.depth, r.key or "", r.kind) for r in native.collect()) == sorted((r.doc, r.depth, r.key or "", r.kind) for r in exact.collect())
+
+
+def test_rewrite(spark):
+    df = spark.createDataFrame([("a", '{"k":"v","n":[1.5,"v"]}')], "root string, body string")
+    a = Aggregate.pack(df, F.col("root"), F.col("body")).rewrite("string", F.upper).rewrite("float", lambda c: c + 1)
+    assert [json.loads(r.body) for r in a.reconstruct().collect()] == [{"k": "V", "n": [2.5, "V"]}]
+    with pytest.raises(ValueError):
+        a.rewrite("object", F.upper)
+
+
+def test_number_sheet_matches_brute_force(spark, small):
+    from fractions import Fraction
+
+    from jsonloom.session import table
+
+    for r in table(spark, small, "number_sheet").select("literal", number_kind(F.col("literal")).alias("k")).collect():
+        t = (r.literal or "").strip()
+        try:
+            exact = Fraction(t) if t and t[-1].isdigit() and not t.startswith("+") and "/" not in t and "_" not in t else None
+        except ValueError:
+            exact = None
+        if exact is None or (t.lstrip("-")[:1] == "0" and t.lstrip("-")[1:2].isdigit()) or t.lstrip("-").startswith("."):
+            want = None
+        elif exact.denominator == 1:
+            want = next((k for k, b in (("byte", 7), ("short", 15), ("int", 31), ("long", 63)) if -(2**b) <= exact < 2**b), "bigint")
+        else:
+            single = np.float32(t)
+            want = "float" if np.isfinite(single) and Fraction(str(single)) == exact else "double" if Fraction(repr(float(t))) == exact else "bigdec"
+        assert r.k == want, t
