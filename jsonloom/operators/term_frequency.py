@@ -12,7 +12,7 @@ def term_frequencies(
     """(field, term, occurrences, records, field_records, mark) of all terms.
 
     occurrences: (field, record, term), a row each time a record holds a term; other columns are ignored.
-        ``record`` may be any type; rows with NULL as field, term or record don't count.
+        ``field`` names where the term is from, so there are few. ``record`` may be any type; rows with NULL as field, term or record don't count.
     weight: how often a row says the term, once by default; NULL counts as 0.
     mark: 'rare' for at most ``rare_at_most`` records, 'common' for at least ``common_at_least``
         records that are also more than ``common_above`` of the field's records with a value, else NULL.
@@ -23,8 +23,9 @@ def term_frequencies(
     times = F.coalesce(weight, F.lit(0)) if weight is not None else F.lit(1)
     rows = occurrences.select("field", "record", "term", times.cast("bigint").alias("times_")).where("field is not null and record is not null and term is not null")
     per_record = rows.groupBy("field", "record", "term").agg(F.sum("times_").alias("n_"))
-    terms = per_record.groupBy("field", "term").agg(F.sum("n_").alias("occurrences"), F.count(F.lit(1)).alias("records"))
-    holders = rows.groupBy("field", "record").agg(F.lit(1).alias("one_")).groupBy("field").agg(F.count("one_").alias("field_records"))
+    terms = per_record.groupBy("field", "term").agg(F.sum("n_").alias("occurrences"), F.count("n_").alias("records"))
+    # from the same exchange as the terms: both ask for n_, so that their plans are alike below
+    holders = per_record.groupBy("field", "record").agg(F.sum("n_").alias("n_")).groupBy("field").agg(F.count("n_").alias("field_records"))
     out = terms.join(F.broadcast(holders), "field")  # a row a field
     mark = F.when(F.col("records") <= rare_at_most, F.lit("rare")).when(
         (F.col("records") >= common_at_least) & (F.col("records") > F.col("field_records") * F.lit(common_above)), F.lit("common")
