@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions.text import normal_form
 from jsonloom.operators.redelivery import quoted, spare_names
+from jsonloom.session import stage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SMALL_TARGETS = 10_000  # a target table of more rows isn't broadcast
@@ -85,8 +86,9 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     targets: (source, weight, max_repeat). NULL or negative weights count as 0, NULL max_repeat as 1;
         sources are in normal form after this, repeated ones add up their weights and take the larger
         max_repeat; without any weight every target is 0 and reachable."""
-    per = sizes.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
-    total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("total_tokens"))
+    # used twice below: written once, a row a source, so that no text is tokenized twice
+    per = stage(sizes.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens")), "sources")
+    total = F.lit(per.agg(F.sum("source_tokens")).first()[0] or 0).cast("bigint")
     want = (
         targets.select(
             normal_form(F.col("source")).alias("source"),
@@ -97,8 +99,8 @@ def source_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .groupBy("source")
         .agg(F.sum("weight").alias("weight"), F.max("max_repeat").alias("max_repeat"))
     )
-    weights = want.agg(F.sum("weight").alias("weights"))
-    one = want.join(per, "source", "left").join(F.broadcast(total)).join(F.broadcast(weights))  # one row each
+    weights = F.lit(float(want.agg(F.sum("weight")).first()[0] or 0.0))
+    one = want.join(per, "source", "left").withColumn("total_tokens", total).withColumn("weights", weights)
     size = F.coalesce(F.col("source_tokens"), F.lit(0))
     target = F.when(F.col("weights") > 0, F.col("weight") / F.col("weights")).otherwise(F.lit(0.0))
     reachable = size * F.col("max_repeat") * F.col("weights") >= F.col("weight") * F.col("total_tokens")  # without a division's rounding
@@ -131,11 +133,11 @@ def mixture(documents: DataFrame, rates: DataFrame, *, key: str = "doc_id", seed
 
 def mixture_shares(mixed: DataFrame, rates: DataFrame) -> DataFrame:
     """What came out: (source, target_share, rate, documents, mixed_tokens, actual_share, reachable)."""
-    got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("mixed_tokens"))
-    total = got.agg(F.sum("mixed_tokens").alias("all_"))
-    out = rates.join(got, "source", "left").join(F.broadcast(total))  # one row
+    got = stage(mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("mixed_tokens")), "mixed")  # a row a source
+    total = got.agg(F.sum("mixed_tokens")).first()[0] or 0
+    out = rates.join(got, "source", "left")
     tokens = F.coalesce(F.col("mixed_tokens"), F.lit(0))
-    share = F.when(F.col("all_") > 0, tokens / F.col("all_")).otherwise(F.lit(0.0))
+    share = tokens / F.lit(float(total)) if total else F.lit(0.0)
     return out.select(
         "source", "target_share", "rate", F.coalesce("documents", F.lit(0)).alias("documents"), tokens.alias("mixed_tokens"), share.alias("actual_share"), "reachable"
     )
