@@ -27,6 +27,7 @@ MASKS = (
     (1, 2, 4, 5, 7, 8, 10, 11),
 )
 FILTER_BITS = 25  # the filter of test seeds is 4 MB, however many test items there are
+WORDS_AT_ONCE = 100_000  # documents are hashed together up to so many words
 BROADCAST_SEEDS = 500_000  # beyond so many test seeds the join is shuffled
 
 _WORD = re.compile(r"[^\W_]+")
@@ -55,19 +56,18 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter((_hashes[w] for w in words(text)), dtype=np.uint64)
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, position) of every window of SPAN words and every mask."""
+def seeds(hashes: np.ndarray) -> np.ndarray:
+    """The seed of every window of SPAN words, a row for each mask."""
     n = len(hashes) - SPAN + 1
-    if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    out = []
+    out = np.empty((len(MASKS), max(n, 0)), dtype=np.uint64)
     for m, mask in enumerate(MASKS):
-        h = np.full(n, (m + 1) * 0x51ED2701, dtype=np.uint64)
+        h = out[m]
+        h[:] = (m + 1) * 0x51ED2701
         for at in mask:
-            h = (h ^ hashes[at : at + n]) * _MIX
+            h ^= hashes[at : at + h.size]
+            h *= _MIX
             h ^= h >> np.uint64(29)
-        out.append(h)
-    return np.concatenate(out), np.tile(np.arange(n, dtype=np.int32), len(MASKS))
+    return out
 
 
 def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,25 +88,57 @@ def _item_rows(batches: Batches) -> Batches:
     for b in batches:
         tokens = [word_hashes(t or "") for t in b.column(1).to_pylist()]
         found = [seeds(t) for t in tokens]
-        cols = [b.column(0), _lists(tokens, pa.int64()), _lists([f[0] for f in found], pa.int64()), _lists([f[1] for f in found], pa.int32())]
+        at = [np.tile(np.arange(f.shape[1], dtype=np.int32), len(MASKS)) for f in found]
+        cols = [b.column(0), _lists(tokens, pa.int64()), _lists([f.ravel() for f in found], pa.int64()), _lists(at, pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, names=["item_id", "item_words", "seeds", "at"])
 
 
+def _hits(tokens: list[np.ndarray], bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, seeds, positions) of the documents with seeds that the filter lets pass. The documents are
+    hashed as one run of words; windows that reach into the next one don't count."""
+    ends = np.cumsum([len(t) for t in tokens])
+    flat = np.concatenate(tokens)
+    found = seeds(flat)
+    if not found.size:
+        return
+    one, two = _slots(found)
+    hit = (bits[one >> np.uint64(6)] >> (one & np.uint64(63))) & (bits[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1)
+    mask, at = np.nonzero(hit)
+    doc = np.searchsorted(ends, at, side="right")
+    inside = at + SPAN <= ends[doc]
+    mask, at, doc = mask[inside], at[inside], doc[inside]
+    order = np.argsort(doc, kind="stable")
+    mask, at, doc = mask[order], at[order], doc[order]
+    which, first = np.unique(doc, return_index=True)
+    last = np.append(first[1:], len(doc))[: len(first)]
+    for d, lo, hi in zip(which.tolist(), first.tolist(), last.tolist(), strict=True):
+        yield d, found[mask[lo:hi], at[lo:hi]], (at[lo:hi] - (ends[d] - len(tokens[d]))).astype(np.int32)
+
+
 def _document_rows(bits: np.ndarray, read: Callable[[str | None], str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for b in batches:
             keys, tokens, hits, at = [], [], [], []
+            some: list[tuple[int, np.ndarray]] = []
+
+            def flush() -> None:
+                for d, seed, pos in _hits([t for _, t in some], bits) if some else ():
+                    keys.append(some[d][0])
+                    tokens.append(some[d][1])
+                    hits.append(seed)
+                    at.append(pos)
+                some.clear()
+
+            held = 0
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = word_hashes(read(text))
-                seed, pos = seeds(t)
-                one, two = _slots(seed)
-                hit = (bits[one >> np.uint64(6)] >> (one & np.uint64(63))) & (bits[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1)
-                keep = np.flatnonzero(hit)
-                if len(keep):
-                    keys.append(key)
-                    tokens.append(t)
-                    hits.append(seed[keep])
-                    at.append(pos[keep])
+                if len(t) >= SPAN:
+                    some.append((key, t))
+                    held += len(t)
+                if held > WORDS_AT_ONCE:
+                    flush()
+                    held = 0
+            flush()
             cols = [pa.array(keys, pa.int64()), _lists(tokens, pa.int64()), _lists(hits, pa.int64()), _lists(at, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_words", "seeds", "at"])
 
@@ -186,7 +218,7 @@ def leaked_passages(
     few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     pairs = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     pairs = pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    texts = item_rows.select("item_id", "item_words")
+    texts = item_rows.where(F.size("seeds") > 0).select("item_id", "item_words")
     aligned = (
         pairs.join(F.broadcast(texts) if few else texts, "item_id")
         .join(hits.select("doc_id", "doc_words"), "doc_id")
