@@ -45,8 +45,10 @@ def keep_one_delivery(
 
     messages, stored: new deliveries, and those already stored (same columns); a stored copy wins over
         a new one, so running batch after batch gives the same rows as running once.
-    order: what ranks the copies of one message, the first in order stays. Ties fall to a hash of the
-        whole row, so that equal copies are the only ones that can be exchanged for each other.
+    order: what ranks the copies of one message, ascending, NULL first; the first in order stays. Ties fall
+        to a hash of the whole row, so that equal copies are the only ones that can be exchanged for each
+        other. Rank and hash are computed in the scan's stage: columns that aren't asked for in the result
+        aren't exchanged.
 
     Scale: the frequency is counted with map-side combining. The rank is taken within each map task
     before the exchange (group limit), so a hot identifier sends one row a task. For the join of rows
@@ -59,10 +61,16 @@ def keep_one_delivery(
             raise ValueError(f"the input already has a column {name}")
     k, age, salt, tie, n, rank, hot_key, spread_by = spare_names(messages, "k_", "age_", "salt_", "tie_", "n_", "rank_", "hot_", "spread_")
     columns = [F.col(quoted(c)) for c in messages.columns]
-    rows = messages.select("*", key.alias(k), F.lit(1).alias(age))
-    if stored is not None:
-        rows = rows.unionByName(stored.select(*columns).select("*", key.alias(k), F.lit(0).alias(age)))
     plain = [F.col(quoted(c)) for c, t in messages.dtypes if "map<" not in t and "variant" not in t]
+    ranks = spare_names(messages, *[f"place{i}_" for i in range(len(order))])
+    places = [c.alias(r) for c, r in zip(order, ranks, strict=True)]
+
+    def marked(df: DataFrame, old: int) -> DataFrame:
+        return df.select(*columns, key.alias(k), F.lit(old).alias(age), *places, (F.xxhash64(*plain) if plain else F.lit(0)).alias(tie))
+
+    rows = marked(messages, 1)
+    if stored is not None:
+        rows = rows.unionByName(marked(stored, 0))
     keyed = rows.where(F.col(k).isNotNull())
     counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias(n))
     hot = F.broadcast(
@@ -78,13 +86,8 @@ def keep_one_delivery(
     right = salted(counts, F.explode(F.sequence(F.lit(0).cast("bigint"), (spread - 1).cast("bigint"))))
     counted = left.join(right, [k, salt])
     single = counted.where(F.col(n) == 1)
-    window = Window.partitionBy(k).orderBy(age, *order, tie)
-    repeated = (
-        counted.where(F.col(n) > 1)
-        .withColumn(tie, F.xxhash64(*plain) if plain else F.lit(0))
-        .withColumn(rank, F.row_number().over(window))
-        .where(F.col(rank) == 1)
-    )
+    window = Window.partitionBy(k).orderBy(age, *ranks, tie)
+    repeated = counted.where(F.col(n) > 1).withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1)
     out = [*columns, F.col(k).alias(key_as), F.col(n).alias(count_as)]
     loose = rows.where(F.col(k).isNull()).withColumn(n, F.lit(1).cast("bigint"))
     return single.select(*out).unionAll(repeated.select(*out)).unionAll(loose.select(*out))

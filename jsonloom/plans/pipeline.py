@@ -30,7 +30,7 @@ THEATERS = (
 def p1_events(spark: SparkSession, d: str) -> DataFrame:
     """One row per event: the delivery kept, and how many there were."""
     log = deliveries(table(spark, d, "event_log"))
-    order = [F.col("instant_s").isNull(), F.col("payload").isNull(), F.col("received_at").asc_nulls_last(), F.col("delivery_no")]
+    order = [F.col("instant_s").isNull(), F.col("payload").isNull(), F.col("received_at").isNull(), F.col("received_at"), F.col("delivery_no")]
     return keep_one_delivery(log, F.col("event_id"), order)
 
 
@@ -46,7 +46,7 @@ def p1_next_batch(spark: SparkSession, d: str) -> DataFrame:
     """All batches but the last as stored messages, then the last one merged in."""
     log = deliveries(table(spark, d, "event_log")).select("event_id", "delivery_no", "batch_id", "received_at")
     last = log.agg(F.max("batch_id")).first()[0] or 0
-    order = [F.col("received_at").asc_nulls_last(), F.col("delivery_no")]
+    order = [F.col("received_at").isNull(), F.col("received_at"), F.col("delivery_no")]
     old = keep_one_delivery(log.where(F.col("batch_id") < last), F.col("event_id"), order)
     new = log.where((F.col("batch_id") >= last) | F.col("batch_id").isNull())
     stored = stage(old.drop("message_key", "deliveries"), "stored")
