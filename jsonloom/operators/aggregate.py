@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.functions.khash import khash
 from jsonloom.kinds import INLINE, MAX_KEYS, TABLES
 from jsonloom.operators.shred import shred
 from jsonloom.session import stage
@@ -64,15 +63,15 @@ class Aggregate:
                 values = values.unionByName(keys.dropDuplicates(["id"]))
             tables[kind] = values.dropDuplicates(["id"]) if dedup_primitives else values
         inner = rows.where("parent_id is not null").groupBy("doc", F.col("parent_id").alias("node_id"))
-        entry = F.struct("pos", "key", ref.alias("ref"))
+        entry = F.struct("pos", "key", "key_hash", ref.alias("ref"))
         held = inner.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         whole = rows.where(is_nested).select("doc", "node_id", "kind", "id_", "n_children")
-        full = whole.join(held, ["doc", "node_id"], "left").withColumn("entries", F.coalesce("entries", F.array().cast(f"array<struct<pos:int,key:string,ref:{_REF}>>")))
+        full = whole.join(held, ["doc", "node_id"], "left").withColumn("entries", F.coalesce("entries", F.array().cast(f"array<struct<pos:int,key:string,key_hash:bigint,ref:{_REF}>>")))
         arrays = full.where("kind = 'array'").select(F.col("id_").alias("id"), F.transform("entries", lambda e: e["ref"]).alias("value"))
         sized = full.where("kind = 'object'").withColumn(
             "entries", F.when(F.col("n_children") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(full.dtypes)["entries"]))
         )
-        sorted_entries = F.array_sort(F.transform("entries", lambda e: F.struct(khash(e["key"]).alias("khash"), e["key"].alias("key"), e["ref"].alias("ref"))))
+        sorted_entries = F.array_sort(F.transform("entries", lambda e: F.struct(e["key_hash"].alias("khash"), e["key"].alias("key"), e["ref"].alias("ref"))))
         objects = sized.select(F.col("id_").alias("id"), sorted_entries.alias("value"))
         tables["array"] = arrays.dropDuplicates(["id"]) if dedup else arrays
         tables["object"] = objects.dropDuplicates(["id"]) if dedup else objects

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.functions.khash import khash_of
 from jsonloom.functions.numbers import classify, decimal_parts, read_number
 from jsonloom.functions.extract import kind_of
 from jsonloom.kinds import MARKER
@@ -18,13 +20,13 @@ from jsonloom.session import stage
 
 NODES = (
     "doc string, node_id string, parent_id string, depth int, pos int, key string, kind string, v_bool boolean, v_long bigint, "
-    "v_double double, v_big string, v_str string, n_children int, chash string"
+    "v_double double, v_big string, v_str string, n_children int, chash string, key_hash bigint"
 )
 PATH = ", path string"
 _ARROW = [
     ("doc", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("key", pa.string()),
     ("kind", pa.string()), ("v_bool", pa.bool_()), ("v_long", pa.int64()), ("v_double", pa.float64()), ("v_big", pa.string()), ("v_str", pa.string()),
-    ("n_children", pa.int32()), ("chash", pa.string()),
+    ("n_children", pa.int32()), ("chash", pa.string()), ("key_hash", pa.int64()),
 ]
 
 
@@ -49,10 +51,22 @@ def parse_exact(text: str | None) -> Any:
         raise ValueError("nested too deeply") from e
 
 
+@functools.lru_cache(maxsize=65_536)
+def _key_hash(key: str | None) -> int | None:
+    return None if key is None else khash_of(key)
+
+
 def _digest(*parts: str) -> str:
     return xxhash.xxh3_128_hexdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
 
+@functools.lru_cache(maxsize=65_536)
+def _number(literal: str, mode: str) -> tuple:
+    """What ``_scalar`` says of a number, and its content hash; repeated literals are classified once."""
+    out = _scalar(Number(literal), mode)
+    return (*out, _digest(out[0], out[6]))
+
+
 def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float | None, str | None, str | None, str]:
     """(kind, bool, long, double, big, string, text that identifies the value within its kind)."""
     if value is None:
@@ -79,7 +93,7 @@ def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float
 def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tuple]:
     """The node rows of a parsed document, in pre-order. node_id is the Dewey label, parent_id that label
     cut by one. chash identifies a value or subtree by content: equal trees have equal hashes whatever the
-    order of object keys. ``key`` is an object member's key, ``pos`` the place within the parent."""
+    order of object keys. ``key`` is an object member's key, ``key_hash`` its hash, ``pos`` the place within the parent."""
     rows: list[list[Any]] = []
     stack: list[tuple[Any, str, str | None, int, int, str | None, int]] = [(value, "1", None, 0, 0, None, -1)]
     parents: list[int] = []
@@ -89,16 +103,20 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tup
         parents.append(at)
         if isinstance(v, dict) or isinstance(v, list):
             kind = "object" if isinstance(v, dict) else "array"
-            rows.append([doc, label, parent, depth, pos, key, kind, None, None, None, None, None, len(v), None])
+            rows.append([doc, label, parent, depth, pos, key, kind, None, None, None, None, None, len(v), None, _key_hash(key)])
             inner = list(v.items()) if kind == "object" else [(None, x) for x in v]
             for i in range(len(inner) - 1, -1, -1):
                 stack.append((inner[i][1], f"{label}.{i + 1}", label, depth + 1, i, inner[i][0], me))
+        elif isinstance(v, Number) and len(v) < 40:
+            kind, b, n, d, big, s, _, chash = _number(str(v), mode)
+            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, chash, _key_hash(key)])
         else:
             kind, b, n, d, big, s, text = _scalar(v, mode)
-            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, _digest(kind, text)])
+            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, _digest(kind, text), _key_hash(key)])
     inside: dict[int, list[int]] = {}
     for i, p in enumerate(parents):
-        inside.setdefault(p, []).append(i)
+        if p >= 0:
+            inside.setdefault(p, []).append(i)
     for i in range(len(rows) - 1, -1, -1):  # children come after their parents
         row = rows[i]
         if row[13] is None:
