@@ -62,14 +62,16 @@ class Aggregate:
                 keys = rows.where("key is not null").select(string_id(F.col("key")).alias("id"), F.col("key").alias("value"))
                 values = values.unionByName(keys.dropDuplicates(["id"]))
             tables[kind] = values.dropDuplicates(["id"]) if dedup_primitives else values
-        inner = rows.where("parent_id is not null").groupBy("doc", F.col("parent_id").alias("node_id"))
+        # children are gathered by parent; its kind and hash come with them, so no join is needed
+        up = F.col("parent_hash") if dedup else F.concat_ws("#", "parent_hash", "doc", "parent_id")
         entry = F.struct("pos", "key", "key_hash", ref.alias("ref"))
-        held = inner.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        whole = rows.where(is_nested).select("doc", "node_id", "kind", "id_", "n_children")
-        full = whole.join(held, ["doc", "node_id"], "left").withColumn("entries", F.coalesce("entries", F.array().cast(f"array<struct<pos:int,key:string,key_hash:bigint,ref:{_REF}>>")))
+        inner = rows.where("parent_id is not null").withColumn("up_", up)
+        held = inner.groupBy("doc", "parent_id").agg(F.first("up_").alias("id_"), F.first("parent_kind").alias("kind"), F.array_sort(F.collect_list(entry)).alias("entries"))
+        none = F.array().cast(f"array<struct<pos:int,key:string,key_hash:bigint,ref:{_REF}>>")
+        full = held.select("id_", "kind", "entries").unionByName(rows.where(is_nested & (F.col("n_children") == 0)).select("id_", "kind", none.alias("entries")))
         arrays = full.where("kind = 'array'").select(F.col("id_").alias("id"), F.transform("entries", lambda e: e["ref"]).alias("value"))
         sized = full.where("kind = 'object'").withColumn(
-            "entries", F.when(F.col("n_children") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(full.dtypes)["entries"]))
+            "entries", F.when(F.size("entries") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(full.dtypes)["entries"]))
         )
         sorted_entries = F.array_sort(F.transform("entries", lambda e: F.struct(e["key_hash"].alias("khash"), e["key"].alias("key"), e["ref"].alias("ref"))))
         objects = sized.select(F.col("id_").alias("id"), sorted_entries.alias("value"))

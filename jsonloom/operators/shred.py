@@ -20,13 +20,14 @@ from jsonloom.session import stage
 
 NODES = (
     "doc string, node_id string, parent_id string, depth int, pos int, key string, kind string, v_bool boolean, v_long bigint, "
-    "v_double double, v_big string, v_str string, n_children int, chash string, key_hash bigint"
+    "v_double double, v_big string, v_str string, n_children int, chash string, key_hash bigint, "
+    "parent_kind string, parent_hash string"
 )
 PATH = ", path string"
 _ARROW = [
     ("doc", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("key", pa.string()),
     ("kind", pa.string()), ("v_bool", pa.bool_()), ("v_long", pa.int64()), ("v_double", pa.float64()), ("v_big", pa.string()), ("v_str", pa.string()),
-    ("n_children", pa.int32()), ("chash", pa.string()), ("key_hash", pa.int64()),
+    ("n_children", pa.int32()), ("chash", pa.string()), ("key_hash", pa.int64()), ("parent_kind", pa.string()), ("parent_hash", pa.string()),
 ]
 
 
@@ -93,7 +94,8 @@ def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float
 def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tuple]:
     """The node rows of a parsed document, in pre-order. node_id is the Dewey label, parent_id that label
     cut by one. chash identifies a value or subtree by content: equal trees have equal hashes whatever the
-    order of object keys. ``key`` is an object member's key, ``key_hash`` its hash, ``pos`` the place within the parent."""
+    order of object keys. ``key`` is an object member's key, ``key_hash`` its hash; ``parent_kind`` and
+    ``parent_hash`` spare a join with the parent; ``pos`` the place within the parent."""
     rows: list[list[Any]] = []
     stack: list[tuple[Any, str, str | None, int, int, str | None, int]] = [(value, "1", None, 0, 0, None, -1)]
     parents: list[int] = []
@@ -125,7 +127,7 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tup
                 row[13] = _digest("object", *(x for p in sorted((rows[c][5], rows[c][13]) for c in held) for x in p))
             else:
                 row[13] = _digest("array", *(rows[c][13] for c in held))
-    return [tuple(r) for r in rows]
+    return [(*r, None, None) if p < 0 else (*r, rows[p][6], rows[p][13]) for r, p in zip(rows, parents, strict=True)]
 
 
 def node_paths(rows: list[tuple]) -> list[str]:
