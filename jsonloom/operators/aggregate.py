@@ -62,21 +62,19 @@ class Aggregate:
                 keys = rows.where("key is not null").select(string_id(F.col("key")).alias("id"), F.col("key").alias("value"))
                 values = values.unionByName(keys.dropDuplicates(["id"]))
             tables[kind] = values.dropDuplicates(["id"]) if dedup_primitives else values
-        # children are gathered by parent; its kind and hash come with them, so no join is needed
+        # Children are gathered by their parent's id. All occurrences of a shared parent give the same entries, so
+        # a set holds each once; it is combined within the map task, however often the parent occurs.
         up = F.col("parent_hash") if dedup else F.concat_ws("#", "parent_hash", "doc", "parent_id")
-        entry = F.struct("pos", "key", "key_hash", ref.alias("ref"))
-        inner = rows.where("parent_id is not null").withColumn("up_", up)
-        held = inner.groupBy("doc", "parent_id").agg(F.first("up_").alias("id_"), F.first("parent_kind").alias("kind"), F.array_sort(F.collect_list(entry)).alias("entries"))
-        none = F.array().cast(f"array<struct<pos:int,key:string,key_hash:bigint,ref:{_REF}>>")
-        full = held.select("id_", "kind", "entries").unionByName(rows.where(is_nested & (F.col("n_children") == 0)).select("id_", "kind", none.alias("entries")))
-        arrays = full.where("kind = 'array'").select(F.col("id_").alias("id"), F.transform("entries", lambda e: e["ref"]).alias("value"))
-        sized = full.where("kind = 'object'").withColumn(
-            "entries", F.when(F.size("entries") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(full.dtypes)["entries"]))
-        )
-        sorted_entries = F.array_sort(F.transform("entries", lambda e: F.struct(e["key_hash"].alias("khash"), e["key"].alias("key"), e["ref"].alias("ref"))))
-        objects = sized.select(F.col("id_").alias("id"), sorted_entries.alias("value"))
-        tables["array"] = arrays.dropDuplicates(["id"]) if dedup else arrays
-        tables["object"] = objects.dropDuplicates(["id"]) if dedup else objects
+        entry = F.struct(F.when(F.col("parent_kind") == "array", F.col("pos")).alias("pos"), "key_hash", "key", ref.alias("ref"))
+        inner = rows.where("parent_id is not null").groupBy(up.alias("id"), F.col("parent_kind").alias("kind"))
+        held = inner.agg(F.array_sort(F.collect_set(entry)).alias("entries"))
+        none = F.array().cast(dict(held.dtypes)["entries"]).alias("entries")
+        empty = rows.where(is_nested & (F.col("n_children") == 0)).select(F.col("id_").alias("id"), "kind", none)
+        full = held.unionByName(empty.dropDuplicates(["id"]) if dedup else empty)
+        tables["array"] = full.where("kind = 'array'").select("id", F.transform("entries", lambda e: e["ref"]).alias("value"))
+        whole = F.when(F.size("entries") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(held.dtypes)["entries"]))
+        by_hash = F.transform(whole, lambda e: F.struct(e["key_hash"].alias("khash"), e["key"].alias("key"), e["ref"].alias("ref")))
+        tables["object"] = full.where("kind = 'object'").select("id", by_hash.alias("value"))
         tables["root"] = rows.where("parent_id is null").select(F.col("doc").alias("name"), ref.alias("value"))
         return Aggregate({t: tables[t] for t in TABLES})
 
