@@ -17,9 +17,11 @@ from jsonloom.functions.text import normal_form
 from jsonloom.llm.mail import own_paragraphs
 from jsonloom.session import stage
 
-#: Bounds of what the rules are fitted on: labelled documents, and unlabelled ones whose clear paragraphs are
-#: added. A larger table is sampled by a hash of its ids. Scoring covers every document.
-LABELLED, UNLABELLED = 5_000, 5_000
+#: Bound of the labelled documents that the rules are fitted on; more are sampled by a hash of their ids. The
+#: unlabelled ones, whose clear paragraphs are added, count whole, and scoring covers every document.
+LABELLED = 5_000
+#: Distinct terms that a task counts before it hands the counts on.
+HELD = 200_000
 AREA = "area="
 UNCLEAR = 0.5  # what a paragraph that no rule places yet weighs against a term
 
@@ -66,11 +68,11 @@ class Rules:
                     best = (p, area)
         return (best[1], best[0]) if best else None
 
-    def paragraph(self, text: str) -> tuple[dict[str, float], dict[str, int]]:
+    def paragraph(self, sents: list[list[str]]) -> tuple[dict[str, float], dict[str, int]]:
         """(evidence, sentences) by area."""
         score: dict[str, float] = defaultdict(float)
         count: Counter[str] = Counter()
-        for words in sentences(text):
+        for words in sents:
             if v := self.sentence(words):
                 score[v[0]] += v[1]
                 count[v[0]] += 1
@@ -78,7 +80,11 @@ class Rules:
 
     def area(self, text: str, least: int = 2, share: float = 0.6) -> tuple[str, float] | None:
         """The area a paragraph is devoted to, if one has at least ``least`` sentences and ``share`` of all evidence."""
-        score, count = self.paragraph(text)
+        return self.placed(sentences(text), least, share)
+
+    def placed(self, sents: list[list[str]], least: int = 2, share: float = 0.6) -> tuple[str, float] | None:
+        """The same of a paragraph in sentences."""
+        score, count = self.paragraph(sents)
         if not score:
             return None
         top = max(score, key=lambda a: (score[a], a))
@@ -87,10 +93,10 @@ class Rules:
         return None
 
 
-def _wilson(hits: float, n: float, z: float) -> float:
-    """Lower bound of a proportion."""
+def _wilson(hits, n, z: float, sqrt: Callable = math.sqrt):
+    """Lower bound of a proportion; of Columns with their ``sqrt``."""
     p, z2 = hits / n, z * z
-    return (p + z2 / (2 * n) - z * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return (p + z2 / (2 * n) - z * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -117,35 +123,43 @@ def _said(areas: list[str], paragraphs: list[str], rules: Rules | None) -> Itera
         for p in paragraphs:
             sents = sentences(p)
             if len(sents) > 1:
-                a = rules.area(p, 2, 0.75)
+                a = rules.placed(sents, 2, 0.75)
                 yield [a[0]] if a else [], sents
 
 
 def _counter(rules: Rules | None) -> Mapper:
     """(term, area, hits, said): in how many units of the area a term is, and how often it is said; combined
-    within the batch. Area '' stands for units without one, '*' for all, term '' for the units themselves."""
+    within the task. Area '' stands for units without one. A unit of k areas counts k - 1 times under '+' too.
+    Term '=area' stands for the units themselves."""
+
+    def counted(hits: dict[str, Counter[str]], said: Counter[str], units: Counter[str]) -> pa.RecordBatch:
+        rows = [("=" + a, "", n, 0) for a, n in units.items()]
+        rows += [(t, a, n, said.pop(t, 0)) for a, of in hits.items() for t, n in of.items()]
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
+            names=["term", "area", "hits", "said"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: dict[str, Counter[str]] = defaultdict(Counter)
+        said: Counter[str] = Counter()
+        units: Counter[str] = Counter()
         for b in batches:
-            hits: Counter[tuple[str, str]] = Counter()
-            said: Counter[str] = Counter()
             for labels, paragraphs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for areas, sents in _said(labels, paragraphs, rules):
-                    own: Counter[str] = Counter()
+                    own: set[str] = set()
                     for words in sents:
-                        own.update(terms(words))
-                    said.update(own)
-                    for a in areas or [""]:
-                        hits["", a] += 1
-                        hits.update((t, a) for t in own)
-                    hits["", "*"] += 1
-                    hits.update((t, "*") for t in own)
-            rows = [(t, a, n, said[t] if a == "*" else 0) for (t, a), n in hits.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                names=["term", "area", "hits", "said"],
-            )
+                        found = terms(words)
+                        said.update(found)
+                        own |= found
+                    for a in [*(areas or [""]), *["+"] * (len(areas) - 1)]:
+                        units[a] += 1
+                        hits[a].update(own)
+                    if len(said) >= HELD:
+                        yield counted(hits, said, units)
+                        hits, said, units = defaultdict(Counter), Counter(), Counter()
+        yield counted(hits, said, units)
 
     return run
 
@@ -173,24 +187,25 @@ def _speaking_terms(units: DataFrame, rules: Rules | None, least: int, said: int
     A pair of neighbours counts only where neither word does so alone, and neither is a word of all
     subjects (in over a fifth of the units)."""
     counts = units.mapInArrow(_counter(rules), "term string, area string, hits bigint, said bigint")
+    hits, area, term = F.col("hits"), F.col("area"), F.col("term")
     by_term = counts.groupBy("term", "area").agg(F.sum("hits").alias("hits"), F.sum("said").alias("said")).groupBy("term").agg(
-        F.map_from_entries(F.collect_list(F.struct("area", "hits"))).alias("hits"), F.sum("said").alias("said")
-    )
-    rows = by_term.where((F.col("term") == "") | ((F.col("said") >= said) & (F.element_at("hits", "*") >= least))).collect()
-    # Of a bounded number of units, so a bounded number of terms.
-    units_of = next((r.hits for r in rows if r.term == ""), {})
-    size, unclear = units_of.get("*", 0), units_of.get("", 0)
-    share = {a: n / max(size - unclear, 1) for a, n in units_of.items() if a not in ("", "*")}
-    speaks, common = set(), set()
-    for r in rows:
-        n = r.hits["*"] - (1 - UNCLEAR) * r.hits.get("", 0)
-        hits, area = max(((h, a) for a, h in r.hits.items() if a not in ("", "*")), default=(0, ""))
-        # a term said again and again in one unit counts for more than one said once
-        times = min(2.0, max(1.0, (n + r.said) / 2 / n)) if least < 2 else 1.0
-        if r.term and area and _wilson(hits * times, n * times, z) >= share[area] + 0.4 * (1 - share[area]):
-            speaks.add(r.term)
-        elif r.hits["*"] > 0.2 * size:
-            common.add(r.term)
+        F.sum(F.when(area == "+", -hits).otherwise(hits)).alias("n"), F.sum(F.when(area == "", hits).otherwise(0)).alias("unclear"),
+        F.max(F.when(~area.isin("", "+"), F.struct("hits", "area"))).alias("best"), F.sum("said").alias("said"),
+    )
+    rows = stage(by_term.where(term.startswith("=") | ((F.col("said") >= said) & (F.col("n") >= least))), "terms")
+    units_of = {r.term[1:]: r.n for r in rows.where(term.startswith("=")).collect()}
+    size, unclear = sum(units_of.values()) - 2 * units_of.get("+", 0), units_of.get("", 0)
+    share = {a: n / max(size - unclear, 1) for a, n in units_of.items() if a not in ("", "+")}
+    if not share:
+        return []
+    n = F.col("n") - (1 - UNCLEAR) * F.col("unclear")
+    # a term said again and again in one unit counts for more than one said once
+    times = F.least(F.lit(2.0), F.greatest(F.lit(1.0), (n + F.col("said")) / 2 / n)) if least < 2 else F.lit(1.0)
+    bound = F.create_map(*[F.lit(x) for a, p in share.items() for x in (a, p + 0.4 * (1 - p))])
+    alone = F.coalesce(_wilson(F.col("best.hits") * times, n * times, z, F.sqrt) >= F.element_at(bound, F.col("best.area")), F.lit(False))
+    # The driver gets only these: terms that speak, and the few words of all subjects.
+    told = rows.where(~term.startswith("=")).select("term", "n", alone.alias("speaks")).where(F.col("speaks") | (F.col("n") > 0.2 * size)).collect()
+    speaks, common = {r.term for r in told if r.speaks}, {r.term for r in told if not r.speaks}
     pairs = {t for t in speaks if " " in t and any(w in speaks or w in common for w in t.split(" "))}
     return sorted(t for t in speaks - pairs if len(t) > 1)
 
@@ -201,6 +216,8 @@ def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1,
     A transaction is a sentence: its terms that speak for an area, and the areas of its unit. A rule
     whose confidence isn't above that of a rule on fewer of its terms is redundant and pruned. The
     confidence is calibrated to the lower bound that its counts support."""
+    if before is None:
+        units = units.where(F.size("areas") > 0)
     wanted = _speaking_terms(units, before, least, said, z)
     if not wanted:
         return Rules([])
@@ -234,8 +251,8 @@ def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def fit_rules(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, rounds: int = 2, read: Paragraphs = own_paragraphs) -> Rules:
-    """Rules from labelled documents, then ``rounds`` times more from these and the paragraphs of
-    unlabelled ones that the rules place clearly, which brings in terms that no labelled document has.
+    """Rules from labelled documents (a bounded sample), then ``rounds`` times more from these and the paragraphs
+    of all unlabelled ones that the rules place clearly, which brings in terms that no labelled document has.
 
     labels: (doc_id, subject_area), any spelling; areas that ``areas`` doesn't list are ignored."""
     known = areas.select(normal_form(F.col("subject_area")).alias("area")).where("area is not null").distinct()
@@ -245,8 +262,8 @@ def fit_rules(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, roun
     text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     none = F.array().cast("array<string>")
     labelled = text.join(F.broadcast(tidy), "doc_id").select("text", "areas")
-    sample = _sampled(text.where("doc_id is not null"), "doc_id", UNLABELLED).join(F.broadcast(tidy.select("doc_id")), "doc_id", "left_anti")
-    both = labelled.unionByName(sample.select("text", none.alias("areas")))
+    rest = text.where("doc_id is not null").join(F.broadcast(tidy.select("doc_id")), "doc_id", "left_anti")
+    both = labelled.unionByName(rest.select("text", none.alias("areas")))
     # copies of a message say nothing new
     units = stage(both.mapInArrow(_reader(read), _UNITS).dropDuplicates(["areas", "paragraphs"]), "units")
     rules = mine_rules(units)
@@ -278,8 +295,7 @@ def subject_areas(documents: DataFrame, rules: Rules, *, read: Paragraphs = own_
     """(doc_id, subject_area, paragraphs, evidence): each area to which the author of a document devotes a
     paragraph, with the number of such paragraphs and the evidence of the matching rules.
 
-    Every document is read whole, in Arrow batches, without any exchange; the rules come from a bounded
-    sample and are small. NULL ids, NULL and empty texts and texts without a clear paragraph give no
+    Every document is read whole, in Arrow batches, without any exchange; the rules are small. NULL ids, NULL and empty texts and texts without a clear paragraph give no
     rows; repeated documents give theirs again; no rules give no rows."""
     text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     return text.mapInArrow(_scored(rules, read), "doc_id bigint, subject_area string, paragraphs int, evidence double")

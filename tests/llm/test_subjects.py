@@ -66,3 +66,15 @@ def test_redundant_rules_are_pruned(spark):
     units = spark.createDataFrame([(["law"], [f"The lease clause of house {i}. Another lease clause."]) for i in range(9)] + [(["sport"], ["The away match. The match was away."])] * 3, "areas array<string>, paragraphs array<string>")
     found = {k: a for k, a, _ in mine_rules(units).rules}
     assert found[("clause",)] == "law" and not any(len(k) > 1 for k in found)
+
+
+def test_unlabelled_messages_count_whole(spark):
+    """A word that four of 9,000 unlabelled messages have gets its rule; so few show in no sample."""
+    words = {"law": ("statute", "injunction"), "sport": ("goalkeeper", "referee"), "cooking": ("custard", "onion"), "travel": ("ferry", "passport"), "music": ("violin", "chorus")}
+    labels = [(100 * n + i, a) for n, a in enumerate(words) for i in range(20)]
+    docs = [(i, "S: x\n\nThe {0} of house {2} is old. A {1} near house {2} came.".format(*words[a], chr(97 + i % 100) * 3)) for i, a in labels]
+    docs += [(1_000 + i, f"S: x\n\nSee you at noon {i}.") for i in range(9_000)]
+    docs += [(i, f"S: x\n\nThe statute and the usufruct of {w} stand. Any injunction needs an usufruct.") for i, w in ((20_001, "ash"), (20_002, "elm"), (20_003, "fir"), (20_004, "oak"))]
+    areas = spark.createDataFrame([(a, "") for a in words], "subject_area string, note string")
+    rules = fit_rules(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_area string"), areas)
+    assert any("usufruct" in k and a == "law" for k, a, _ in rules.rules)
