@@ -254,10 +254,19 @@ def node_paths(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select(F.col("doc").cast("bigint").alias("event_id"), "path", "v_long")
 
 
-def spec_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct schema of all specifications: paths and kinds with the number of documents."""
+def _schema(spark: SparkSession, d: str, depth: str) -> DataFrame:
     nodes = shred(table(spark, d, "api_spec"), F.col("spec_id"), F.col("body"), paths=True)
-    return nodes.where("depth = 1").groupBy("path", "kind").agg(F.countDistinct("doc").alias("documents"))
+    return nodes.where(f"depth {depth}").groupBy("path", "kind").agg(F.countDistinct("doc").alias("documents"))
+
+
+def spec_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The top level of ``spec_schema``."""
+    return _schema(spark, d, "= 1")
+
+
+def spec_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct schema of all specifications: paths of every depth and kinds with the number of documents."""
+    return _schema(spark, d, ">= 1")
 
 
 def shred_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -423,7 +432,7 @@ QUERIES = {
     for f in (
         json_source, encode_from_struct, encode_from_string, decode_all_roots, field_lookup, path_query, array_index, array_neg_index, read_segments, try_query, kind_filter,
         as_short, as_int, as_long, as_double, as_string, as_bool, match_kinds, classify_numbers, classify_prices, bigdec_parts, object_entries, array_elements, container_size,
-        array_left_right, khash_keys, khash_buckets, entries_by_khash, nth_key, path_split, shred_nodes, node_paths, spec_paths, shred_pages, streamed_shred, facts_latest,
+        array_left_right, khash_keys, khash_buckets, entries_by_khash, nth_key, path_split, shred_nodes, node_paths, spec_paths, spec_schema, shred_pages, streamed_shred, facts_latest,
         dedup_strings, dedup_numbers, value_freq, dedup_arrays, dedup_objects, assign_ids, pack_multi_root, union_dedup, table_listing, summary, root_lookup, deref_join, key_join,
         eager_scan, reconstruct_json, rebuild_nodes, sum_by_key, rewrite_strings, sql_surface, native_shred,
     )

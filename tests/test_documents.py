@@ -345,3 +345,28 @@ def test_number_sheet_matches_brute_force(spark, small):
             single = np.float32(t)
             want = "float" if np.isfinite(single) and Fraction(str(single)) == exact else "double" if Fraction(repr(float(t))) == exact else "bigdec"
         assert r.k == want, t
+
+
+def test_spec_schema_has_every_depth(spark, small):
+    """Against a walk of the parsed specifications."""
+    from jsonloom.plans.documents import QUERIES
+
+    kinds = {dict: "object", list: "array", str: "string", bool: "bit", type(None): "null"}
+    want = {}
+
+    def walk(doc, steps, v):
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
+            at = [*steps, k]
+            want.setdefault((render_path(at), kinds.get(type(x), "number")), set()).add(doc)
+            walk(doc, at, x)
+
+    for r in spark.read.parquet(f"{small}/api_spec.parquet").collect():
+        try:
+            walk(r.spec_id, [], json.loads(r.body or ""))
+        except ValueError:
+            pass
+    rows = QUERIES["spec_schema"](spark, small).collect()
+    named = set(kinds.values())
+    got = {(r.path, r.kind if r.kind in named else "number"): r.documents for r in rows}
+    assert len(got) == len(rows) and got == {k: len(v) for k, v in want.items()}
+    assert max(len(parse_path(p)) for p, _ in got) > 3
