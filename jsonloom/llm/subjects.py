@@ -19,7 +19,7 @@ from jsonloom.session import stage
 
 #: Bound of the labelled documents that the rules are fitted on; more are sampled by a hash of their ids. The
 #: unlabelled ones, whose clear paragraphs are added, count whole, and scoring covers every document.
-LABELLED = 5_000
+LABELLED = 20_000
 #: Distinct terms that a task counts before it hands the counts on.
 HELD = 200_000
 AREA = "area="
