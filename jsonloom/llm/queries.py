@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.llm.leakage import leaked_passages
 from jsonloom.llm.mixture import mixture, mixture_shares, sized, source_rates
-from jsonloom.llm.subjects import fit_rules, subject_areas
+from jsonloom.llm.subjects import areas_of_own, fit_own, read_own_text
 from jsonloom.session import stage, table
 
 
@@ -54,8 +54,8 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_areas(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return subject_areas(documents, fit_rules(documents, table(spark, d, "subject_label"), table(spark, d, "subject_area")))
+    own = read_own_text(table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject_area"))
+    return areas_of_own(own, fit_own(own))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

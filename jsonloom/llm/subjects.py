@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jsonloom.functions.text import normal_form
@@ -20,10 +19,15 @@ from jsonloom.session import stage
 #: Bound of the labelled documents that the rules are fitted on; more are sampled by a hash of their ids. The
 #: unlabelled ones, whose clear paragraphs are added, count whole, and scoring covers every document.
 LABELLED = 20_000
-#: Distinct terms that a task counts before it hands the counts on.
+#: Distinct words that a task counts before it hands the counts on.
 HELD = 200_000
-AREA = "area="
-UNCLEAR = 0.5  # what a paragraph that no rule places yet weighs against a term
+LONGEST_SENTENCE = 60  # words of a transaction; a longer sentence gives several
+LONGEST_RULE = 3  # words of a rule
+SUPPORT = 2e-6  # least share of all units that a word of a rule is in; of a rule on several words, 50 times that
+COMMON = 0.2  # a word of all subjects: in more than this share of the units
+GROUPS = 64  # of words, each mined by itself
+STRICT = 3.3  # deviations that a rule on several words is lowered by; far more of them are tried
+UNCLEAR = 0.5  # what a paragraph that no rule places yet weighs against a word
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
@@ -35,38 +39,43 @@ def sentences(paragraph: str) -> list[list[str]]:
     return [w for w in (_WORD.findall(s) for s in _SENTENCE.split(paragraph.lower())) if w]
 
 
-def terms(sentence: Sequence[str]) -> set[str]:
-    """Words and pairs of neighbours."""
-    return {*sentence, *(f"{a} {b}" for a, b in zip(sentence, sentence[1:], strict=False))}
+def packed(paragraph: str) -> str:
+    """A paragraph's sentences as text: a line each, words parted by blanks."""
+    return "\n".join(" ".join(w) for w in sentences(paragraph))
+
+
+def unpacked(lines: str) -> list[list[str]]:
+    return [s.split(" ") for s in lines.split("\n")] if lines else []
 
 
 @dataclass
 class Rules:
-    """Pruned class-association rules: a set of terms, the area it speaks for, and its calibrated confidence."""
+    """Pruned class-association rules: a set of words, the area it speaks for, and its calibrated confidence."""
 
     rules: list[tuple[tuple[str, ...], str, float]]
-    _by_term: dict[str, list[tuple[frozenset[str], str, float]]] = field(default_factory=dict, repr=False)
-    _first: set[str] = field(default_factory=set, repr=False)
+    units: int = 0  # labelled documents and paragraphs with an area that they were mined from
+    _alone: dict[str, tuple[float, str]] = field(default_factory=dict, repr=False)
+    _together: dict[str, list[tuple[frozenset[str], float, str]]] = field(default_factory=dict, repr=False)
 
-    def _index(self) -> dict[str, list[tuple[frozenset[str], str, float]]]:
-        if not self._by_term and self.rules:
-            for items, area, p in self.rules:
-                self._by_term.setdefault(items[0], []).append((frozenset(items), area, p))
-            self._first = {t.split(" ")[0] for t in self._by_term if " " in t}
-        return self._by_term
+    def _index(self) -> None:
+        for words, area, p in self.rules:
+            if len(words) == 1:
+                self._alone[words[0]] = max((p, area), self._alone.get(words[0], (0.0, "")))
+            else:
+                self._together.setdefault(words[0], []).append((frozenset(words), p, area))
 
     def sentence(self, words: Sequence[str]) -> tuple[str, float] | None:
         """The area a sentence speaks for, by its strongest matching rule, and that rule's confidence."""
-        by = self._index()
-        said = [w for w in words if w in by]
-        if self._first:
-            said += [t for a, b in zip(words, words[1:], strict=False) if a in self._first and (t := f"{a} {b}") in by]
-        best: tuple[float, str] | None = None
-        for t in said:
-            for items, area, p in by[t]:
-                if (best is None or (p, area) > best) and (len(items) == 1 or items <= terms(words)):
-                    best = (p, area)
-        return (best[1], best[0]) if best else None
+        if not self._alone and not self._together:
+            self._index()
+        best = max((self._alone[w] for w in words if w in self._alone), default=(0.0, ""))
+        if self._together:
+            every = set(words)
+            for w in every & self._together.keys():
+                for said, p, area in self._together[w]:
+                    if (p, area) > best and said <= every:
+                        best = (p, area)
+        return (best[1], best[0]) if best[1] else None
 
     def paragraph(self, sents: list[list[str]]) -> tuple[dict[str, float], dict[str, int]]:
         """(evidence, sentences) by area."""
@@ -92,6 +101,14 @@ class Rules:
             return top, score[top]
         return None
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Rules as a Parquet table (words, area, confidence), so that they are fitted once and used again."""
+        spark.createDataFrame([(list(w), a, p) for w, a, p in self.rules], "words array<string>, area string, confidence double").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Rules:
+        return Rules([(tuple(r.words), r.area, r.confidence) for r in spark.read.parquet(path).collect()])
+
 
 def _wilson(hits, n, z: float, sqrt: Callable = math.sqrt):
     """Lower bound of a proportion; of Columns with their ``sqrt``."""
@@ -100,16 +117,18 @@ def _wilson(hits, n, z: float, sqrt: Callable = math.sqrt):
 
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-_UNITS = "areas array<string>, paragraphs array<string>"
+_READ = "doc_id bigint, areas array<string>, paragraphs array<string>"
+Rows = Iterable[tuple[tuple[str, ...], str, int]]
 
 
 def _reader(read: Paragraphs) -> Mapper:
-    """(areas, paragraphs) of documents with (text, areas)."""
+    """(doc_id, areas, paragraphs) of documents with (doc_id, areas, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [read(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.list_(pa.string())), pa.array(own, pa.list_(pa.string()))], names=["areas", "paragraphs"])
+            own = [[q for p in read(t) if (q := packed(p))] for t in b.column(2).to_pylist()]
+            cols = [b.column(0), b.column(1).cast(pa.list_(pa.string())), pa.array(own, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "areas", "paragraphs"])
 
     return run
 
@@ -118,128 +137,230 @@ def _said(areas: list[str], paragraphs: list[str], rules: Rules | None) -> Itera
     """The units of a document: all of a labelled one; each paragraph of an unlabelled one, with the area in
     which the rules place it clearly, if any."""
     if areas:
-        yield areas, [s for p in paragraphs for s in sentences(p)]
+        yield areas, [s for p in paragraphs for s in unpacked(p)]
     elif rules is not None:
         for p in paragraphs:
-            sents = sentences(p)
+            sents = unpacked(p)
             if len(sents) > 1:
                 a = rules.placed(sents, 2, 0.75)
                 yield [a[0]] if a else [], sents
 
 
 def _counter(rules: Rules | None) -> Mapper:
-    """(term, area, hits, said): in how many units of the area a term is, and how often it is said; combined
-    within the task. Area '' stands for units without one. A unit of k areas counts k - 1 times under '+' too.
-    Term '=area' stands for the units themselves."""
+    """(word, area, hits, said): in how many units of the area a word is, and in how many of their sentences;
+    combined within the task. Area '' stands for units without one. A unit of k areas counts k - 1 times under
+    '+' too. Word '=' stands for the units themselves."""
 
-    def counted(hits: dict[str, Counter[str]], said: Counter[str], units: Counter[str]) -> pa.RecordBatch:
-        rows = [("=" + a, "", n, 0) for a, n in units.items()]
-        rows += [(t, a, n, said.pop(t, 0)) for a, of in hits.items() for t, n in of.items()]
+    def counted(hits: dict[str, Counter[str]], said: dict[str, Counter[str]]) -> pa.RecordBatch:
+        rows = [(w, a, n, said[a][w]) for a, of in hits.items() for w, n in of.items()]
         cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-            names=["term", "area", "hits", "said"],
-        )
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["word", "area", "hits", "said"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: dict[str, Counter[str]] = defaultdict(Counter)
-        said: Counter[str] = Counter()
-        units: Counter[str] = Counter()
+        said: dict[str, Counter[str]] = defaultdict(Counter)
         for b in batches:
             for labels, paragraphs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for areas, sents in _said(labels, paragraphs, rules):
-                    own: set[str] = set()
-                    for words in sents:
-                        found = terms(words)
-                        said.update(found)
-                        own |= found
+                    each = [w for s in sents for w in set(s)]
+                    own = {"=", *each}
                     for a in [*(areas or [""]), *["+"] * (len(areas) - 1)]:
-                        units[a] += 1
                         hits[a].update(own)
-                    if len(said) >= HELD:
-                        yield counted(hits, said, units)
-                        hits, said, units = defaultdict(Counter), Counter(), Counter()
-        yield counted(hits, said, units)
+                        said[a].update(each)
+            if sum(map(len, hits.values())) >= HELD:
+                yield counted(hits, said)
+                hits, said = defaultdict(Counter), defaultdict(Counter)
+        yield counted(hits, said)
 
     return run
 
 
-def _transactions(rules: Rules | None, known: frozenset[str]) -> Mapper:
-    """The item sets of sentences of placed units: their known terms, and the areas."""
+@dataclass
+class _Counts:
+    """What is known of the words of all units: rules on one word, and words that may speak together."""
+
+    rules: dict[tuple[str, ...], tuple[str, float]]
+    open: dict[str, int]  # word -> rank, the most frequent first
+    bounds: dict[str, float]  # what the confidence of a rule must reach, by area
+    units: int
+    placed: int
+
+
+def _count_words(units: DataFrame, rules: Rules | None, least: int, said: int, z: float) -> _Counts:
+    """Words that speak for an area: their units have it in common far more often than its own share would
+    give, by the lower bound of what their number supports. Words that don't, and are no words of all
+    subjects, may still speak for one together with others, if a rule on them could beat their own."""
+    counts = units.select("areas", "paragraphs").mapInArrow(_counter(rules), "word string, area string, hits bigint, said bigint")
+    hits, area, word = F.col("hits"), F.col("area"), F.col("word")
+    by_word = counts.groupBy("word", "area").agg(F.sum("hits").alias("hits"), F.sum("said").alias("said")).groupBy("word").agg(
+        F.sum(F.when(area == "+", -hits).otherwise(hits)).alias("n"), F.sum(F.when(area == "", hits).otherwise(0)).alias("unclear"),
+        F.max(F.when(~area.isin("", "+"), F.struct("hits", "area", "said"))).alias("best"),
+        F.sum(F.when(area == "+", -F.col("said")).otherwise(F.col("said"))).alias("all"), F.sum(F.when(area == "", F.col("said")).otherwise(0)).alias("unclear_said"),
+        F.collect_list(F.when(word == "=", F.struct("area", "hits"))).alias("of"),
+    )
+    rows = stage(by_word.where((word == "=") | ((F.col("all") >= said) & (F.col("n") >= least))), "words")
+    whole = rows.where(word == "=").first()
+    units_of = {} if whole is None else {r.area: r.hits for r in whole.of}
+    size, unclear = 0 if whole is None else whole.n, units_of.get("", 0)
+    share = {a: n / max(size - unclear, 1) for a, n in units_of.items() if a not in ("", "+")}
+    if not share:
+        return _Counts({}, {}, {}, size, 0)
+    n = F.col("n") - (1 - UNCLEAR) * F.col("unclear")
+    # a word said again and again in one unit counts for more than one said once
+    times = F.least(F.lit(2.0), F.greatest(F.lit(1.0), (n + F.col("all")) / 2 / n)) if least < 2 else F.lit(1.0)
+    bounds = {a: p + 0.4 * (1 - p) for a, p in share.items()}
+    bound = F.create_map(*[F.lit(x) for of in bounds.items() for x in of])
+    speaks = F.coalesce(_wilson(F.col("best.hits") * times, n * times, z, F.sqrt) >= F.element_at(bound, F.col("best.area")), F.lit(False))
+    known = rows.where((word != "=") & (F.length("word") > 1) & (F.col("n") >= max(least, SUPPORT * size)))
+    clear = F.col("all") - F.col("unclear_said")
+    known = known.select("word", "n", F.col("best.area").alias("area"), F.col("best.said").alias("hits"), clear.alias("clear"), speaks.alias("speaks"), (F.col("n") > COMMON * size).alias("common"))
+    # The driver gets words in a given share of the units at least: their number is bounded by a unit's words over that share.
+    frequent = max(5, 50 * SUPPORT * size)
+    alone, pair = {}, []
+    for r in known.where(F.col("hits").isNotNull() & (F.col("speaks") | (~F.col("common") & (F.col("n") >= frequent)))).collect():
+        p = _wilson(r.hits, max(r.clear, r.hits), z)
+        if r.speaks and p >= 0.5:
+            alone[(r.word,)] = (r.area, p)
+        # the best that a rule with this word could be is one that holds for all its sentences of the area
+        if not r.common and r.n >= frequent and not (r.speaks and _wilson(r.hits, r.hits, z) <= p + 0.02):
+            pair.append(r)
+    ranked = {r.word: i for i, r in enumerate(sorted(pair, key=lambda r: (-r.n, r.word)))}
+    return _Counts(alone, ranked, bounds, size, size - unclear)
+
+
+def _transactions(rules: Rules | None, ranks: dict[str, int]) -> Mapper:
+    """(grp, items, area, n): of each sentence the ranks of its open words, ascending, once a unit; of these, for
+    each group of words, what stands before the group's last word (the group-dependent transactions of
+    parallel FP-growth). Areas as in ``_counter``. Combined within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[tuple[int, ...], str]] = Counter()
         for b in batches:
-            out = []
             for labels, paragraphs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for areas, sents in _said(labels, paragraphs, rules):
-                    if areas:
-                        marks = [AREA + a for a in sorted(set(areas))]
-                        out += [found + marks for words in sents if (found := sorted(terms(words) & known))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
+                    sets = {tuple(sorted({ranks[w] for w in s[i : i + LONGEST_SENTENCE] if w in ranks})) for s in sents for i in range(0, len(s), LONGEST_SENTENCE)}
+                    for a in [*(areas or [""]), *["+"] * (len(areas) - 1)]:
+                        held.update((x, a) for x in sets if len(x) > 1)
+            if len(held) >= HELD:
+                yield _grouped(held)
+                held.clear()
+        yield _grouped(held)
 
     return run
 
 
-def _speaking_terms(units: DataFrame, rules: Rules | None, least: int, said: int, z: float) -> list[str]:
-    """The terms that speak for an area: those whose units have one area in common far more often than
-    the area's own share would give (by the lower bound of what their number supports).
+def _grouped(held: Counter[tuple[tuple[int, ...], str]]) -> pa.RecordBatch:
+    out: Counter[tuple[int, tuple[int, ...], str]] = Counter()
+    for (items, area), n in held.items():
+        done: set[int] = set()
+        for i in range(len(items) - 1, 0, -1):
+            g = items[i] % GROUPS
+            if g not in done:
+                done.add(g)
+                out[g, items[: i + 1], area] += n
+    rows = [(*k, n) for k, n in out.items()]
+    cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
+    types = (pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["grp", "items", "area", "n"])
+
+
+Paths = dict[tuple[int, ...], Counter[str]]
+
+
+def grow(paths: Paths, ends: Callable[[int], bool], least: int, worth: Callable[[Counter[str]], bool], longest: int = LONGEST_RULE) -> Iterator[tuple[tuple[int, ...], Counter[str]]]:
+    """Frequent patterns of 2 to ``longest`` items whose last item ``ends`` accepts, with their counts by area:
+    FP-growth over conditional pattern bases, kept as merged prefix paths. A pattern is grown only while it is
+    frequent and ``worth`` it; so a path of n items gives n over ``longest`` patterns at most."""
+
+    def total(by: Counter[str]) -> int:
+        return by.total() - 2 * by["+"]
+
+    def grown(base: Paths, pattern: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], Counter[str]]]:
+        found: dict[int, Counter[str]] = defaultdict(Counter)
+        for path, by in base.items():
+            for x in path:
+                found[x].update(by)
+        for x, by in found.items():
+            if total(by) < least:
+                continue
+            yield (x, *pattern), by
+            if len(pattern) + 1 < longest and worth(by):
+                inner: Paths = defaultdict(Counter)
+                for path, of in base.items():
+                    if x in path and (before := path[: path.index(x)]):
+                        inner[before].update(of)
+                yield from grown(inner, (x, *pattern))
+
+    bases: dict[int, Paths] = defaultdict(lambda: defaultdict(Counter))
+    for path, by in paths.items():
+        for i in range(1, len(path)):
+            if ends(path[i]):
+                bases[path[i]][path[:i]].update(by)
+    for x, base in bases.items():
+        if total(sum(base.values(), Counter())) >= least:
+            yield from grown(base, (x,))
+
+
+def _miner(least: int, bounds: dict[str, float], z: float) -> Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = key[0].as_py()
+        paths: Paths = defaultdict(Counter)
+        for b in batches:
+            for items, area, n in zip(*(b.column(c).to_pylist() for c in ("items", "area", "n")), strict=True):
+                paths[tuple(items)][area] += n
 
-    A pair of neighbours counts only where neither word does so alone, and neither is a word of all
-    subjects (in over a fifth of the units)."""
-    counts = units.mapInArrow(_counter(rules), "term string, area string, hits bigint, said bigint")
-    hits, area, term = F.col("hits"), F.col("area"), F.col("term")
-    by_term = counts.groupBy("term", "area").agg(F.sum("hits").alias("hits"), F.sum("said").alias("said")).groupBy("term").agg(
-        F.sum(F.when(area == "+", -hits).otherwise(hits)).alias("n"), F.sum(F.when(area == "", hits).otherwise(0)).alias("unclear"),
-        F.max(F.when(~area.isin("", "+"), F.struct("hits", "area"))).alias("best"), F.sum("said").alias("said"),
-    )
-    rows = stage(by_term.where(term.startswith("=") | ((F.col("said") >= said) & (F.col("n") >= least))), "terms")
-    units_of = {r.term[1:]: r.n for r in rows.where(term.startswith("=")).collect()}
-    size, unclear = sum(units_of.values()) - 2 * units_of.get("+", 0), units_of.get("", 0)
-    share = {a: n / max(size - unclear, 1) for a, n in units_of.items() if a not in ("", "+")}
-    if not share:
-        return []
-    n = F.col("n") - (1 - UNCLEAR) * F.col("unclear")
-    # a term said again and again in one unit counts for more than one said once
-    times = F.least(F.lit(2.0), F.greatest(F.lit(1.0), (n + F.col("said")) / 2 / n)) if least < 2 else F.lit(1.0)
-    bound = F.create_map(*[F.lit(x) for a, p in share.items() for x in (a, p + 0.4 * (1 - p))])
-    alone = F.coalesce(_wilson(F.col("best.hits") * times, n * times, z, F.sqrt) >= F.element_at(bound, F.col("best.area")), F.lit(False))
-    # The driver gets only these: terms that speak, and the few words of all subjects.
-    told = rows.where(~term.startswith("=")).select("term", "n", alone.alias("speaks")).where(F.col("speaks") | (F.col("n") > 0.2 * size)).collect()
-    speaks, common = {r.term for r in told if r.speaks}, {r.term for r in told if not r.speaks}
-    pairs = {t for t in speaks if " " in t and any(w in speaks or w in common for w in t.split(" "))}
-    return sorted(t for t in speaks - pairs if len(t) > 1)
-
-
-def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1, said: int = 3, min_confidence: float = 0.5, z: float = 1.28) -> Rules:
+        def best(by: Counter[str]) -> tuple[float, str, int]:
+            hits, area = max(((n, a) for a, n in by.items() if a not in ("", "+")), default=(0, ""))
+            return (_wilson(hits, by.total() - 2 * by["+"] - (1 - UNCLEAR) * by[""], z) if hits else 0.0), area, hits
+
+        def worth(by: Counter[str]) -> bool:
+            p, _, hits = best(by)
+            return hits >= least and _wilson(hits, hits, z) > p + 0.02
+
+        rows = []
+        for items, by in grow(paths, lambda x: x % GROUPS == group, least, worth):
+            p, area, hits = best(by)
+            if hits >= least and p >= bounds[area]:
+                rows.append((items, area, p))
+        cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=["items", "area", "p"])
+
+    return run
+
+
+def pruned(found: dict[tuple[str, ...], tuple[str, float]]) -> dict[tuple[str, ...], tuple[str, float]]:
+    """Without redundant rules: those whose confidence isn't above that of a rule on fewer of their words."""
+    kept: dict[tuple[str, ...], tuple[str, float]] = {}
+    for key in sorted(found, key=lambda k: (len(k), k)):
+        parts = [s for i in range(len(key)) for s in (key[:i] + key[i + 1 :], (key[i],)) if len(key) > 1 and s in kept]
+        if not any(kept[s][1] >= found[key][1] - 0.02 for s in parts):
+            kept[key] = found[key]
+    return kept
+
+
+def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1, said: int = 3, z: float = 1.28, together: bool = True) -> Rules:
     """Class-association rules of the units' sentences, by parallel FP-growth.
 
-    A transaction is a sentence: its terms that speak for an area, and the areas of its unit. A rule
-    whose confidence isn't above that of a rule on fewer of its terms is redundant and pruned. The
-    confidence is calibrated to the lower bound that its counts support."""
+    A transaction is a sentence: its words, and the areas of its unit. Rules on one word come from the counts of
+    words. Words that don't speak alone are ranked by frequency; each group of them gets the parts of the
+    transactions that end with its words, and grows the frequent patterns of up to LONGEST_RULE words there.
+    Frequent words have short parts and rare words few, so groups are even; what grows is bounded by
+    LONGEST_SENTENCE. A rule whose confidence isn't above that of a rule on fewer of its words is redundant.
+    The confidence is calibrated to the lower bound that its counts support."""
     if before is None:
         units = units.where(F.size("areas") > 0)
-    wanted = _speaking_terms(units, before, least, said, z)
-    if not wanted:
-        return Rules([])
-    rows = stage(units.mapInArrow(_transactions(before, frozenset(wanted)), "items array<string>"), "transactions")
-    n = rows.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (said - 0.5) / max(n, 1)), minConfidence=min_confidence).fit(rows)
-    is_area = F.col("consequent")[0].startswith(AREA)
-    raw = model.associationRules.where(is_area & ~F.exists("antecedent", lambda x: x.startswith(AREA)) & (F.size("antecedent") <= 3))
-    found: dict[tuple[str, ...], tuple[str, float]] = {}
-    for r in raw.select("antecedent", "consequent", "confidence", "support").collect():
-        hits = round(r.support * n)
-        p = _wilson(hits, max(hits, round(hits / r.confidence)), z)
-        key = tuple(sorted(r.antecedent))
-        if key not in found or found[key][1] < p:
-            found[key] = (r.consequent[0][len(AREA) :], p)
-    kept: dict[tuple[str, ...], tuple[str, float]] = {}
-    for key in sorted(found, key=lambda k: (len(k), k)):
-        area, p = found[key]
-        parts = [s for i in range(len(key)) if (s := key[:i] + key[i + 1 :]) in kept] + [(t,) for t in key if len(key) > 2 and (t,) in kept]
-        if not any(kept[s][1] >= p - 0.02 for s in parts):
-            kept[key] = (area, p)
-    return Rules([(k, a, p) for k, (a, p) in kept.items()])
+    known = _count_words(units, before, least, said, z)
+    found = dict(known.rules)
+    if together and len(known.open) > 1:
+        words = list(known.open)
+        parts = units.select("areas", "paragraphs").mapInArrow(_transactions(before, known.open), "grp int, items array<int>, area string, n bigint")
+        merged = parts.groupBy("grp", "items", "area").agg(F.sum("n").alias("n"))
+        support = max(5, math.ceil(50 * SUPPORT * known.units))
+        mined = merged.groupBy("grp").applyInArrow(_miner(support, known.bounds, STRICT), "items array<int>, area string, p double")
+        for r in mined.collect():  # rules alone: each on words that the driver holds, and above the support
+            found[tuple(words[i] for i in r["items"])] = (r.area, r.p)
+    return Rules([(k, a, p) for k, (a, p) in pruned(found).items()], known.placed)
 
 
 def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
@@ -250,36 +371,47 @@ def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
 
 
-def fit_rules(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, rounds: int = 2, read: Paragraphs = own_paragraphs) -> Rules:
-    """Rules from labelled documents (a bounded sample), then ``rounds`` times more from these and the paragraphs
-    of all unlabelled ones that the rules place clearly, which brings in terms that no labelled document has.
-
-    labels: (doc_id, subject_area), any spelling; areas that ``areas`` doesn't list are ignored."""
+def read_own_text(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, read: Paragraphs = own_paragraphs) -> DataFrame:
+    """(doc_id, areas, paragraphs): every document's own text in sentences, with its labels (none: an empty
+    list; at most LABELLED documents have some). Read once and written to the shared folder; fitting and scoring
+    start from there. Of ``labels`` (doc_id, subject_area), in any spelling, areas that ``areas`` doesn't list
+    are ignored."""
     known = areas.select(normal_form(F.col("subject_area")).alias("area")).where("area is not null").distinct()
     tidy = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), normal_form(F.col("subject_area")).alias("area")).where("doc_id is not null")
-    tidy = tidy.join(known, "area").groupBy("doc_id").agg(F.collect_set("area").alias("areas"))
+    tidy = tidy.join(known, "area").groupBy("doc_id").agg(F.array_sort(F.collect_set("area")).alias("areas"))
     tidy = stage(_sampled(tidy, "doc_id", LABELLED), "labels")  # bounded, so it may be broadcast
     text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    none = F.array().cast("array<string>")
-    labelled = text.join(F.broadcast(tidy), "doc_id").select("text", "areas")
-    rest = text.where("doc_id is not null").join(F.broadcast(tidy.select("doc_id")), "doc_id", "left_anti")
-    both = labelled.unionByName(rest.select("text", none.alias("areas")))
+    both = text.join(F.broadcast(tidy), "doc_id", "left").select("doc_id", F.coalesce("areas", F.array().cast("array<string>")).alias("areas"), "text")
+    return stage(both.mapInArrow(_reader(read), _READ), "own")
+
+
+def fit_own(own: DataFrame, *, rounds: int = 6) -> Rules:
+    """Rules from the labelled documents of ``read_own_text``, then again from these and all paragraphs of
+    unlabelled ones that the rules place clearly, which brings in words that no labelled document has; until a
+    round places under 1 % more paragraphs than the one before, ``rounds`` times at most."""
     # copies of a message say nothing new
-    units = stage(both.mapInArrow(_reader(read), _UNITS).dropDuplicates(["areas", "paragraphs"]), "units")
+    units = stage(own.where(F.size("paragraphs") > 0).select("areas", "paragraphs").dropDuplicates(), "units")
     rules = mine_rules(units)
-    for _ in range(rounds if rules.rules else 0):
-        rules = mine_rules(units, rules, least=3, z=1.64)
+    for i in range(rounds if rules.rules else 0):
+        before, rules = rules.units, mine_rules(units, rules, least=3, z=1.64)
+        if i and rules.units <= 1.01 * before:
+            break
     return rules
 
 
-def _scored(rules: Rules, read: Paragraphs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fit_rules(documents: DataFrame, labels: DataFrame, areas: DataFrame, *, rounds: int = 6, read: Paragraphs = own_paragraphs) -> Rules:
+    """``fit_own`` from the documents themselves."""
+    return fit_own(read_own_text(documents, labels, areas, read=read), rounds=rounds)
+
+
+def _scored(rules: Rules) -> Mapper:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple[int, str, int, float]] = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found: dict[str, list[float]] = {}
-                for p in read(text):
-                    if a := rules.area(p):
+                for p in own:
+                    if a := rules.placed(unpacked(p)):
                         found.setdefault(a[0], []).append(a[1])
                 rows += [(key, a, len(s), sum(s)) for a, s in found.items()]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
@@ -292,10 +424,17 @@ def _scored(rules: Rules, read: Paragraphs) -> Callable[[Iterator[pa.RecordBatch
 
 
 def subject_areas(documents: DataFrame, rules: Rules, *, read: Paragraphs = own_paragraphs) -> DataFrame:
-    """(doc_id, subject_area, paragraphs, evidence): each area to which the author of a document devotes a
-    paragraph, with the number of such paragraphs and the evidence of the matching rules.
+    """``areas_of_own`` from the documents themselves, with rules fitted before."""
+    text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array().cast("array<string>").alias("areas"), F.col("text").cast("string").alias("text"))
+    return areas_of_own(text.where("doc_id is not null and text is not null").mapInArrow(_reader(read), _READ), rules)
+
+
+def areas_of_own(own: DataFrame, rules: Rules) -> DataFrame:
+    """(doc_id, subject_area, paragraphs, evidence): each area to which the author of a document (of
+    ``read_own_text``) devotes a paragraph, with the number of such paragraphs and the evidence of the matching rules.
 
-    Every document is read whole, in Arrow batches, without any exchange; the rules are small. NULL ids, NULL and empty texts and texts without a clear paragraph give no
-    rows; repeated documents give theirs again; no rules give no rows."""
-    text = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return text.mapInArrow(_scored(rules, read), "doc_id bigint, subject_area string, paragraphs int, evidence double")
+    Every document is scored whole, in Arrow batches, without any exchange; the rules are small. NULL ids, NULL and
+    empty texts and texts without a clear paragraph give no rows; repeated documents give theirs again; no rules
+    give no rows."""
+    rows = own.where("doc_id is not null").select("doc_id", "paragraphs")
+    return rows.mapInArrow(_scored(rules), "doc_id bigint, subject_area string, paragraphs int, evidence double")

@@ -61,9 +61,9 @@ def test_no_labels_no_rules(spark):
 
 
 def test_redundant_rules_are_pruned(spark):
-    from jsonloom.llm.subjects import mine_rules
+    from jsonloom.llm.subjects import mine_rules, packed
 
-    units = spark.createDataFrame([(["law"], [f"The lease clause of house {i}. Another lease clause."]) for i in range(9)] + [(["sport"], ["The away match. The match was away."])] * 3, "areas array<string>, paragraphs array<string>")
+    units = spark.createDataFrame([(["law"], [packed(f"The lease clause of house {i}. Another lease clause.")]) for i in range(9)] + [(["sport"], [packed("The away match. The match was away.")])] * 3, "areas array<string>, paragraphs array<string>")
     found = {k: a for k, a, _ in mine_rules(units).rules}
     assert found[("clause",)] == "law" and not any(len(k) > 1 for k in found)
 
@@ -78,3 +78,56 @@ def test_unlabelled_messages_count_whole(spark):
     areas = spark.createDataFrame([(a, "") for a in words], "subject_area string, note string")
     rules = fit_rules(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_area string"), areas)
     assert any("usufruct" in k and a == "law" for k, a, _ in rules.rules)
+
+
+def test_repeated_long_sentence_is_mined_in_bounded_time(spark):
+    """A sentence of 40 known words in 50 messages of two areas: 2^40 subsets, but only those of up to three words grow."""
+    import time
+
+    from jsonloom.llm.subjects import mine_rules, packed
+
+    letters = "abcdefgh"
+    said = " ".join(f"word{a}{b}" for a in letters for b in letters[:5])
+    rows = [(["law" if i % 2 else "sport"], [packed(f"{said}. It stands here {'law' if i % 2 else 'sport'}ish.")]) for i in range(50)]
+    rows += [([a], [packed(f"A {a}ish day. One more {a}ish night.")]) for a in ("music", "travel") for _ in range(150)]
+    began = time.time()
+    found = mine_rules(spark.createDataFrame(rows, "areas array<string>, paragraphs array<string>")).rules
+    assert time.time() - began < 60
+    assert {("lawish",), ("sportish",)} <= {k for k, _, _ in found}
+
+
+def test_words_that_speak_only_together(spark):
+    from jsonloom.llm.subjects import Rules, mine_rules, packed
+
+    texts = {"law": "The power of an attorney ends here.", "sport": "He has power in his legs.", "software": "The attorney module fails."}
+    rows = [([a], [packed(f"{t} Room {chr(97 + i % 26) * 3} is free.")]) for a, t in texts.items() for i in range(60)]
+    rows += [([a], [packed(f"Nothing new from {chr(97 + i % 26) * 4}.")]) for a in texts for i in range(240)]
+    rules = mine_rules(spark.createDataFrame(rows, "areas array<string>, paragraphs array<string>"))
+    assert rules.sentence(["power", "of", "attorney"])[0] == "law"
+    assert any(set(k) == {"power", "attorney"} and a == "law" for k, a, _ in rules.rules)
+    from jsonloom.session import fresh_path
+
+    path = fresh_path(spark, "rules")
+    rules.write(spark, path)
+    assert sorted(Rules.read(spark, path).rules) == sorted(rules.rules)
+
+
+def test_growth_counts_exactly():
+    """Patterns of two and three items against brute force."""
+    from collections import Counter
+    from itertools import combinations
+
+    from jsonloom.llm.subjects import grow
+
+    rng = random.Random(4)
+    paths = {}
+    for _ in range(200):
+        items = tuple(sorted(rng.sample(range(9), rng.randint(2, 6))))
+        paths.setdefault(items, Counter())[rng.choice(["law", "sport", ""])] += rng.randint(1, 3)
+    want = {}
+    for items, by in paths.items():
+        for k in (2, 3):
+            for c in combinations(items, k):
+                want.setdefault(c, Counter()).update(by)
+    got = dict(grow(paths, lambda x: True, 5, lambda by: True))
+    assert got == {k: v for k, v in want.items() if v.total() >= 5}
