@@ -56,6 +56,7 @@ class Rules:
     units: int = 0  # labelled documents and paragraphs with an area that they were mined from
     _alone: dict[str, tuple[float, str]] = field(default_factory=dict, repr=False)
     _together: dict[str, list[tuple[frozenset[str], float, str]]] = field(default_factory=dict, repr=False)
+    _lines: dict[str, tuple[str, float] | None] = field(default_factory=dict, repr=False)
 
     def _index(self) -> None:
         for words, area, p in self.rules:
@@ -77,23 +78,32 @@ class Rules:
                         best = (p, area)
         return (best[1], best[0]) if best[1] else None
 
-    def paragraph(self, sents: list[list[str]]) -> tuple[dict[str, float], dict[str, int]]:
-        """(evidence, sentences) by area."""
-        score: dict[str, float] = defaultdict(float)
-        count: Counter[str] = Counter()
-        for words in sents:
-            if v := self.sentence(words):
-                score[v[0]] += v[1]
-                count[v[0]] += 1
+    def line(self, text: str) -> tuple[str, float] | None:
+        """``sentence`` of a line of ``packed``; set phrases are looked up once."""
+        if text in self._lines:
+            return self._lines[text]
+        if len(self._lines) >= HELD:
+            self._lines.clear()
+        found = self._lines[text] = self.sentence(text.split(" "))
+        return found
+
+    def paragraph(self, lines: str) -> tuple[dict[str, float], dict[str, int]]:
+        """(evidence, sentences) by area, of a paragraph ``packed``."""
+        score: dict[str, float] = {}
+        count: dict[str, int] = {}
+        for line in lines.split("\n"):
+            if v := self.line(line):
+                score[v[0]] = score.get(v[0], 0.0) + v[1]
+                count[v[0]] = count.get(v[0], 0) + 1
         return score, count
 
     def area(self, text: str, least: int = 2, share: float = 0.6) -> tuple[str, float] | None:
         """The area a paragraph is devoted to, if one has at least ``least`` sentences and ``share`` of all evidence."""
-        return self.placed(sentences(text), least, share)
+        return self.placed(packed(text), least, share)
 
-    def placed(self, sents: list[list[str]], least: int = 2, share: float = 0.6) -> tuple[str, float] | None:
-        """The same of a paragraph in sentences."""
-        score, count = self.paragraph(sents)
+    def placed(self, lines: str, least: int = 2, share: float = 0.6) -> tuple[str, float] | None:
+        """The same of a paragraph ``packed``."""
+        score, count = self.paragraph(lines)
         if not score:
             return None
         top = max(score, key=lambda a: (score[a], a))
@@ -140,10 +150,9 @@ def _said(areas: list[str], paragraphs: list[str], rules: Rules | None) -> Itera
         yield areas, [s for p in paragraphs for s in unpacked(p)]
     elif rules is not None:
         for p in paragraphs:
-            sents = unpacked(p)
-            if len(sents) > 1:
-                a = rules.placed(sents, 2, 0.75)
-                yield [a[0]] if a else [], sents
+            if "\n" in p:
+                a = rules.placed(p, 2, 0.75)
+                yield [a[0]] if a else [], unpacked(p)
 
 
 def _counter(rules: Rules | None) -> Mapper:
@@ -183,7 +192,7 @@ class _Counts:
     rules: dict[tuple[str, ...], tuple[str, float]]
     open: dict[str, int]  # word -> rank, the most frequent first
     bounds: dict[str, float]  # what the confidence of a rule must reach, by area
-    units: int
+    frequent: int  # how many sentences of an area a pattern needs
     placed: int
 
 
@@ -196,6 +205,7 @@ def _count_words(units: DataFrame, rules: Rules | None, least: int, said: int, z
     by_word = counts.groupBy("word", "area").agg(F.sum("hits").alias("hits"), F.sum("said").alias("said")).groupBy("word").agg(
         F.sum(F.when(area == "+", -hits).otherwise(hits)).alias("n"), F.sum(F.when(area == "", hits).otherwise(0)).alias("unclear"),
         F.max(F.when(~area.isin("", "+"), F.struct("hits", "area", "said"))).alias("best"),
+        F.max(F.when(~area.isin("", "+"), F.col("said"))).alias("most"),
         F.sum(F.when(area == "+", -F.col("said")).otherwise(F.col("said"))).alias("all"), F.sum(F.when(area == "", F.col("said")).otherwise(0)).alias("unclear_said"),
         F.collect_list(F.when(word == "=", F.struct("area", "hits"))).alias("of"),
     )
@@ -205,28 +215,28 @@ def _count_words(units: DataFrame, rules: Rules | None, least: int, said: int, z
     size, unclear = 0 if whole is None else whole.n, units_of.get("", 0)
     share = {a: n / max(size - unclear, 1) for a, n in units_of.items() if a not in ("", "+")}
     if not share:
-        return _Counts({}, {}, {}, size, 0)
+        return _Counts({}, {}, {}, 0, 0)
     n = F.col("n") - (1 - UNCLEAR) * F.col("unclear")
     # a word said again and again in one unit counts for more than one said once
     times = F.least(F.lit(2.0), F.greatest(F.lit(1.0), (n + F.col("all")) / 2 / n)) if least < 2 else F.lit(1.0)
     bounds = {a: p + 0.4 * (1 - p) for a, p in share.items()}
     bound = F.create_map(*[F.lit(x) for of in bounds.items() for x in of])
     speaks = F.coalesce(_wilson(F.col("best.hits") * times, n * times, z, F.sqrt) >= F.element_at(bound, F.col("best.area")), F.lit(False))
+    frequent = max(5, math.ceil(50 * SUPPORT * size))  # what a pattern of several words needs in its area
     known = rows.where((word != "=") & (F.length("word") > 1) & (F.col("n") >= max(least, SUPPORT * size)))
     clear = F.col("all") - F.col("unclear_said")
-    known = known.select("word", "n", F.col("best.area").alias("area"), F.col("best.said").alias("hits"), clear.alias("clear"), speaks.alias("speaks"), (F.col("n") > COMMON * size).alias("common"))
+    known = known.select("word", "n", F.col("best.area").alias("area"), F.col("best.said").alias("hits"), clear.alias("clear"), speaks.alias("speaks"), ((F.col("n") <= COMMON * size) & (F.col("n") >= frequent) & (F.col("most") >= frequent)).alias("open"))
     # The driver gets words in a given share of the units at least: their number is bounded by a unit's words over that share.
-    frequent = max(5, 50 * SUPPORT * size)
     alone, pair = {}, []
-    for r in known.where(F.col("hits").isNotNull() & (F.col("speaks") | (~F.col("common") & (F.col("n") >= frequent)))).collect():
+    for r in known.where(F.col("hits").isNotNull() & (F.col("speaks") | F.col("open"))).collect():
         p = _wilson(r.hits, max(r.clear, r.hits), z)
         if r.speaks and p >= 0.5:
             alone[(r.word,)] = (r.area, p)
         # the best that a rule with this word could be is one that holds for all its sentences of the area
-        if not r.common and r.n >= frequent and not (r.speaks and _wilson(r.hits, r.hits, z) <= p + 0.02):
+        if r.open and not (r.speaks and _wilson(r.hits, r.hits, z) <= p + 0.02):
             pair.append(r)
     ranked = {r.word: i for i, r in enumerate(sorted(pair, key=lambda r: (-r.n, r.word)))}
-    return _Counts(alone, ranked, bounds, size, size - unclear)
+    return _Counts(alone, ranked, bounds, frequent, size - unclear)
 
 
 def _transactions(rules: Rules | None, ranks: dict[str, int]) -> Mapper:
@@ -339,7 +349,7 @@ def pruned(found: dict[tuple[str, ...], tuple[str, float]]) -> dict[tuple[str, .
     return kept
 
 
-def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1, said: int = 3, z: float = 1.28, together: bool = True) -> Rules:
+def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1, said: int = 3, z: float = 1.28, together: Callable[[int], bool] = lambda placed: True) -> Rules:
     """Class-association rules of the units' sentences, by parallel FP-growth.
 
     A transaction is a sentence: its words, and the areas of its unit. Rules on one word come from the counts of
@@ -347,17 +357,19 @@ def mine_rules(units: DataFrame, before: Rules | None = None, *, least: int = 1,
     transactions that end with its words, and grows the frequent patterns of up to LONGEST_RULE words there.
     Frequent words have short parts and rare words few, so groups are even; what grows is bounded by
     LONGEST_SENTENCE. A rule whose confidence isn't above that of a rule on fewer of its words is redundant.
-    The confidence is calibrated to the lower bound that its counts support."""
+    The confidence is calibrated to the lower bound that its counts support.
+
+    before: the rules that place the unlabelled paragraphs; without them only labelled documents count.
+    together: whether to look for rules on several words, given the number of units with an area."""
     if before is None:
         units = units.where(F.size("areas") > 0)
     known = _count_words(units, before, least, said, z)
     found = dict(known.rules)
-    if together and len(known.open) > 1:
+    if len(known.open) > 1 and together(known.placed):
         words = list(known.open)
         parts = units.select("areas", "paragraphs").mapInArrow(_transactions(before, known.open), "grp int, items array<int>, area string, n bigint")
         merged = parts.groupBy("grp", "items", "area").agg(F.sum("n").alias("n"))
-        support = max(5, math.ceil(50 * SUPPORT * known.units))
-        mined = merged.groupBy("grp").applyInArrow(_miner(support, known.bounds, STRICT), "items array<int>, area string, p double")
+        mined = merged.groupBy("grp").applyInArrow(_miner(known.frequent, known.bounds, STRICT), "items array<int>, area string, p double")
         for r in mined.collect():  # rules alone: each on words that the driver holds, and above the support
             found[tuple(words[i] for i in r["items"])] = (r.area, r.p)
     return Rules([(k, a, p) for k, (a, p) in pruned(found).items()], known.placed)
@@ -391,11 +403,17 @@ def fit_own(own: DataFrame, *, rounds: int = 6) -> Rules:
     round places under 1 % more paragraphs than the one before, ``rounds`` times at most."""
     # copies of a message say nothing new
     units = stage(own.where(F.size("paragraphs") > 0).select("areas", "paragraphs").dropDuplicates(), "units")
-    rules = mine_rules(units)
+    rules = mine_rules(units, together=lambda placed: rounds < 1)
+    before = 0
     for i in range(rounds if rules.rules else 0):
-        before, rules = rules.units, mine_rules(units, rules, least=3, z=1.64)
-        if i and rules.units <= 1.01 * before:
+
+        def last(placed: int) -> bool:  # only the last round looks for rules on several words
+            return i + 1 == rounds or placed <= 1.01 * before
+
+        rules = mine_rules(units, rules, least=3, z=1.64, together=last)
+        if last(rules.units):
             break
+        before = rules.units
     return rules
 
 
@@ -411,7 +429,7 @@ def _scored(rules: Rules) -> Mapper:
             for key, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found: dict[str, list[float]] = {}
                 for p in own:
-                    if a := rules.placed(unpacked(p)):
+                    if a := rules.placed(p):
                         found.setdefault(a[0], []).append(a[1])
                 rows += [(key, a, len(s), sum(s)) for a, s in found.items()]
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
