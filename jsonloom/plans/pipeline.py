@@ -63,12 +63,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Every session with its duration, number of events, and number for each type (``PushEvent=3,WatchEvent=1``)."""
     events = distinct_events(table(spark, d, "event_log"))
     found = sessions(events, F.col("actor_id"), F.col("instant_s"), kind=F.col("type"))
-    pushes = F.coalesce(F.element_at(F.from_json("types", "map<string,bigint>"), "PushEvent"), F.lit(0))
+    types = F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return found.select(
         F.col("key_").cast("bigint").alias("actor_id"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"),
-        "events", pushes.cast("bigint").alias("push_events"),
+        "events", F.array_join(types, ",").alias("types"),
     )
 
 
@@ -235,8 +236,9 @@ SQL = {
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fresh, received_at NULLS LAST, delivery_no) AS no FROM r)
 SELECT event_id AS message_key, delivery_no, batch_id FROM o WHERE no = 1""",
     "p2_found": f"{_SQL_SESSIONS} FROM s GROUP BY actor_id, no",
-    "p2_sessions": f"""{_SQL_SESSIONS}, max(instant_s) - min(instant_s) AS duration_s, count(*) AS events, count(*) FILTER (type = 'PushEvent') AS push_events
-FROM s GROUP BY actor_id, no""",
+    "p2_sessions": f"""WITH t AS ({_SQL_SESSIONS}, coalesce(type, '') AS type, count(*) AS n, no FROM s GROUP BY actor_id, no, coalesce(type, ''))
+SELECT actor_id, min(start_s) AS start_s, max(end_s) AS end_s, max(end_s) - min(start_s) AS duration_s, CAST(sum(n) AS BIGINT) AS events,
+ string_agg(type || '=' || n, ',' ORDER BY type) AS types FROM t GROUP BY actor_id, no""",
     "p3_found": _SQL_NESTED,
     "p4_found": f"{_SQL_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"{_SQL_TERMS} SELECT field, term, occurrences, records, mark FROM m",
