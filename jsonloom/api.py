@@ -8,30 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions import extract, paths
+from jsonloom.functions.khash import khash
 from jsonloom.functions.paths import Step
 from jsonloom.operators.aggregate import Aggregate
 from jsonloom.sources.datasource import to_variant
 
-__all__ = ["Aggregate", "Cursor", "documents"]
+__all__ = ["Aggregate", "ArrayCursor", "Cursor", "documents"]
 
 
 def documents(df: DataFrame, root: str | Column, body: str) -> DataFrame:
     """(root, v): documents of a STRING, BINARY, STRUCT or VARIANT column, parsed. A body that is no JSON gives NULL."""
-    kind = df.schema[body].dataType.typeName()
     r = F.col(root) if isinstance(root, str) else root
-    return df.select(r.cast("string").alias("root"), to_variant(F.col(body), kind).alias("v"))
+    return df.select(r.cast("string").alias("root"), to_variant(F.col(body), df.schema[body].dataType).alias("v"))
 
 
 class Cursor:
     """A position in the documents of a VARIANT column, and the path that led there. Every move gives a
-    new cursor and builds a Column; nothing is computed before the DataFrame runs. ``strict``: moves to
-    nowhere and extractions of another kind raise an error in the query, instead of NULL."""
+    new cursor and builds a Column; nothing is computed before the DataFrame runs.
 
-    def __init__(self, value: Column, path: tuple[Step, ...] = (), strict: bool = False) -> None:
-        self.value, self.path, self.strict = value, path, strict
+    strict: moves to nowhere and extractions of another kind raise an error in the query, instead of NULL.
+    text: the column with the documents' JSON text. With it numbers at fixed paths that VARIANT rounds (with an exponent, or more than
+        38 digits) are classified and extracted by their own text, exactly; without it as the doubles they became."""
+
+    def __init__(self, value: Column, path: tuple[Step, ...] = (), strict: bool = False, text: Column | None = None) -> None:
+        self.value, self.path, self.strict, self.text = value, path, strict, text
+
+    def _at(self, value: Column, *steps: Step) -> Cursor:
+        return Cursor(value, (*self.path, *steps), self.strict, self.text)
 
     def _to(self, steps: list[Step]) -> Cursor:
-        return Cursor(paths.compile_steps(self.value, steps, self.strict), (*self.path, *steps), self.strict)
+        return self._at(paths.compile_steps(self.value, steps, self.strict), *steps)
 
     def query(self, path: str) -> Cursor:
         """Follow a path of the path language."""
@@ -43,17 +49,46 @@ class Cursor:
 
     def field(self, key: str | Column) -> Cursor:
         """The member with exactly this key; an array has none."""
-        return Cursor(self._checked(paths.field_of(self.value, key)), (*self.path, key if isinstance(key, str) else "*"), self.strict)
+        if isinstance(key, str):
+            return self._at(self._checked(paths.field_of(self.value, key)), key)
+        return Cursor(self._checked(paths.field_of(self.value, key)), (*self.path, "*"), self.strict)  # of each row another
 
-    def index(self, i: int) -> Cursor:
+    def index(self, i: int) -> ArrayCursor:
         """The element at i, from the end if negative; an object has none."""
-        return Cursor(self._checked(F.try_element_at(extract.elements(self.value), F.lit(i + 1 if i >= 0 else i))), (*self.path, i), self.strict)
+        return ArrayCursor(self, i)
+
+    def down_index(self, i: int) -> ArrayCursor:
+        """Into an array, to its element at i."""
+        return ArrayCursor(self, i)
+
+    def down_array(self) -> ArrayCursor:
+        """Into an array, to its first element."""
+        return ArrayCursor(self, 0)
+
+    def as_object(self) -> Cursor:
+        """The same position if an object stands there, else nowhere."""
+        return self._at(self._checked(F.when(self.value.try_cast("map<string,variant>").isNotNull(), self.value)))
+
+    def entries(self) -> Column:
+        """ARRAY<STRUCT<key, value>> of an object's members in stored order, by key hash; NULL if it is none."""
+        members = self.value.try_cast("map<string,variant>")
+        order = F.array_sort(F.transform(F.map_keys(members), lambda k: F.struct(khash(k).alias("khash"), k.alias("key"))))
+        return F.transform(order, lambda e: F.struct(e["key"].alias("key"), F.try_element_at(members, e["key"]).alias("value")))
+
+    def read_key(self, i: int) -> Cursor:
+        """The value of an object's i-th member in stored order."""
+        entry = F.try_element_at(self.entries(), F.lit(i + 1 if i >= 0 else i))
+        return Cursor(self._checked(entry["value"]), (*self.path, "*"), self.strict)
 
     def _checked(self, c: Column) -> Column:
         return F.coalesce(c, F.raise_error(F.lit("no such member")).cast("variant")) if self.strict else c
 
+    def _literal(self) -> Column | None:
+        return None if self.text is None or "*" in self.path else extract.literal_at(F.when(extract.may_round(self.text), self.text), self.path)
+
     def kind(self) -> Column:
-        return extract.kind_of(self.value)
+        literal = self._literal()
+        return extract.kind_of(self.value) if literal is None else extract.exact_kind(self.value, literal)
 
     def is_null(self) -> Column:
         return extract.is_json_null(self.value)
@@ -68,8 +103,35 @@ class Cursor:
         return extract.match_kind(self.value, branches, default)
 
     def as_(self, target: str) -> Column:
-        """The value as byte, short, int, long, bigint, float, double, bigdec, string or bit."""
-        return extract.as_kind(self.value, target, self.strict)
+        """The value as byte, short, int, long, bigint, float, double, bigdec, string or bit; bigint and bigdec as text."""
+        return extract.as_kind(self.value, target, self.strict, self._literal())
 
     def render(self) -> str:
         return paths.render_path(self.path)
+
+
+class ArrayCursor(Cursor):
+    """A position in an array, that can move to its neighbours; from nowhere every move leads nowhere. ``at``: the same for all
+    rows, or a column (with ``posexplode``, for one) that counts from 0. Where it is a column, as after a move, numbers
+    are those that VARIANT holds."""
+
+    def __init__(self, array: Cursor, at: int | Column) -> None:
+        inside = extract.elements(array.value)
+        place = F.lit(at + 1 if at >= 0 else at) if isinstance(at, int) else F.when(at >= 0, at + 1)
+        super().__init__(array._checked(F.try_element_at(inside, place)), (*array.path, at if isinstance(at, int) else "*"), array.strict, array.text)
+        self.array, self.at = array, at
+
+    def _moved(self, by: int) -> ArrayCursor:
+        if isinstance(self.at, int):
+            at = F.lit(self.at) if self.at >= 0 else F.size(extract.elements(self.array.value)) + self.at
+        else:
+            at = self.at
+        return ArrayCursor(self.array, F.when(self.value.isNotNull(), at + by))
+
+    def left(self) -> ArrayCursor:
+        """The element before; nowhere before the first."""
+        return self._moved(-1)
+
+    def right(self) -> ArrayCursor:
+        """The element behind; nowhere behind the last."""
+        return self._moved(1)

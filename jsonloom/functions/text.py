@@ -25,12 +25,21 @@ def normal_form(c: Column) -> Column:
 def denoted_number(c: Column) -> Column:
     """The whole number a text denotes, as BIGINT, in any spelling: leading zeros, sign, exponent, a
     fraction of zeros, white space around it. NULL for every other text, a number with a fraction and
-    a number beyond BIGINT."""
+    a number beyond BIGINT. Decided on the digits as written; nothing is rounded."""
+
+    def spelled(text: Column) -> Column:
+        fraction = F.regexp_extract(text, r"\.([0-9]*)", 1)
+        digits = F.ltrim(F.lit("0"), F.concat(F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), fraction))
+        core = F.rtrim(F.lit("0"), digits)
+        exponent = F.when(text.rlike("[eE]"), F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")).otherwise(0)
+        zeros = F.length(digits) - F.length(core) + exponent.cast("bigint") - F.length(fraction)  # behind the last other digit
+        value = F.concat(F.when(text.startswith("-"), "-").otherwise(""), core, F.repeat(F.lit("0"), zeros.cast("int")))
+        fits = zeros.between(0, 18) & (F.length(core) <= 19)
+        return F.when(core == "", F.lit(0).cast("bigint")).when(fits, value.try_cast("decimal(38,0)").try_cast("bigint"))
 
     def read(text: Column) -> Column:
         plain = F.when(text.rlike(r"^[0-9]{1,18}$"), text.try_cast("bigint"))
-        number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")
-        exact = bound(F.when(number, text.try_cast("decimal(38,10)")), lambda x: F.when(x == F.floor(x), x.try_cast("bigint")))
-        return F.coalesce(plain, exact)
+        number = text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+        return F.coalesce(plain, F.when(number, spelled(text)))
 
     return bound(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""), read)

@@ -22,10 +22,11 @@ ACCEPTS = {
     "string": ("string",),
     "bit": ("bit",),
 }
+#: bigint and bigdec are texts: no SQL number holds all their digits.
 SQL_TYPE = {
-    "byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "bigint": "decimal(38,0)", "float": "float", "double": "double",
-    "bigdec": "decimal(38,18)", "string": "string", "bit": "boolean",
+    "byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint", "bigint": "string", "float": "float", "double": "double",
+    "bigdec": "string", "string": "string", "bit": "boolean",
 }
 INLINE = ("null", "bit", "byte", "short")
 TABLES = ("int", "long", "bigint", "float", "double", "bigdec", "string", "array", "object", "root")
-MAX_KEYS = 65_533
+MAX_KEYS = 65_533  # of an object in the binary container

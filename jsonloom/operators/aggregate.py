@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.kinds import INLINE, MAX_KEYS, TABLES
-from jsonloom.operators.shred import shred
+from jsonloom.functions.paths import Step, parse_path
+from jsonloom.kinds import INLINE, TABLES
+from jsonloom.operators.shred import content_hash, shred
 from jsonloom.session import stage
 
 _REF = "struct<kind:string,ref:string>"
 _VALUE = {"int": "v_long", "long": "v_long", "bigint": "v_big", "float": "v_double", "double": "v_double", "bigdec": "v_big", "string": "v_str"}
+_PIECE = ("up_kind", "up", "height", "i", "key", "json")
 BUCKETS = 4096
 
 
 def string_id(text: Column) -> Column:
     """The id of a string, as value or as key."""
-    return F.substring(F.sha2(text, 256), 1, 32)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else content_hash("string", t))
+
+    return run(text)
 
 
 def _ref(kind: Column, chash: Column, v_bool: Column, v_long: Column) -> Column:
@@ -43,39 +51,45 @@ class Aggregate:
         """Pack documents under their root names. Off, ``dedup`` (arrays, objects, roots) and
         ``dedup_primitives`` give a row for each occurrence; what is read back is the same.
 
-        Root names must be distinct (``check`` tells). Objects with more than MAX_KEYS keys raise an error."""
-        nodes = stage(shred(documents, root, body, numeric_mode=numeric_mode), "nodes")
+        Root names must be distinct, NULL counting as one: whatever reads the roots of others fails. Documents that
+        can't be read are left out (``unreadable`` lists them). Nodes are written once, parted by kind, so that each
+        table reads its own."""
+        nodes = shred(documents, root, body, numeric_mode=numeric_mode, entries=True)
+        unused = ["parent_id", "pos", "key_hash", "n_children"]
+        if dedup and dedup_primitives:  # nothing then depends on where a value stands
+            nodes = nodes.withColumn("doc", F.when(F.col("depth") == 0, F.col("doc"))).withColumn("node_id", F.lit(None).cast("string"))
+        nodes = stage(nodes.drop(*unused), "nodes", by="kind")
         return Aggregate.of_nodes(nodes, dedup=dedup, dedup_primitives=dedup_primitives)
 
     @staticmethod
     def of_nodes(nodes: DataFrame, *, dedup: bool = True, dedup_primitives: bool = True) -> Aggregate:
+        """From nodes with their entries (``shred(..., entries=True)``)."""
         place = F.concat_ws("#", "chash", "doc", "node_id")  # an id for each occurrence
-        simple = F.when(F.col("kind") == "string", string_id(F.col("v_str"))).otherwise(F.col("chash")) if dedup_primitives else place
-        nested = F.col("chash") if dedup else place
         is_nested = F.col("kind").isin("array", "object")
-        rows = nodes.withColumn("id_", F.when(is_nested, nested).otherwise(simple))
+        rows = nodes.withColumn("id_", F.when(is_nested, F.col("chash") if dedup else place).otherwise(F.col("chash") if dedup_primitives else place))
         ref = _ref(F.col("kind"), F.col("id_"), F.col("v_bool"), F.col("v_long"))
         tables: dict[str, DataFrame] = {}
         for kind, column in _VALUE.items():
             values = rows.where(F.col("kind") == kind).select(F.col("id_").alias("id"), F.col(column).alias("value"))
+            values = values.dropDuplicates(["id"]) if dedup_primitives else values
             if kind == "string":
-                keys = rows.where("key is not null").select(string_id(F.col("key")).alias("id"), F.col("key").alias("value"))
-                values = values.unionByName(keys.dropDuplicates(["id"]))
-            tables[kind] = values.dropDuplicates(["id"]) if dedup_primitives else values
-        # Children are gathered by their parent's id. All occurrences of a shared parent give the same entries, so
-        # a set holds each once; it is combined within the map task, however often the parent occurs.
-        up = F.col("parent_hash") if dedup else F.concat_ws("#", "parent_hash", "doc", "parent_id")
-        entry = F.struct(F.when(F.col("parent_kind") == "array", F.col("pos")).alias("pos"), "key_hash", "key", ref.alias("ref"))
-        inner = rows.where("parent_id is not null").groupBy(up.alias("id"), F.col("parent_kind").alias("kind"))
-        held = inner.agg(F.array_sort(F.collect_set(entry)).alias("entries"))
-        none = F.array().cast(dict(held.dtypes)["entries"]).alias("entries")
-        empty = rows.where(is_nested & (F.col("n_children") == 0)).select(F.col("id_").alias("id"), "kind", none)
-        full = held.unionByName(empty.dropDuplicates(["id"]) if dedup else empty)
-        tables["array"] = full.where("kind = 'array'").select("id", F.transform("entries", lambda e: e["ref"]).alias("value"))
-        whole = F.when(F.size("entries") <= MAX_KEYS, F.col("entries")).otherwise(F.raise_error(F.lit(f"an object has more than {MAX_KEYS} keys")).cast(dict(held.dtypes)["entries"]))
-        by_hash = F.transform(whole, lambda e: F.struct(e["key_hash"].alias("khash"), e["key"].alias("key"), e["ref"].alias("ref")))
-        tables["object"] = full.where("kind = 'object'").select("id", by_hash.alias("value"))
-        tables["root"] = rows.where("parent_id is null").select(F.col("doc").alias("name"), ref.alias("value"))
+                keys = rows.where("key is not null").select("key").distinct().select(string_id(F.col("key")).alias("id"), F.col("key").alias("value"))
+                values = values.unionByName(keys)
+                values = values.dropDuplicates(["id"]) if dedup_primitives else values
+            tables[kind] = values
+
+        def entry(e: Column, i: Column) -> Column:
+            own = F.concat_ws("#", e["ref"], "doc", F.concat("node_id", F.lit("."), (i + 1).cast("string")))
+            shared = F.lit(dedup) if dedup == dedup_primitives else F.when(e["kind"].isin("array", "object"), dedup).otherwise(dedup_primitives)
+            id_ = F.when(e["kind"].isin(*INLINE) | shared, e["ref"]).otherwise(own)
+            return F.struct(e["khash"].alias("khash"), e["key"].alias("key"), F.struct(e["kind"].alias("kind"), id_.alias("ref")).alias("ref"))
+
+        held = F.transform("entries", entry)
+        for kind, value in (("array", F.transform(held, lambda e: e["ref"])), ("object", F.array_sort(held))):
+            mine = rows.where(F.col("kind") == kind).select(F.col("id_").alias("id"), "entries", "height", "doc", "node_id")
+            mine = mine.dropDuplicates(["id"]) if dedup else mine
+            tables[kind] = mine.select("id", value.alias("value"), "height")
+        tables["root"] = _distinct_names(rows.where("depth = 0").select(F.col("doc").alias("name"), ref.alias("value")))
         return Aggregate({t: tables[t] for t in TABLES})
 
     def tables(self) -> dict[str, DataFrame]:
@@ -103,9 +117,9 @@ class Aggregate:
         return Aggregate({**self._tables, name: mapped})
 
     def union(self, other: Aggregate) -> Aggregate:
-        """Both aggregates' documents, values shared between them once."""
+        """Both aggregates' documents, values shared between them once. A root name of both is an error."""
         both = {t: self._tables[t].unionByName(other._tables[t]) for t in TABLES}
-        return Aggregate({t: df if t == "root" else df.dropDuplicates(["id"]) for t, df in both.items()})
+        return Aggregate({t: _distinct_names(df) if t == "root" else df.dropDuplicates(["id"]) for t, df in both.items()})
 
     def summary(self) -> DataFrame:
         """(table_name, n): rows of each table."""
@@ -116,56 +130,135 @@ class Aggregate:
         assert out is not None
         return out
 
-    def check(self) -> None:
-        """ValueError if a root name occurs twice."""
-        twice = self._tables["root"].groupBy("name").count().where("count > 1").limit(1).collect()
-        if twice:
-            raise ValueError(f"two roots are named {twice[0]['name']}")
-
     def root(self, name: str) -> DataFrame:
         """The root of that name; no row if there is none."""
         return self._tables["root"].where(F.col("name") == name)
 
-    def nodes(self, max_depth: int = 1000) -> DataFrame:
-        """(doc, node_id, key, kind, value): every node of every root, by following references.
-
-        Containers are opened level by level; each level is one join of the open references with arrays and
-        objects, and a level's number of rows is that of the documents' nodes at that depth. Values of
-        scalars are joined at the end, all levels at once. ``max_depth`` only guards against damaged,
-        circular tables (ValueError)."""
-        level = self._tables["root"].select(F.col("name").alias("doc"), F.lit("1").alias("node_id"), F.lit(None).cast("string").alias("key"), "value.kind", "value.ref")
-        array = self._tables["array"].select(F.col("id").alias("ref"), F.transform("value", lambda r, i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("key"), r["kind"].alias("kind"), r["ref"].alias("ref"))).alias("inner"))
-        objects = self._tables["object"].select(F.col("id").alias("ref"), F.transform("value", lambda e, i: F.struct(i.alias("i"), e["key"].alias("key"), e["ref"]["kind"].alias("kind"), e["ref"]["ref"].alias("ref"))).alias("inner"))
-        containers = stage(array.withColumn("kind", F.lit("array")).unionByName(objects.withColumn("kind", F.lit("object"))), "containers")
+    def scalars(self) -> DataFrame:
+        """(kind, ref, json): every value that has a row of its own, as JSON text."""
+        out = None
+        for kind in _VALUE:
+            value = F.col("value")
+            text = _quoted("value") if kind == "string" else shortest(value) if kind in ("float", "double") else value.cast("string")
+            one = self._tables[kind].select(F.lit(kind).alias("kind"), F.col("id").alias("ref"), text.alias("json"))
+            out = one if out is None else out.unionByName(one)
+        assert out is not None
+        return out
+
+    def values(self, refs: DataFrame, kind: str = "kind", ref: str = "ref") -> DataFrame:
+        """``refs`` with ``json``, the text of the scalar that each reference of kind and ref points to; NULL for containers."""
+        known = self.scalars().select(F.col("kind").alias("kind_"), F.col("ref").alias("ref_"), F.col("json").alias("json_"))
+        stored = F.when(~F.col(kind).isin(*INLINE, "array", "object"), F.col(ref))
+        found = refs.join(known, (F.col(kind) == F.col("kind_")) & (stored == F.col("ref_")), "left")
+        return found.withColumn("json", F.coalesce(_inline(F.col(kind), F.col(ref)), F.col("json_"))).drop("kind_", "ref_", "json_")
+
+    def lookup(self, kind: str, value: Column | str | float) -> DataFrame:
+        """(id, value): the row of a scalar, by its value."""
+        if kind not in _VALUE:
+            raise ValueError(f"{kind} isn't a table of scalars")
+        return self._tables[kind].where(F.col("value") == value).select("id", "value")
+
+    def follow(self, path: str | Sequence[Step], roots: Sequence[str] | None = None) -> DataFrame:
+        """(name, kind, ref): the references at a path of every root, or only of ``roots``; none where it leads nowhere.
+
+        Each step is one join of the references with the arrays or objects by id, which keeps of them the one
+        member asked for; scalars and the rest of the documents aren't read."""
+        at = self._tables["root"] if roots is None else self._tables["root"].where(F.col("name").isin(*roots))
+        at = at.select("name", "value.kind", "value.ref")
+        for step in parse_path(path) if isinstance(path, str) else path:
+            moves = []
+            if isinstance(step, str):
+                entry = F.try_element_at(F.filter("value", _has_key(step)), F.lit(1))
+                moves.append(("object", self._tables["object"].select(F.col("id").alias("ref"), entry["ref"].alias("to"))))
+            if isinstance(step, int) or re.fullmatch(r"-?[0-9]+", step):
+                i = int(step)
+                moves.append(("array", self._tables["array"].select(F.col("id").alias("ref"), F.try_element_at("value", F.lit(i + 1 if i >= 0 else i)).alias("to"))))
+            steps = [at.where(F.col("kind") == k).join(t.where("to is not null"), "ref").select("name", "to.kind", "to.ref") for k, t in moves]
+            at = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+        return at
+
+    def query(self, path: str | Sequence[Step], roots: Sequence[str] | None = None, *, whole: bool = False) -> DataFrame:
+        """(name, kind, json): the values at a path of every root, or of ``roots``. Containers have json only with ``whole``."""
+        found = self.values(self.follow(path, roots))
+        if not whole:
+            return found.select("name", "kind", "json")
+        texts = self.texts().select("kind", "ref", F.col("json").alias("text_"))
+        return found.join(texts, ["kind", "ref"], "left").select("name", "kind", F.coalesce("json", "text_").alias("json"))
+
+    def texts(self) -> DataFrame:
+        """(kind, ref, json): the text of every distinct array and object, members in stored order.
+
+        Bottom-up: the containers of each height (known since packing) are put together from the texts of their
+        members, all of lower heights, in the JVM; so a shared subtree is written once, however often it occurs.
+        One exchange resolves all scalars; then each height is one join of its container members and one
+        aggregation by container. A hot value's join is split by adaptive execution."""
+        array = F.transform("value", lambda r, i: F.struct(i.alias("i"), F.lit(None).cast("string").alias("key"), r["kind"].alias("kind"), r["ref"].alias("ref")))
+        member = F.transform("value", lambda e, i: F.struct(i.alias("i"), e["key"].alias("key"), e["ref"]["kind"].alias("kind"), e["ref"]["ref"].alias("ref")))
+        parts = [self._tables[t].select(F.lit(t).alias("up_kind"), F.col("id").alias("up"), "height", F.explode_outer(m).alias("e")) for t, m in (("array", array), ("object", member))]
+        entries = parts[0].unionByName(parts[1]).select("up_kind", "up", "height", "e.i", "e.key", "e.kind", "e.ref")
+        staged = stage(entries.withColumn("step", self._step()), "entries", by="step")
+        ready = staged.where("step = 0").withColumn("json", _inline(F.col("kind"), F.col("ref")))
+        scalars = staged.where("step = 1").join(self.scalars(), ["kind", "ref"])
+        solved = stage(ready.select(*_PIECE).unionByName(scalars.select(*_PIECE)), "pieces", by="height")
+        nested = staged.where("step = 2")
         found: DataFrame | None = None
-        for _ in range(max_depth):
-            level = stage(level, "level")
+        for height in sorted(r.height for r in staged.select("height").distinct().collect()):
+            pieces = solved.where(F.col("height") == height)
+            if found is not None:
+                pieces = pieces.unionByName(nested.where(F.col("height") == height).join(found, ["kind", "ref"]).select(*_PIECE))
+            key = F.when(F.col("key").isNotNull(), F.concat(_quoted("key"), F.lit(":"))).otherwise("")
+            held = F.array_sort(F.collect_list(F.when(F.col("json").isNotNull(), F.struct("i", F.concat(key, F.col("json")).alias("text")))))
+            inner = F.array_join(F.transform(held, lambda x: x["text"]), ",")
+            is_array = F.col("up_kind") == "array"
+            level = pieces.groupBy("up_kind", "up").agg(inner.alias("inner")).select(
+                F.col("up_kind").alias("kind"), F.col("up").alias("ref"),
+                F.concat(F.when(is_array, "[").otherwise("{"), "inner", F.when(is_array, "]").otherwise("}")).alias("json"),
+            )
+            level = stage(level, "texts")
             found = level if found is None else found.unionByName(level)
-            open_ = level.where("kind in ('array', 'object')")
-            if open_.isEmpty():
-                return self._with_values(found)
-            opened = open_.join(containers, ["kind", "ref"]).select("doc", "node_id", F.explode("inner").alias("e"))
-            level = opened.select("doc", F.concat_ws(".", "node_id", (F.col("e.i") + 1).cast("string")).alias("node_id"), "e.key", "e.kind", "e.ref")
-        raise ValueError("the references don't end")
-
-    def _with_values(self, nodes: DataFrame) -> DataFrame:
-        """Scalars' values as JSON text."""
-        texts = None
-        for kind in _VALUE:
-            value = F.to_json(F.struct(F.col("value").alias("v"))) if kind == "string" else F.col("value").cast("string")
-            if kind == "string":
-                value = F.expr("substring(to_json(named_struct('v', value)), 6, length(to_json(named_struct('v', value))) - 6)")
-            one = self._tables[kind].select(F.lit(kind).alias("kind"), F.col("id").alias("ref"), value.alias("json"))
-            texts = one if texts is None else texts.unionByName(one)
-        assert texts is not None
-        inline = F.when(F.col("kind") == "null", "null").when(F.col("kind") == "bit", F.when(F.col("ref") == "1", "true").otherwise("false")).when(F.col("kind").isin("byte", "short"), F.col("ref"))
-        small = nodes.where(F.col("kind").isin(*INLINE, "array", "object")).select("doc", "node_id", "key", "kind", inline.alias("json"))
-        big = nodes.where(~F.col("kind").isin(*INLINE, "array", "object")).join(texts, ["kind", "ref"]).select("doc", "node_id", "key", "kind", "json")
-        return small.unionByName(big)
+        return found if found is not None else entries.where("false").select("kind", "ref", F.col("key").alias("json"))
+
+    @staticmethod
+    def _step() -> Column:
+        """When an entry's text is known: 0 at once (also no entry at all), 1 with the scalars, 2 with its own members."""
+        return F.when(F.col("kind").isNull() | F.col("kind").isin(*INLINE), 0).when(F.col("kind").isin("array", "object"), 2).otherwise(1)
 
     def reconstruct(self) -> DataFrame:
         """(doc, body): every root as JSON text again."""
-        return rebuild(self.nodes())
+        roots = self.values(self._tables["root"].select(F.col("name").alias("doc"), "value.kind", "value.ref"))
+        whole = self.texts().select("kind", "ref", F.col("json").alias("text_"))
+        return roots.join(whole, ["kind", "ref"], "left").select("doc", F.coalesce("json", "text_").alias("body"))
+
+
+def _has_key(key: str) -> Callable[[Column], Column]:
+    return lambda entry: entry["key"] == key
+
+
+def _distinct_names(roots: DataFrame) -> DataFrame:
+    """The roots; an error in the query if a name occurs twice."""
+    once = roots.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("value").alias("value"))
+    message = F.concat(F.lit("two roots are named "), F.coalesce("name", F.lit("NULL")))
+    return once.select("name", F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(message).cast(dict(once.dtypes)["value"])).alias("value"))
+
+
+def _inline(kind: Column, ref: Column) -> Column:
+    """The text of a value that its reference holds itself; NULL for others."""
+    return F.when(kind == "null", "null").when(kind == "bit", F.when(ref == "1", "true").otherwise("false")).when(kind.isin("byte", "short"), ref)
+
+
+def _quoted(name: str) -> Column:
+    """A string as JSON text."""
+    return F.expr(f"substring(to_json(named_struct('v', {name})), 6, length(to_json(named_struct('v', {name}))) - 6)")
+
+
+def shortest(value: Column) -> Column:
+    """A double as the shortest text that reads back as it. (The JVM writes a longer one now and then, which is another number.)"""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x != x else repr(x) for x in s.tolist()], dtype=object)
+
+    return run(value)
 
 
 def rebuild(nodes: DataFrame) -> DataFrame:
@@ -200,12 +293,11 @@ def document_text(rows: list[tuple[str, str | None, str, str | None]]) -> str:
 
 def json_of_nodes(nodes: DataFrame) -> DataFrame:
     """Shredded nodes (schema NODES) with ``json``, the text of scalars, ready for ``rebuild``."""
-    quoted = F.expr("substring(to_json(named_struct('v', v_str)), 6, length(to_json(named_struct('v', v_str))) - 6)")
     value = (
         F.when(F.col("kind") == "null", "null")
         .when(F.col("kind") == "bit", F.col("v_bool").cast("string"))
-        .when(F.col("kind") == "string", quoted)
-        .otherwise(F.coalesce(F.col("v_long").cast("string"), F.col("v_big"), F.col("v_double").cast("string")))
+        .when(F.col("kind") == "string", _quoted("v_str"))
+        .otherwise(F.coalesce(F.col("v_long").cast("string"), F.col("v_big"), shortest(F.col("v_double"))))
     )
     return nodes.select("doc", "node_id", "key", "kind", value.alias("json"))
 

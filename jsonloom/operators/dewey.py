@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.functions.json_text import read_deep
 from jsonloom.session import stage
 
 
@@ -34,18 +35,27 @@ UNREADABLE = object()
 
 def read_json(text: str | None) -> Any:
     """The value of a JSON text; text inside a JSON string counts as JSON, at any number of levels.
-    UNREADABLE for NULL, incomplete or empty text, NaN and Infinity, and nesting beyond the parser's stack."""
+    UNREADABLE for NULL, incomplete or empty text, NaN and Infinity, and nesting beyond LEVELS levels."""
     if text is None:
         return UNREADABLE
     try:
-        value = _decoder.decode(text)
+        value = _decoded(text)
         while isinstance(value, str) and not isinstance(value, Literal):
-            value = _decoder.decode(value)
-    except (ValueError, RecursionError):
+            value = _decoded(value)
+    except ValueError:
         return UNREADABLE
     return value
 
 
+def _decoded(text: str) -> Any:
+    try:
+        return _decoder.decode(text)
+    except json.JSONDecodeError:
+        raise
+    except (ValueError, RecursionError):  # very long whole numbers, very deep nesting
+        return read_deep(text, Literal, Literal)
+
+
 def embedded(value: str) -> Any:
     """The object or array that a string member holds as JSON text, else UNREADABLE."""
     head = value.lstrip()[:1]

@@ -13,21 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jsonloom.functions.khash import khash_of
-from jsonloom.functions.numbers import classify, decimal_parts, read_number
 from jsonloom.functions.extract import kind_of
+from jsonloom.functions.json_text import TooDeep, read_deep
+from jsonloom.functions.numbers import classify
 from jsonloom.kinds import MARKER
 from jsonloom.session import stage
 
 NODES = (
     "doc string, node_id string, parent_id string, depth int, pos int, key string, kind string, v_bool boolean, v_long bigint, "
     "v_double double, v_big string, v_str string, n_children int, chash string, key_hash bigint, "
-    "parent_kind string, parent_hash string"
+    "height int"
 )
 PATH = ", path string"
+ENTRIES = ", entries array<struct<khash:bigint,key:string,kind:string,ref:string>>"
 _ARROW = [
     ("doc", pa.string()), ("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("key", pa.string()),
     ("kind", pa.string()), ("v_bool", pa.bool_()), ("v_long", pa.int64()), ("v_double", pa.float64()), ("v_big", pa.string()), ("v_str", pa.string()),
-    ("n_children", pa.int32()), ("chash", pa.string()), ("key_hash", pa.int64()), ("parent_kind", pa.string()), ("parent_hash", pa.string()),
+    ("n_children", pa.int32()), ("chash", pa.string()), ("key_hash", pa.int64()), ("height", pa.int32()),
 ]
 
 
@@ -43,13 +45,14 @@ _parser = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=
 
 
 def parse_exact(text: str | None) -> Any:
-    """The document, its numbers as literals (Number). ValueError if it is no JSON. Of repeated keys the last counts."""
+    """The document, its numbers as literals (Number). ValueError if it is no JSON, also if it has more than LEVELS
+    levels. Of repeated keys the last counts."""
     if text is None:
         raise ValueError("NULL")
     try:
         return _parser.decode(text)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
+    except RecursionError:
+        return read_deep(text, Number, Number)
 
 
 @functools.lru_cache(maxsize=65_536)
@@ -57,7 +60,8 @@ def _key_hash(key: str | None) -> int | None:
     return None if key is None else khash_of(key)
 
 
-def _digest(*parts: str) -> str:
+def content_hash(*parts: str) -> str:
+    """The id of a value: its kind, and the text that identifies it within the kind."""
     return xxhash.xxh3_128_hexdigest("\x1f".join(parts).encode("utf-8", "surrogatepass"))
 
 
@@ -65,7 +69,7 @@ def _digest(*parts: str) -> str:
 def _number(literal: str, mode: str) -> tuple:
     """What ``_scalar`` says of a number, and its content hash; repeated literals are classified once."""
     out = _scalar(Number(literal), mode)
-    return (*out, _digest(out[0], out[6]))
+    return (*out, content_hash(out[0], out[6]))
 
 
 def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float | None, str | None, str | None, str]:
@@ -76,26 +80,24 @@ def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float
         return "bit", value, None, None, None, None, str(int(value))
     if isinstance(value, Number):
         found = classify(value, mode)
-        if found is None:
-            raise ValueError(f"number out of bounds: {value[:40]}")
+        if found is None:  # an exponent of thousands of digits; kept as written
+            return "bigdec", None, None, None, str(value), None, str(value)
         kind, v = found
         if kind in ("byte", "short", "int", "long"):
             return kind, None, v, None, None, None, str(v)
         if kind in ("float", "double"):
             return kind, None, None, v, None, None, repr(v)
-        if kind == "bigint":
-            # the value itself, so that 1e3 and 1000 are one; without the digit limit of str()
-            text = format(read_number(value), "f").split(".")[0]
-            return kind, None, None, None, text, None, text
-        return kind, None, None, None, str(value), None, str(v.normalize())
+        text = v.text()  # one text for equal numbers, with all their digits
+        return kind, None, None, None, text, None, text
     return "string", None, None, None, None, value, value
 
 
-def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tuple]:
+def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bool = False) -> list[tuple]:
     """The node rows of a parsed document, in pre-order. node_id is the Dewey label, parent_id that label
     cut by one. chash identifies a value or subtree by content: equal trees have equal hashes whatever the
-    order of object keys. ``key`` is an object member's key, ``key_hash`` its hash; ``parent_kind`` and
-    ``parent_hash`` spare a join with the parent; ``pos`` the place within the parent."""
+    order of object keys. ``key`` is an object member's key, ``key_hash`` its hash; ``pos`` the place within the
+    parent; ``height`` the levels below. With ``entries`` also what a container holds: of each child key hash, key,
+    kind, and the value itself of a small scalar or else its content hash; so no join brings parent and child together."""
     rows: list[list[Any]] = []
     stack: list[tuple[Any, str, str | None, int, int, str | None, int]] = [(value, "1", None, 0, 0, None, -1)]
     parents: list[int] = []
@@ -114,20 +116,31 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact") -> list[tup
             rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, chash, _key_hash(key)])
         else:
             kind, b, n, d, big, s, text = _scalar(v, mode)
-            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, _digest(kind, text), _key_hash(key)])
+            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, content_hash(kind, text), _key_hash(key)])
     inside: dict[int, list[int]] = {}
     for i, p in enumerate(parents):
         if p >= 0:
             inside.setdefault(p, []).append(i)
+    heights = [0] * len(rows)
     for i in range(len(rows) - 1, -1, -1):  # children come after their parents
         row = rows[i]
         if row[13] is None:
             held = inside.get(i, [])
+            heights[i] = 1 + max((heights[c] for c in held), default=0)
             if row[6] == "object":
-                row[13] = _digest("object", *(x for p in sorted((rows[c][5], rows[c][13]) for c in held) for x in p))
+                row[13] = content_hash("object", *(x for p in sorted((rows[c][5], rows[c][13]) for c in held) for x in p))
             else:
-                row[13] = _digest("array", *(rows[c][13] for c in held))
-    return [(*r, None, None) if p < 0 else (*r, rows[p][6], rows[p][13]) for r, p in zip(rows, parents, strict=True)]
+                row[13] = content_hash("array", *(rows[c][13] for c in held))
+    if not entries:
+        return [(*r, h) for r, h in zip(rows, heights, strict=True)]
+    return [(*r, h, [(rows[c][14], rows[c][5], rows[c][6], _ref(rows[c])) for c in inside.get(i, ())]) for i, (r, h) in enumerate(zip(rows, heights, strict=True))]
+
+
+def _ref(row: list[Any]) -> str:
+    kind = row[6]
+    if kind in ("byte", "short"):
+        return str(row[8])
+    return "0" if kind == "null" else str(int(row[7])) if kind == "bit" else row[13]
 
 
 def node_paths(rows: list[tuple]) -> list[str]:
@@ -146,45 +159,87 @@ def node_paths(rows: list[tuple]) -> list[str]:
     return out
 
 
-def _shredder(mode: str, strict: bool, paths: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shredder(mode: str, strict: bool, paths: bool, entries: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    found = shred_document(doc, parse_exact(body), mode)
+                    found = shred_document(doc, parse_exact(body), mode, entries)
                 except ValueError:
                     if strict:
                         raise
                     continue
-                rows += [(*r, p) for r, p in zip(found, node_paths(found), strict=True)] if paths else found
-                if len(rows) > 50_000:
-                    yield _batch(rows, paths)
+                deep = len(found) > 1000 and max(r[3] for r in found) > 1000
+                if deep and rows:  # its labels are long: batches of its own
+                    yield _batch(rows, paths, entries)
                     rows = []
-            yield _batch(rows, paths)
+                rows += [(*r, p) for r, p in zip(found, node_paths(found), strict=True)] if paths else found
+                most = 1000 if deep else 50_000
+                while len(rows) > most:
+                    yield _batch(rows[:most], paths, entries)
+                    del rows[:most]
+            yield _batch(rows, paths, entries)
 
     return run
 
 
-def _batch(rows: list[tuple], paths: bool) -> pa.RecordBatch:
-    fields = [*_ARROW, ("path", pa.string())] if paths else _ARROW
+def _batch(rows: list[tuple], paths: bool, entries: bool) -> pa.RecordBatch:
+    fields = [*_ARROW, *([("entries", None)] if entries else []), *([("path", pa.string())] if paths else [])]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([_entries(c) if t is None else pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False, paths: bool = False) -> DataFrame:
-    """The nodes of all documents (schema NODES), one row each; with ``paths`` also the path of each, keys
-    and positions from the root. No exchange: every document is shredded where it is read.
+def _entries(column: tuple[list[tuple], ...]) -> pa.Array:
+    ends, flat = [0], []
+    for held in column:
+        flat += held
+        ends.append(len(flat))
+    cols = list(zip(*flat, strict=True)) if flat else [()] * 4
+    types = (pa.int64(), pa.string(), pa.string(), pa.string())
+    inner = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["khash", "key", "kind", "ref"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+
+
+def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False, paths: bool = False, entries: bool = False) -> DataFrame:
+    """The nodes of all documents (schema NODES), one row each; with ``entries`` also what each container holds, with
+    ``paths`` the path of each, keys and positions from the root. No exchange: every document is shredded where it is read.
 
     body: JSON as STRING, BINARY (UTF-8), VARIANT or STRUCT. A NULL, empty or unreadable one gives no
-    nodes, or an error if ``strict``; so does a number with an exponent beyond bounds. doc may be NULL or
-    repeat: the rows are as many as the documents give."""
+    nodes, or an error if ``strict`` (``unreadable`` lists them). Numbers of any size are read exactly. doc may
+    be NULL or repeat: the rows are as many as the documents give."""
     if numeric_mode not in ("exact", "fast", "narrow"):
         raise ValueError(f"unknown numeric mode {numeric_mode}")
+    slim, text = _bodies(documents, doc, body)
+    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict, paths, entries), NODES + ENTRIES * entries + PATH * paths)
+
+
+def _bodies(documents: DataFrame, doc: Column, body: Column) -> tuple[DataFrame, Column]:
     slim = documents.select(doc.cast("string").alias("doc"), body.alias("body"))
     kind = dict(slim.dtypes)["body"]
-    text = F.col("body").cast("string") if kind in ("string", "binary") else F.to_json("body", {"ignoreNullFields": "false"})
-    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict, paths), NODES + PATH if paths else NODES)
+    return slim, F.col("body").cast("string") if kind in ("string", "binary") else F.to_json("body", {"ignoreNullFields": "false"})
+
+
+def _refusals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs, reasons = [], []
+        for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                parse_exact(body)
+                continue
+            except TooDeep:
+                reason = "too deep"
+            except ValueError:
+                reason = "null" if body is None else "empty" if not body.strip() else "no JSON"
+            docs.append(doc)
+            reasons.append(reason)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(reasons, pa.string())], names=["doc", "reason"])
+
+
+def unreadable(documents: DataFrame, doc: Column, body: Column) -> DataFrame:
+    """(doc, reason): the documents that ``shred`` leaves out: "null", "empty", "no JSON" or "too deep"."""
+    slim, text = _bodies(documents, doc, body)
+    return slim.select("doc", text.alias("body")).mapInArrow(_refusals, "doc string, reason string")
 
 
 def kind_marker(kind: Column) -> Column:

@@ -7,13 +7,14 @@ the others a count, count + 1 offsets, and the bytes. References are a marker by
 from __future__ import annotations
 
 import json
+import re
 import struct
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from decimal import Decimal
 from typing import Any
 
 from jsonloom.functions.khash import khash_of
-from jsonloom.functions.numbers import classify, decimal_from_parts, decimal_parts, int_bytes, int_from_bytes
+from jsonloom.functions.numbers import Exact, classify, int_bytes, int_from_bytes, whole_digits
 from jsonloom.kinds import KIND, MARKER, MAX_KEYS
 from jsonloom.operators.shred import Number, parse_exact
 
@@ -21,6 +22,7 @@ VERSION = 0
 ORDER = ("int", "long", "bigint", "float", "double", "bigdec", "string", "array", "object", "root")
 FIXED = {"int": ">i", "long": ">q", "float": ">f", "double": ">d"}
 NO_INDEX = 65_535
+LARGEST = 1_000_000  # digits of a number
 HEADER = 4 + 4 + 4 * len(ORDER) + 2
 
 
@@ -75,7 +77,7 @@ class BlobBuilder:
             kind, n = found
             if kind in ("byte", "short"):
                 return MARKER[kind], n
-            return MARKER[kind], self.pools[kind].add(decimal_parts(n) if kind == "bigdec" else n)
+            return MARKER[kind], self.pools[kind].add(_stored(n))
         if isinstance(v, str):
             return MARKER["string"], self.pools["string"].add(v)
         if isinstance(v, list):
@@ -121,13 +123,22 @@ class BlobBuilder:
         if table == "bigint":
             return int_bytes(x)
         if table == "bigdec":
-            unscaled, scale, precision, signum = x
-            return struct.pack(">iii", signum, precision, scale) + int_bytes(int(unscaled))
+            unscaled, scale, precision, signum = x.parts()
+            return struct.pack(">iii", signum, precision, scale) + int_bytes(int(Decimal(unscaled)))
         if table == "array":
             return struct.pack(">i", len(x)) + b"".join(map(_packed, x))
         return self._object(x)
 
 
+def _stored(n: Any) -> Any:
+    """A number as its table holds it. ValueError for one that the container can't: its digits are written out."""
+    if not isinstance(n, Exact):
+        return n
+    if max(n.exponent + len(n.digits), -n.exponent) > LARGEST:
+        raise ValueError(f"a number of more than {LARGEST} digits")
+    return int(Decimal(n.sign + n.digits + "0" * n.exponent)) if n.whole() else n
+
+
 def _packed(ref: tuple[int, int]) -> bytes:
     return struct.pack(">Bi", *ref)
 
@@ -182,7 +193,8 @@ class BlobReader:
         if table == "bigint":
             return int_from_bytes(self.data[a:b])
         signum, _, scale = struct.unpack_from(">iii", self.data, a)
-        return decimal_from_parts(str(int_from_bytes(self.data[a + 12 : b])), scale, signum)
+        digits = whole_digits(abs(int_from_bytes(self.data[a + 12 : b])))
+        return Decimal((1 if signum < 0 else 0, tuple(map(int, digits)), -scale))
 
     def _entries(self, i: int) -> tuple[int, int, int]:
         """(place of the entries, their number, place of the index or 0)."""
@@ -220,14 +232,18 @@ class BlobReader:
             raise KeyError(i)
         return struct.unpack_from(">Bi", self.data, a + 4 + 5 * j)
 
-    def query(self, root: str, steps: list[str | int]) -> Any:
-        """The value at a path of a root."""
+    def follow(self, root: str, steps: Sequence[str | int]) -> tuple[int, int]:
+        """The reference at a path of a root. KeyError where there is none."""
         ref = self.roots[root]
         for s in steps:
-            if isinstance(s, str) and KIND.get(ref[0]) == "array" and s.lstrip("-").isdigit():
+            if isinstance(s, str) and KIND.get(ref[0]) == "array" and re.fullmatch(r"-?[0-9]+", s):
                 s = int(s)
             ref = self.element(ref, s) if isinstance(s, int) else self.field(ref, s)
-        return self.value(ref)
+        return ref
+
+    def query(self, root: str, steps: Sequence[str | int]) -> Any:
+        """The value at a path of a root."""
+        return self.value(self.follow(root, steps))
 
     def value(self, ref: tuple[int, int]) -> Any:
         """The whole value below a reference."""
@@ -265,6 +281,8 @@ def json_text(value: Any) -> str:
     """JSON text; decimals are written with all their digits."""
     if isinstance(value, Decimal):
         return format(value, "f") if abs(value.adjusted()) < 40 else str(value)
+    if isinstance(value, int) and not isinstance(value, bool):
+        return whole_digits(value)
     if isinstance(value, dict):
         return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + json_text(v) for k, v in value.items()) + "}"
     if isinstance(value, list):
