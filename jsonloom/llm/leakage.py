@@ -26,7 +26,9 @@ MASKS = (
     (0, 1, 3, 4, 6, 7, 9, 10),
     (1, 2, 4, 5, 7, 8, 10, 11),
 )
-FILTER_BITS = 25  # the filter of test seeds is 4 MB, however many test items there are
+BITS_A_SEED = 64  # of the filter: with SLOTS bits set by each seed about one window in 65,000 passes by chance
+SLOTS = 4
+MOST_BITS = 28  # log2 of the filter's bits: 32 MB. Beyond 4 million test seeds more windows pass, and the join sorts them out
 WORDS_AT_ONCE = 100_000  # documents are hashed together up to so many words
 BROADCAST_SEEDS = 500_000  # beyond so many test seeds the join is shuffled
 
@@ -70,9 +72,31 @@ def seeds(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slots(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return seed & mask, (seed >> np.uint64(32)) & mask
+def filter_bits(n_seeds: int) -> int:
+    """log2 of the number of bits of a filter of so many seeds."""
+    return min(MOST_BITS, max(16, (BITS_A_SEED * n_seeds - 1).bit_length()))
+
+
+def _slot(seed: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The i-th bit that a seed sets."""
+    low, high = seed & np.uint64(0xFFFFFFFF), (seed >> np.uint64(32)) | np.uint64(1)
+    return (low + np.uint64(i) * high) & np.uint64((1 << bits) - 1)
+
+
+def passing(found: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, position) of the seeds that the filter lets pass; most fail at the first bit."""
+    bits = (cells.size * 64 - 1).bit_length()
+    mask = at = None
+    for i in range(SLOTS):
+        seed = found if mask is None else found[mask, at]
+        slot = _slot(seed, i, bits)
+        hit = (cells[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+        if mask is None:
+            mask, at = np.nonzero(hit)
+        else:
+            keep = np.flatnonzero(hit)
+            mask, at = mask[keep], at[keep]
+    return mask, at
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -101,9 +125,7 @@ def _hits(tokens: list[np.ndarray], bits: np.ndarray) -> Iterator[tuple[int, np.
     found = seeds(flat)
     if not found.size:
         return
-    one, two = _slots(found)
-    hit = (bits[one >> np.uint64(6)] >> (one & np.uint64(63))) & (bits[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1)
-    mask, at = np.nonzero(hit)
+    mask, at = passing(found, bits)
     doc = np.searchsorted(ends, at, side="right")
     inside = at + SPAN <= ends[doc]
     mask, at, doc = mask[inside], at[inside], doc[inside]
@@ -192,8 +214,9 @@ def leaked_passages(
     read: how a document's text is read, by default as an e-mail message; items are plain text.
 
     Scale: documents are read once, as Arrow batches; only those with a seed that the filter of test
-    seeds lets pass go on (written to the shared folder), with their hits. The filter has a fixed size.
-    Hits join the test seeds by hash; the candidate pairs are distinct alignments of a document with
+    seeds lets pass go on (written to the shared folder), with their hits. The filter's size follows from the
+    number of test seeds, up to 32 MB. Hits join the test seeds by hash (broadcast up to BROADCAST_SEEDS; else
+    exchanged, where adaptive execution splits the partition of a stock phrase's seed); the candidate pairs are distinct alignments of a document with
     an item, never pairs of documents. Copies of a document are found each for itself.
 
     Edge cases: NULL ids give no rows; NULL, empty and short texts (under 12 words) match nothing;
@@ -202,12 +225,14 @@ def leaked_passages(
     test = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     item_rows = stage(test.mapInArrow(_item_rows, "item_id bigint, item_words array<bigint>, seeds array<bigint>, at array<int>"), "items")
     item_seeds = item_rows.select("item_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("item_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"))
-    slots = item_seeds.select(
-        F.explode(F.array(F.col("seed").bitwiseAND((1 << FILTER_BITS) - 1), F.shiftrightunsigned("seed", 32).bitwiseAND((1 << FILTER_BITS) - 1))).alias("slot")
-    )
+    n_seeds = item_seeds.count()
+    few = n_seeds <= BROADCAST_SEEDS
+    size = filter_bits(n_seeds)
+    low, high = F.col("seed").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("seed", 32).bitwiseOR(1)
+    slots = item_seeds.select(F.explode(F.array(*[(low + high * i).bitwiseAND((1 << size) - 1) for i in range(SLOTS)])).alias("slot"))
     packed = slots.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    cells = packed.toArrow()  # at most 2^FILTER_BITS / 64 rows
-    bits = np.zeros((1 << FILTER_BITS) // 64, dtype=np.uint64)
+    cells = packed.toArrow()  # at most 2^MOST_BITS / 64 rows
+    bits = np.zeros((1 << size) // 64, dtype=np.uint64)
     if cells.num_rows:
         bits[cells.column(0).to_numpy()] = cells.column(1).to_numpy().view(np.uint64)
     corpus = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -215,7 +240,6 @@ def leaked_passages(
         corpus.mapInArrow(_document_rows(bits, read), "doc_id bigint, doc_words array<bigint>, seeds array<bigint>, at array<int>"), "hits"
     )
     doc_seeds = hits.select("doc_id", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("doc_id", F.col("s.seeds").alias("seed"), F.col("s.at").alias("doc_at"))
-    few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     pairs = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "seed")
     pairs = pairs.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     texts = item_rows.where(F.size("seeds") > 0).select("item_id", "item_words")

@@ -8,8 +8,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-DEPTH = 20  # messages within messages, parts within parts
-
 
 @dataclass
 class Part:
@@ -92,47 +90,53 @@ def _is_text(s: str) -> bool:
     return "�" not in s and not re.search(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]", s)
 
 
-def _walk(lines: list[str], start: int, depth: int, attached: bool, choice: int, count: list[int]) -> Iterator[Part]:
-    head, at = _headers(lines, start)
-    kind_text = head.get("content-type", "text/plain")
-    kind = kind_text.split(";", 1)[0].strip().lower()
-    params = _params(";" + kind_text.partition(";")[2]) if ";" in kind_text else {}
-    disposition = head.get("content-disposition", "")
-    name = params.get("name") or _params(";" + disposition.partition(";")[2]).get("filename", "")
-    attached = attached or disposition.lower().startswith("attachment") or bool(name)
-    encoding = head.get("content-transfer-encoding", "").split(";")[0].strip().lower()
-    body = lines[at:]
-    if kind.startswith("multipart/") and params.get("boundary") and depth < DEPTH:
-        fence = "--" + params["boundary"]
-        if kind == "multipart/alternative":
-            count[0] += 1
-            choice = count[0]
-        piece: list[str] | None = None
-        for line in body:
-            if line.startswith(fence):
-                rest = line[len(fence) :].rstrip()
-                if rest in ("", "--"):
-                    if piece is not None:
-                        yield from _walk(piece, 0, depth + 1, attached, choice, count)
-                    piece = None if rest else []
-                    continue
-            if piece is not None:
-                piece.append(line)
-        if piece:
-            yield from _walk(piece, 0, depth + 1, attached, choice, count)
-        return
-    if kind == "message/rfc822" and depth < DEPTH:
-        inner = _body(body, encoding, "utf-8").split("\n") if encoding in ("base64", "quoted-printable") else body
-        yield from _walk(inner, 0, depth + 1, True, 0, count)
-        return
-    if kind.startswith("text/") or kind.startswith("multipart/") or "/" not in kind:
-        text = _body(body, encoding, params.get("charset", ""))
-        yield Part("html" if kind == "text/html" else "plain", text, attached, choice)
-        return
-    if _TEXT_FILE.search(name) or kind in ("application/octet-stream", "application/json", "application/xml"):
-        text = _body(body, encoding, params.get("charset", ""))
-        if _is_text(text):
-            yield Part("html" if re.search(r"\.html?$", name, re.I) else "plain", text, True, choice)
+def _pieces(body: list[str], fence: str) -> list[list[str]]:
+    """The lines between the fences of a multipart body; what stands before the first or behind the closing one is dropped."""
+    out: list[list[str]] = []
+    piece: list[str] | None = None
+    for line in body:
+        if line.startswith(fence):
+            rest = line[len(fence) :].rstrip()
+            if rest in ("", "--"):
+                if piece is not None:
+                    out.append(piece)
+                piece = None if rest else []
+                continue
+        if piece is not None:
+            piece.append(line)
+    return [*out, piece] if piece else out
+
+
+def _walk(lines: list[str], start: int) -> Iterator[Part]:
+    """The text parts of a message in order, however deep messages and parts are nested."""
+    choices = 0
+    stack: list[tuple[list[str], int, bool, int]] = [(lines, start, False, 0)]
+    while stack:
+        lines, start, attached, choice = stack.pop()
+        head, at = _headers(lines, start)
+        kind_text = head.get("content-type", "text/plain")
+        kind = kind_text.split(";", 1)[0].strip().lower()
+        params = _params(";" + kind_text.partition(";")[2]) if ";" in kind_text else {}
+        disposition = head.get("content-disposition", "")
+        name = params.get("name") or _params(";" + disposition.partition(";")[2]).get("filename", "")
+        attached = attached or disposition.lower().startswith("attachment") or bool(name)
+        encoding = head.get("content-transfer-encoding", "").split(";")[0].strip().lower()
+        body = lines[at:]
+        if kind.startswith("multipart/") and params.get("boundary"):
+            if kind == "multipart/alternative":
+                choices += 1
+                choice = choices
+            stack += [(p, 0, attached, choice) for p in reversed(_pieces(body, "--" + params["boundary"]))]
+        elif kind == "message/rfc822":
+            inner = _body(body, encoding, "utf-8").split("\n") if encoding in ("base64", "quoted-printable") else body
+            stack.append((inner, 0, True, 0))
+        elif kind.startswith("text/") or kind.startswith("multipart/") or "/" not in kind:
+            text = _body(body, encoding, params.get("charset", ""))
+            yield Part("html" if kind == "text/html" else "plain", text, attached, choice)
+        elif _TEXT_FILE.search(name) or kind in ("application/octet-stream", "application/json", "application/xml"):
+            text = _body(body, encoding, params.get("charset", ""))
+            if _is_text(text):
+                yield Part("html" if re.search(r"\.html?$", name, re.I) else "plain", text, True, choice)
 
 
 def parts(raw: str | None) -> list[Part]:
@@ -147,7 +151,7 @@ def parts(raw: str | None) -> list[Part]:
         at += 1
     if not _HEADER.match(lines[at]):
         return [Part("plain", "\n".join(lines[at:]), False, 0)]
-    return list(_walk(lines, at, 0, False, 0, [0]))
+    return list(_walk(lines, at))
 
 
 _DROP = re.compile(r"<(style|script|head|title)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>", re.S | re.I)

@@ -87,3 +87,21 @@ def test_found_on_data(spark, small):
 def longest_common_fast(a, b):
     grams = {tuple(b[k : k + 12]) for k in range(len(b) - 11)}
     return any(tuple(a[k : k + 12]) in grams for k in range(len(a) - 11))
+
+
+def test_filter_grows_with_the_seeds():
+    """Every seed that was put in passes at each size, and by chance next to none."""
+    import numpy as np
+
+    from jsonloom.llm.leakage import MOST_BITS, SLOTS, _slot, filter_bits, passing
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3000, 40_000):
+        bits = filter_bits(n)
+        seeds_, others = (rng.integers(0, 2**64, size=(1, m), dtype=np.uint64) for m in (n, 200_000))
+        cells = np.zeros((1 << bits) // 64, dtype=np.uint64)
+        for i in range(SLOTS):
+            slot = _slot(seeds_[0], i, bits)
+            np.bitwise_or.at(cells, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+        assert len(passing(seeds_, cells)[0]) == n and len(passing(others, cells)[0]) <= 20
+    assert filter_bits(10**9) == MOST_BITS

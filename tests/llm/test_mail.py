@@ -67,3 +67,17 @@ def test_damaged_texts_have_defined_results():
 
 def test_mojibake_is_repaired():
     assert mail.repaired("BrÃ¼he Ã© naÃ¯ve") == "Brühe é naïve" and mail.repaired("Ãx") == "Ãx"
+
+
+def test_messages_nested_at_any_depth():
+    """Forwarded messages and parts far beyond any stack; the innermost text is read."""
+    from jsonloom.llm.mail import parts, seen_text
+
+    text = "Subject: innermost\n\nthe text inside"
+    for _ in range(1500):
+        text = "Subject: x\nContent-Type: message/rfc822\n\n" + text
+    assert "the text inside" in seen_text(text) and [p.attached for p in parts(text)] == [True]
+    body = "Content-Type: text/plain\n\ndeep part"
+    for i in range(400):
+        body = f'Content-Type: multipart/mixed; boundary="b{i}x"\n\n--b{i}x\n{body}\n--b{i}x--'
+    assert seen_text("Subject: y\n" + body).strip() == "deep part"
