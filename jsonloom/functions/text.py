@@ -29,8 +29,8 @@ def denoted_number(c: Column) -> Column:
 
     def spelled(text: Column) -> Column:
         fraction = F.regexp_extract(text, r"\.([0-9]*)", 1)
-        digits = F.ltrim(F.lit("0"), F.concat(F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), fraction))
-        core = F.rtrim(F.lit("0"), digits)
+        digits = F.ltrim(F.concat(F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), fraction), F.lit("0"))
+        core = F.rtrim(digits, F.lit("0"))
         exponent = F.when(text.rlike("[eE]"), F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")).otherwise(0)
         zeros = F.length(digits) - F.length(core) + exponent.cast("bigint") - F.length(fraction)  # behind the last other digit
         value = F.concat(F.when(text.startswith("-"), "-").otherwise(""), core, F.repeat(F.lit("0"), zeros.cast("int")))

@@ -157,28 +157,31 @@ def _labeller(key_type: pa.DataType, tables: tuple[NodeTable, ...]) -> Callable[
         root = _steps(tables)
         for batch in batches:
             keys: list[Any] = []
+            numbers: list[int] = []
             rows: list[Row] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, number in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 doc = read_json(text)
                 if doc is UNREADABLE:
                     continue
                 found = label_nodes(doc, root)
                 rows += found
                 keys += [key] * len(found)
+                numbers += [number] * len(found)
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, key_type), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()),
+                    pa.array(keys, key_type), pa.array(numbers, pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()),
                     pa.array(cols[2], pa.int32()), pa.array(cols[3], _MEMBERS), pa.array(cols[4], pa.string()),
                 ],
-                names=["doc_key", "node_table", "label", "parent_depth", "members", "value"],
+                names=["doc_key", "doc_row", "node_table", "label", "parent_depth", "members", "value"],
             )
 
     return run
 
 
 def dewey_rows(documents: DataFrame, key: Column, body: Column, tables: Sequence[NodeTable]) -> DataFrame:
-    """(doc_key, node_table, label, parent_label, members, value): one row per node of ``tables``.
+    """(doc_key, doc_row, node_table, label, parent_label, members, value): one row per node of ``tables``. doc_row tells
+    documents of one key apart, within what is written of one run.
 
     ``key`` must be a string or a BIGINT. Only (key, body) reach Python, as Arrow batches; a body
     that can't hold any of the first keys of the paths is dropped before, in the scan's stage.
@@ -194,16 +197,17 @@ def dewey_rows(documents: DataFrame, key: Column, body: Column, tables: Sequence
         possible = possible | F.col("body").contains(first)
     if all(t.path for t in tables):
         slim = slim.where(possible)
-    schema = f"doc_key {kind}, node_table string, label string, parent_depth int, members map<string,string>, value string"
+    slim = slim.withColumn("doc_row", F.monotonically_increasing_id())
+    schema = f"doc_key {kind}, doc_row bigint, node_table string, label string, parent_depth int, members map<string,string>, value string"
     rows = slim.mapInArrow(_labeller(pa.string() if kind == "string" else pa.int64(), tuple(tables)), schema)
     parent = F.when(
         F.col("parent_depth") > 0, F.array_join(F.slice(F.split("label", r"\."), F.lit(1), F.col("parent_depth")), ".")
     )
-    return rows.select("doc_key", "node_table", "label", parent.alias("parent_label"), "members", "value")
+    return rows.select("doc_key", "doc_row", "node_table", "label", parent.alias("parent_label"), "members", "value")
 
 
 def dewey_tables(documents: DataFrame, key: Column, body: Column, tables: Sequence[NodeTable]) -> dict[str, DataFrame]:
-    """One flat DataFrame per table: doc_key, label, parent_label, value and the table's columns.
+    """One flat DataFrame per table: doc_key, doc_row, label, parent_label, value and the table's columns.
 
     The labelled rows are written once to the shared folder, partitioned by table, so that each
     table reads its own files only and the documents are parsed once."""
@@ -212,13 +216,13 @@ def dewey_tables(documents: DataFrame, key: Column, body: Column, tables: Sequen
     for t in tables:
         mine = rows.where(F.col("node_table") == t.name)
         out[t.name] = mine.select(
-            "doc_key", "label", "parent_label", "value", *[F.element_at("members", c).alias(c) for c in t.columns]
+            "doc_key", "doc_row", "label", "parent_label", "value", *[F.element_at("members", c).alias(c) for c in t.columns]
         )
     return out
 
 
 def with_parent(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``child`` with columns of its parent row, joined by document and truncated label. Children
-    outside any parent row are left out."""
-    p = parent.select("doc_key", F.col("label").alias("parent_label"), *[F.col(c).alias(a) for c, a in columns.items()])
-    return child.join(p, ["doc_key", "parent_label"])
+    """``child`` with columns of its parent row, joined by document and truncated label; documents of one key are kept
+    apart. Children outside any parent row are left out."""
+    p = parent.select("doc_row", F.col("label").alias("parent_label"), *[F.col(c).alias(a) for c, a in columns.items()])
+    return child.join(p, ["doc_row", "parent_label"])

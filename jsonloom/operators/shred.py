@@ -172,19 +172,20 @@ def _shredder(mode: str, strict: bool, paths: bool, entries: bool) -> Callable[[
                     continue
                 deep = len(found) > 1000 and max(r[3] for r in found) > 1000
                 if deep and rows:  # its labels are long: batches of its own
-                    yield _batch(rows, paths, entries)
+                    yield node_batch(rows, paths, entries)
                     rows = []
                 rows += [(*r, p) for r, p in zip(found, node_paths(found), strict=True)] if paths else found
                 most = 1000 if deep else 50_000
                 while len(rows) > most:
-                    yield _batch(rows[:most], paths, entries)
+                    yield node_batch(rows[:most], paths, entries)
                     del rows[:most]
-            yield _batch(rows, paths, entries)
+            yield node_batch(rows, paths, entries)
 
     return run
 
 
-def _batch(rows: list[tuple], paths: bool, entries: bool) -> pa.RecordBatch:
+def node_batch(rows: list[tuple], paths: bool = False, entries: bool = False) -> pa.RecordBatch:
+    """Rows of ``shred_document`` as an Arrow batch."""
     fields = [*_ARROW, *([("entries", None)] if entries else []), *([("path", pa.string())] if paths else [])]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([_entries(c) if t is None else pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])

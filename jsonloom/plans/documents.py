@@ -536,10 +536,10 @@ def rewrite_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_surface(spark: SparkSession, d: str) -> DataFrame:
-    """The registered SQL functions: shredding as a table function, key hashes and kinds."""
+    """The registered SQL functions: shredding and key hashes."""
     register(spark)
     table(spark, d, "events").createOrReplaceTempView("jsonloom_events")
-    return spark.sql("SELECT event_id, n.key, khash(n.key) AS khash, n.v_long AS k FROM jsonloom_events, LATERAL shred_json(props) n WHERE n.parent_id IS NOT NULL")
+    return spark.sql("SELECT event_id, n.key, khash(n.key) AS khash, n.v_long AS k FROM jsonloom_events LATERAL VIEW inline(shred_json(props)) n WHERE n.parent_id IS NOT NULL")
 
 
 def native_shred(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from jsonloom.functions.text import denoted_number, normal_form
 from jsonloom.operators.dewey import NodeTable, dewey_rows, dewey_tables, with_parent
 from jsonloom.operators.events import deliveries, distinct_events
 from jsonloom.operators.keyed_totals import heavy_keys, keyed_distinct, keyed_totals, stacked_keys
-from jsonloom.operators.redelivery import keep_one_delivery
+from jsonloom.operators.redelivery import keep_one_delivery, merge_batch, with_repeats
 from jsonloom.operators.term_frequency import term_frequencies
 from jsonloom.session import stage, table
 from jsonloom.streaming.session_timers import sessions
@@ -49,9 +49,9 @@ def p1_next_batch(spark: SparkSession, d: str) -> DataFrame:
     order = [F.col("received_at").isNull(), F.col("received_at"), F.col("delivery_no")]
     old = keep_one_delivery(log.where(F.col("batch_id") < last), F.col("event_id"), order)
     new = log.where((F.col("batch_id") >= last) | F.col("batch_id").isNull())
-    stored = stage(old.drop("message_key", "deliveries"), "stored")
-    both = keep_one_delivery(new, F.col("event_id"), order, stored=stored)
-    return both.select("message_key", "delivery_no", "batch_id")
+    stored = stage(old, "stored")
+    fresh, repeats = merge_batch(new, stored, F.col("event_id"), order)
+    return with_repeats(stored, fresh, repeats).select("message_key", "deliveries", "delivery_no", "batch_id")
 
 
 # 2 - sessions
@@ -99,8 +99,8 @@ def p3_commits(spark: SparkSession, d: str) -> DataFrame:
     """The commit table with message and author, linked to the delivery."""
     log = table(spark, d, "event_log")
     flat = dewey_tables(log, F.col("delivery_no"), F.col("payload"), COMMIT_FULL)
-    author = flat["author"].select("doc_key", F.col("parent_label").alias("label"), "name", "email")
-    return flat["commit"].join(author, ["doc_key", "label"], "left").select(
+    author = flat["author"].select("doc_row", F.col("parent_label").alias("label"), "name", "email")
+    return flat["commit"].join(author, ["doc_row", "label"], "left").select(
         F.col("doc_key").alias("delivery_no"), F.col("label").alias("commit_label"), "sha", "message", "name", "email"
     )
 
@@ -182,9 +182,14 @@ def _sql_normal(c: str) -> str:
 
 
 _SQL_TRIMMED = f"regexp_replace(id, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
-_SQL_NUMBER = rf"""CASE WHEN regexp_matches({_SQL_TRIMMED}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{{1,3}})?$')
- AND try_cast({_SQL_TRIMMED} AS DECIMAL(38,10)) = try_cast(try_cast({_SQL_TRIMMED} AS DECIMAL(38,10)) AS BIGINT)
- THEN try_cast(try_cast({_SQL_TRIMMED} AS DECIMAL(38,10)) AS BIGINT) END"""
+#: By arithmetic on the mantissa as a whole number and the power of ten it stands for.
+_SQL_MANTISSA = f"try_cast(replace(regexp_replace({_SQL_TRIMMED}, '[eE].*$', ''), '.', '') AS HUGEINT)"
+_SQL_POWER = f"""(coalesce(try_cast(nullif(regexp_extract({_SQL_TRIMMED}, '[eE]([+-]?[0-9]+)$', 1), '') AS INT), 0)
+ - coalesce(length(regexp_extract({_SQL_TRIMMED}, '[.]([0-9]*)', 1)), 0))"""
+_SQL_NUMBER = rf"""CASE WHEN NOT regexp_full_match({_SQL_TRIMMED}, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN NULL
+ WHEN {_SQL_MANTISSA} = 0 THEN 0
+ WHEN {_SQL_POWER} BETWEEN 0 AND 18 THEN try_cast({_SQL_MANTISSA} * CAST(pow(10, {_SQL_POWER}) AS HUGEINT) AS BIGINT)
+ WHEN {_SQL_POWER} BETWEEN -18 AND -1 AND {_SQL_MANTISSA} % CAST(pow(10, -{_SQL_POWER}) AS HUGEINT) = 0 THEN try_cast({_SQL_MANTISSA} // CAST(pow(10, -{_SQL_POWER}) AS HUGEINT) AS BIGINT) END"""
 _SQL_INSTANT = r"""CASE
  WHEN regexp_matches(created_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$')
   THEN CAST(floor(epoch(try_cast(regexp_replace(created_at, '(Z|[+-][0-9]{2}:?[0-9]{2})$', '') AS TIMESTAMP))) AS BIGINT)
@@ -226,6 +231,28 @@ s AS (SELECT parent_id, j.value->>'id' AS id FROM t, json_tree(t.s) j WHERE j.ty
 SELECT DISTINCT * FROM (SELECT 'commit' AS child_table, CAST(event_id AS VARCHAR) AS parent_id, lower(e->>'sha') AS child_key FROM e WHERE json_type(e) = 'OBJECT'
  UNION ALL SELECT 'theater_group', parent_id, {_sql_normal("CASE json_type(g) WHEN 'OBJECT' THEN g->>'code' WHEN 'VARCHAR' THEN g->>'$' END")} FROM g
  UNION ALL SELECT 'showtime', parent_id, id FROM s) WHERE child_key IS NOT NULL AND parent_id IS NOT NULL"""
+#: Nodes of JSON texts b with their Dewey labels; text inside a JSON string is read as JSON at the top.
+_SQL_LABELS = """j AS (SELECT key_, CASE WHEN json_type(b) = 'VARCHAR' THEN b->>'$' ELSE b END AS b FROM docs WHERE json_valid(b)),
+t AS (SELECT key_, x.* FROM j, json_tree(CASE WHEN json_valid(b) THEN b END) x),
+o AS (SELECT *, row_number() OVER (PARTITION BY key_, parent ORDER BY id) AS place FROM t),
+d AS (SELECT key_, id, '1' AS label, '' AS path, type, value, CAST(NULL AS VARCHAR) AS parent_label FROM o WHERE parent IS NULL
+ UNION ALL SELECT o.key_, o.id, d.label || '.' || o.place, CASE WHEN d.type = 'ARRAY' THEN d.path ELSE d.path || '/' || o.key END, o.type, o.value, d.label
+ FROM o JOIN d ON o.key_ = d.key_ AND o.parent = d.id)"""
+
+
+def _sql_scalar(object_: str, member: str) -> str:
+    return f"CASE WHEN json_type({object_}->'{member}') NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {object_}->>'{member}' END"
+
+
+_SQL_COMMITS = f"""WITH RECURSIVE docs AS (SELECT delivery_no AS key_, payload AS b FROM event_log WHERE payload LIKE '%commits%'), {_SQL_LABELS},
+c AS (SELECT * FROM d WHERE path = '/commits' AND type = 'OBJECT'), a AS (SELECT * FROM d WHERE path = '/commits/author' AND type = 'OBJECT')
+SELECT c.key_ AS delivery_no, c.label AS commit_label, {_sql_scalar("c.value", "sha")} AS sha, {_sql_scalar("c.value", "message")} AS message,
+ {_sql_scalar("a.value", "name")} AS name, {_sql_scalar("a.value", "email")} AS email FROM c LEFT JOIN a ON a.key_ = c.key_ AND a.parent_label = c.label"""
+_SQL_SHOWTIMES = f"""WITH RECURSIVE docs AS (SELECT page_id AS key_, body AS b FROM theater_page), {_SQL_LABELS},
+r AS (SELECT * FROM d WHERE path = '/results' AND type = 'OBJECT'),
+s AS (SELECT * FROM d WHERE path LIKE '/results/showtimes%' AND type = 'OBJECT' AND list_contains(json_keys(value), 'start') AND list_contains(json_keys(value), 'id')),
+x AS (SELECT s.*, r.label AS theater, r.value AS theater_value FROM s JOIN r ON r.key_ = s.key_ AND starts_with(s.label, r.label || '.'))
+SELECT key_ AS page_id, theater AS parent_label, label, {_sql_scalar("theater_value", "id")} AS theater_id, {_sql_scalar("value", "id")} AS showtime_id, {_sql_scalar("value", "start")} AS start FROM x"""
 _SQL_RANKED = f"""WITH {_SQL_LOG}, r AS (SELECT *, coalesce(CAST(event_id AS VARCHAR), 'd' || delivery_no) AS k FROM log),
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY instant_s IS NULL, payload IS NULL, received_at NULLS LAST, delivery_no) AS no, count(*) OVER (PARTITION BY k) AS deliveries FROM r)"""
 
@@ -233,13 +260,15 @@ SQL = {
     "p1_found": f"WITH {_SQL_LOG} SELECT event_id FROM log WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(*) > 1",
     "p1_kept": f"{_SQL_RANKED} SELECT event_id AS message_key, deliveries, delivery_no, instant_s, type FROM o WHERE no = 1",
     "p1_next_batch": f"""WITH {_SQL_LOG}, r AS (SELECT *, coalesce(CAST(event_id AS VARCHAR), 'd' || delivery_no) AS k, coalesce(batch_id >= (SELECT max(batch_id) FROM log), true) AS fresh FROM log),
-o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fresh, received_at NULLS LAST, delivery_no) AS no FROM r)
-SELECT event_id AS message_key, delivery_no, batch_id FROM o WHERE no = 1""",
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY fresh, received_at NULLS LAST, delivery_no) AS no, count(*) OVER (PARTITION BY k) AS deliveries FROM r)
+SELECT event_id AS message_key, deliveries, delivery_no, batch_id FROM o WHERE no = 1""",
     "p2_found": f"{_SQL_SESSIONS} FROM s GROUP BY actor_id, no",
     "p2_sessions": f"""WITH t AS ({_SQL_SESSIONS}, coalesce(type, '') AS type, count(*) AS n, no FROM s GROUP BY actor_id, no, coalesce(type, ''))
 SELECT actor_id, min(start_s) AS start_s, max(end_s) AS end_s, max(end_s) - min(start_s) AS duration_s, CAST(sum(n) AS BIGINT) AS events,
  string_agg(type || '=' || n, ',' ORDER BY type) AS types FROM t GROUP BY actor_id, no""",
     "p3_found": _SQL_NESTED,
+    "p3_commits": _SQL_COMMITS,
+    "p3_showtimes": _SQL_SHOWTIMES,
     "p4_found": f"{_SQL_TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"{_SQL_TERMS} SELECT field, term, occurrences, records, mark FROM m",
     "p5_found": f"""{_SQL_KEYS}, n AS (SELECT field, key_value, count(*) AS n FROM ok GROUP BY field, key_value)

@@ -238,31 +238,29 @@ def decode_blob(blob: Column) -> Column:
     return run(blob)
 
 
+def read_path(blob: bytes | None, root: str | None, path: str | Sequence[Step] | None, accepted: frozenset[str] | None = None) -> tuple[str | None, str | None]:
+    """(kind, JSON text) of the value at a path of a document in a blob; NULLs where there is none, or of another kind than ``accepted``."""
+    if blob is None or root is None or path is None:
+        return None, None
+    reader = BlobReader(bytes(blob))
+    try:
+        ref = reader.follow(root, parse_path(path) if isinstance(path, str) else path)
+    except KeyError:
+        return None, None
+    kind = KIND[ref[0]]
+    return (kind, json_text(reader.value(ref))) if accepted is None or kind in accepted else (None, None)
+
+
 def blob_query(blob: Column, root: Column, path: str | Sequence[Step] = (), target: str | None = None) -> Column:
     """STRUCT<kind, body> of the value at a path of a document in a blob, without decoding anything else: keys are found by
     their bucket. body is JSON text. NULL where the path leads nowhere, there is no such root or the blob is NULL.
     target: only kinds that it accepts, as in ``Cursor.as_``; others give NULL."""
     steps = parse_path(path) if isinstance(path, str) else list(path)
-    accepted = None if target is None else set(ACCEPTS[target])
+    accepted = None if target is None else frozenset(ACCEPTS[target])
 
     @F.pandas_udf("kind string, body string")
     def run(blobs: pd.Series, roots: pd.Series) -> pd.DataFrame:
-        rows = []
-        last: tuple[bytes, BlobReader] | None = None
-        for data, name in zip(blobs, roots, strict=True):
-            row = (None, None)
-            if data is not None and name is not None:
-                if last is None or last[0] is not data and last[0] != data:
-                    last = data, BlobReader(bytes(data))
-                try:
-                    ref = last[1].follow(name, steps)
-                    kind = KIND[ref[0]]
-                    if accepted is None or kind in accepted:
-                        row = kind, json_text(last[1].value(ref))
-                except KeyError:
-                    pass
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["kind", "body"])
+        return pd.DataFrame([read_path(b, r, steps, accepted) for b, r in zip(blobs, roots, strict=True)], columns=["kind", "body"])
 
     found = run(blob, root)
     return F.when(found["kind"].isNotNull(), found)

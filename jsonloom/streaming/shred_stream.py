@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jsonloom.kinds import TABLES
@@ -18,26 +18,35 @@ def shred_stream(documents: DataFrame, doc: Column, body: Column, **options: obj
 
 
 def appender(path: str, *, root: str = "root", body: str = "body") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that adds a batch of documents to the aggregate at ``path``.
+    """A ``foreachBatch`` function that adds a batch of documents to the aggregate at ``path``, to be read by ``appended``.
 
-    Ids are content hashes, so only values that aren't there yet are written (anti-join by id), the order
-    of batches doesn't matter, and a batch that is run again adds nothing. A root name that exists
-    already keeps its first document."""
+    A batch writes the folder ``batch=<number>`` of each table and nothing else: what is there already is neither
+    read nor changed, so a batch costs the same however large the aggregate is. Run again, it replaces its own
+    folders. The roots are written last, and only batches that have them count; so a batch is there wholly or not at all.
+    Two documents of one name in a batch are an error."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def run(batch: DataFrame, number: int) -> None:
         new = Aggregate.pack(batch, F.col(root), F.col(body))
-        for t in TABLES:
-            key = "name" if t == "root" else "id"
-            rows = new[t].dropDuplicates([key])
-            schema = rows.schema
-            rows.limit(0).write.mode("append").parquet(f"{path}/{t}")  # the folder exists from now on
-            have = spark.read.schema(schema).parquet(f"{path}/{t}").select(key)
-            rows.join(have, key, "left_anti").write.mode("append").parquet(f"{path}/{t}")
+        for t in [t for t in TABLES if t != "root"] + ["root"]:
+            new[t].write.mode("overwrite").parquet(f"{path}/{t}/batch={number}")
 
     return run
 
 
+def appended(spark: SparkSession, path: str) -> Aggregate:
+    """The aggregate that ``appender`` wrote: of equal values, which have equal ids, one each; of documents of one name the first.
+    (Written with ``write``, it is compacted.)"""
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+    done = [r.batch for r in tables["root"].select("batch").distinct().collect()]  # one number a batch
+    for t, df in tables.items():
+        rows = df.where(F.col("batch").isin(done))
+        if t == "root":
+            tables[t] = rows.groupBy("name").agg(F.min_by("value", "batch").alias("value"))
+        else:
+            tables[t] = rows.drop("batch").dropDuplicates(["id"])
+    return Aggregate(tables)
+
+
 def latest_facts(facts: DataFrame, key: list[str], sequence: Column, removed: Column) -> DataFrame:
     """What holds after a set of facts, in whatever order they came: of each key the fact with the highest
     sequence, unless that one removes it. Combined within the map task before the exchange."""

@@ -119,3 +119,16 @@ def brute_p3(d):
 def test_p3_found_matches_brute_force(spark, d):
     got = [tuple(r) for r in entry.queries()["p3_found"](spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_p3(d)
+
+
+def test_repeated_keys_and_deep_bodies(spark):
+    """Documents of one key keep their own parents; a body deeper than the parser's stack is read; so is one with a number of thousands of digits."""
+    from pyspark.sql import functions as F
+
+    from jsonloom.operators.dewey import NodeTable, dewey_tables, with_parent
+
+    tables = [NodeTable("outer", ("rows",), ("name",)), NodeTable("inner", ("rows", "in"), ("v",), "outer")]
+    bodies = ['{"rows":[{"name":"a","in":{"v":1}}]}', '{"rows":[{"name":"b","in":{"v":2}}]}', '{"x":' + "[" * 6000 + "]" * 6000 + ',"rows":[{"name":"c","in":{"v":3}}]}', '{"rows":[{"name":"d","in":{"v":' + "4" * 5000 + "}}]}"]
+    flat = dewey_tables(spark.createDataFrame([(7, b) for b in bodies], "k bigint, b string"), F.col("k"), F.col("b"), tables)
+    got = sorted((r.name, r.v) for r in with_parent(flat["inner"], flat["outer"], {"name": "name"}).collect())
+    assert got == [("a", "1"), ("b", "2"), ("c", "3"), ("d", "4" * 5000)]

@@ -2,6 +2,7 @@ import json
 import math
 import struct
 from decimal import Decimal
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,23 +11,25 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from jsonloom.api import Aggregate, Cursor, documents
+from jsonloom.api import Aggregate, ArrayCursor, Cursor, documents
 from jsonloom.functions.extract import as_kind, kind_of, match_kind
 from jsonloom.functions.khash import khash, khash_bucket, khash_of
-from jsonloom.functions.numbers import classify, decimal_from_parts, decimal_parts, int_bytes, int_from_bytes, number_kind, read_number
+from jsonloom.functions.numbers import classify, exact, from_parts, int_bytes, int_from_bytes, number_kind, number_text, written_parts
 from jsonloom.functions.paths import parse_path, path_steps, render_path
 from jsonloom.operators.aggregate import dense_ids, document_text, json_of_nodes, rebuild
-from jsonloom.operators.shred import NODES, Number, parse_exact, shred, shred_document
+from jsonloom.operators.shred import NODES, Number, parse_exact, shred, shred_document, unreadable
 from jsonloom.session import fresh_path
 from jsonloom.sources.blob import BlobBuilder, BlobError, BlobReader, decode, encode
-from jsonloom.sources.datasource import BlobDataSource, read_json_files
-from jsonloom.streaming.shred_stream import appender, latest_facts
+from jsonloom.sources.datasource import BlobDataSource, blob_query, encode_blob, pack_blobs, read_blobs, read_json_files
+from jsonloom.streaming.shred_stream import appended, appender, latest_facts
 
-PERSON = '{"data":{"person":{"name":"Alice","age":30,"city":"NYC"},"numbers":["one","two","three"]}}'
-KINDS = (
-    '{"null":null,"bit":true,"byte":42,"short":30000,"int":2000000000,"long":9000000000000000000,"bigint":123456789012345678901234567890,'
-    '"float":1.5,"double":42.4242424242,"bigdec":123.45678901234567890,"string":"test","object":{"field":"test field"},"array":[1]}'
-)
+SHIP = '{"crew":{"cook":{"called":"Mara","shoe":41,"port":"Riga"}},"decks":["low","mid","top"]}'
+KINDS = {
+    "none": ("null", "null"), "flag": ("false", "bit"), "tiny": ("-9", "byte"), "small": ("12345", "short"), "medium": ("-1200300400", "int"), "large": ("7000000000001", "long"),
+    "huge": ("98765432109876543210987", "bigint"), "single": ("0.25", "float"), "wide": ("6.62607015", "double"), "fine": ("2.71828182845904523536", "bigdec"),
+    "word": ('"salt"', "string"), "inner": ('{"depth":[7]}', "object"), "list": ("[1]", "array"),
+}
+ALL_KINDS = "{" + ",".join(f'"{k}":{v}' for k, (v, _) in KINDS.items()) + "}"
 
 
 def one(spark, text, *cols):
@@ -57,48 +60,100 @@ def test_paths_round_trip(steps):
 
 def test_queries(spark):
     c = Cursor(F.col("v"))
-    cols = [c.query(p).as_("string") for p in ("data.person.name", "data.numbers[1]", "data.numbers.[-1]", "data.numbers.0", "data.numbers[9]", "data.person.name.x", "data.gone")]
-    assert list(one(spark, PERSON, *cols)) == ["Alice", "two", "three", "one", None, None, None]
-    assert one(spark, PERSON, c.read("data", "numbers", "[1]").as_("string").alias("x")).x == "two"
+    cols = [c.query(p).as_("string") for p in ("crew.cook.called", "decks[1]", "decks.[-1]", "decks.0", "decks[9]", "crew.cook.called.x", "crew.gone")]
+    assert list(one(spark, SHIP, *cols)) == ["Mara", "mid", "top", "low", None, None, None]
+    assert one(spark, SHIP, c.read("decks", "[1]").as_("string").alias("x")).x == "mid"
     assert one(spark, '{"a.b":{"":{"q\\"x":7}}}', c.read("a.b", "", 'q"x').as_("byte").alias("x")).x == 7
     assert one(spark, '{"0":"field"}', c.query("0").as_("string").alias("x")).x == "field"
-    assert one(spark, PERSON, path_steps(F.lit("a..b[0].c[-1]")).alias("x")).x == ["a", "b", "0", "c", "-1"]
+    assert one(spark, SHIP, path_steps(F.lit("a..b[0].c[-1]")).alias("x")).x == ["a", "b", "0", "c", "-1"]
+
+
+def test_cursor_moves(spark):
+    c = Cursor(F.col("v"))
+    decks = c.field("decks")
+    first, last = decks.down_array(), decks.down_index(-1)
+    moves = [first, first.right(), first.right().right(), last.left(), last, first.left(), last.right(), last.right().left(), first.left().right(), decks.index(7), c.field("crew").index(0)]
+    assert list(one(spark, SHIP, *[m.as_("string").alias(f"m{i}") for i, m in enumerate(moves)])) == ["low", "mid", "top", "mid", "top"] + [None] * 6
+    at = spark.createDataFrame([(SHIP, i) for i in (-1, 0, 2, 3)], "b string, i int").select(F.parse_json("b").alias("v"), "i")
+    here = ArrayCursor(decks, F.col("i"))
+    assert [tuple(r) for r in at.select(here.as_("string").alias("a"), here.left().as_("string").alias("b"), here.right().as_("string").alias("c")).collect()] == [(None,) * 3, ("low", None, "mid"), ("top", "mid", None), (None,) * 3]
+    cook = c.query("crew.cook")
+    keys = sorted(("called", "shoe", "port"), key=khash_of)
+    row = one(spark, SHIP, F.transform(cook.entries(), lambda e: e["key"]).alias("k"), *[cook.read_key(i).kind().alias(f"k{i}") for i in (0, 1, 2, 3, -1)], cook.as_object().size().alias("o"), decks.as_object().kind().alias("none"))
+    kinds = ["byte" if k == "shoe" else "string" for k in keys]
+    assert row.k == keys and list(row)[1:6] == [*kinds, None, kinds[-1]] and row.o == 3 and row.none is None
+    with pytest.raises(PySparkException):
+        one(spark, SHIP, Cursor(F.col("v"), strict=True).field("decks").as_object().kind().alias("x"))
 
 
 def test_strict_queries_fail(spark):
     c = Cursor(F.col("v"), strict=True)
-    for move in (lambda: c.query("data.gone").value, lambda: c.field("x").value, lambda: c.query("data").index(0).value, lambda: c.query("data.person.name").as_("int")):
+    for move in (lambda: c.query("crew.gone").value, lambda: c.field("x").value, lambda: c.query("crew").index(0).value, lambda: c.query("crew.cook.called").as_("int")):
         with pytest.raises(PySparkException):
-            one(spark, PERSON, F.to_json(move()) if "variant" in str(type(move())) else F.isnull(move()).alias("x"))
+            one(spark, SHIP, F.to_json(move()) if "variant" in str(type(move())) else F.isnull(move()).alias("x"))
 
 
 # kinds and extraction
 
 
 def test_all_kinds_and_matrix(spark):
-    doc = json.loads(KINDS)
     c = Cursor(F.col("v"))
-    got = one(spark, KINDS, *[c.field(k).kind().alias(k) for k in doc]).asDict()
-    assert got == {k: k for k in doc}
-    accepts = {"byte": 0, "short": 1, "int": 2, "long": 3}
-    for target, rank in accepts.items():
-        row = one(spark, KINDS, *[as_kind(c.field(k).value, target).alias(k) for k in doc]).asDict()
-        assert {k for k, x in row.items() if x is not None} == {k for k, r in accepts.items() if r <= rank}
-    row = one(spark, KINDS, *[as_kind(c.field(k).value, "bigdec").alias(k) for k in doc]).asDict()
-    assert {k for k, x in row.items() if x is not None} == {"byte", "short", "int", "long", "float", "double", "bigdec"} and row["bigdec"] == Decimal("123.456789012345678900")
-    row = one(spark, KINDS, c.field("double").as_("double").alias("a"), c.field("float").as_("double").alias("b"), c.field("string").as_("int").alias("c"), c.field("bit").as_("bit").alias("d"), c.field("null").is_null().alias("e"), c.field("gone").is_null().alias("f"), c.field("gone").kind().alias("g"))
-    assert list(row) == [42.4242424242, 1.5, None, True, True, False, None]
+    assert one(spark, ALL_KINDS, *[c.field(k).kind().alias(k) for k in KINDS]).asDict() == {k: kind for k, (_, kind) in KINDS.items()}
+    whole = ["tiny", "small", "medium", "large", "huge"]
+    real = ["tiny", "small", "medium", "large", "single", "wide"]
+    accepts = {"byte": whole[:1], "short": whole[:2], "int": whole[:3], "long": whole[:4], "bigint": whole, "float": real[:5], "double": real, "bigdec": [*real, "fine"], "string": ["word"], "bit": ["flag"]}
+    for target, keys in accepts.items():
+        row = one(spark, ALL_KINDS, *[as_kind(c.field(k).value, target).alias(k) for k in KINDS]).asDict()
+        assert {k for k, x in row.items() if x is not None} == set(keys), target
+        if target in ("bigint", "bigdec"):
+            assert {k: row[k] for k in keys} == {k: KINDS[k][0] for k in keys}
+    row = one(spark, ALL_KINDS, c.field("wide").as_("double").alias("a"), c.field("single").as_("double").alias("b"), c.field("flag").as_("bit").alias("d"), c.field("none").is_null().alias("e"), c.field("gone").is_null().alias("f"), c.field("gone").kind().alias("g"))
+    assert list(row) == [6.62607015, 0.25, False, True, False, None]
+
+
+NUMBERS = {  # literal: (kind, exact text)
+    "1234567890.12345678901234567890123456789": ("bigdec", "1234567890.12345678901234567890123456789"), "0.1234567890123456789012345": ("bigdec", "0.1234567890123456789012345"),
+    "9" * 45: ("bigint", "9" * 45), "1e400": ("bigint", "1" + "0" * 400), "15e-1": ("float", "1.5"), "2.50": ("float", "2.5"), "1e3": ("short", "1000"), "-0.0": ("byte", "0"), "1e-400": ("bigdec", "0." + "0" * 399 + "1"),
+    "1E+9999": ("bigint", "1E+9999"), "7.000": ("byte", "7"), "123456789012345678": ("long", "123456789012345678"), "9007199254740993": ("long", "9007199254740993"),
+}
+
+
+def test_numbers_that_variant_rounds(spark):
+    """By their text every number is exact, and as shredding has it; without it none comes out with other digits."""
+    text = "[" + ",".join(NUMBERS) + "]"
+    df = spark.createDataFrame([(text,)], "body string").withColumn("v", F.try_parse_json("body"))
+    c = Cursor(F.col("v"), text=F.col("body"))
+    row = df.select(*[c.index(i).kind().alias(f"k{i}") for i in range(len(NUMBERS))], *[F.coalesce(c.index(i).as_("bigint"), c.index(i).as_("bigdec")).alias(f"v{i}") for i in range(len(NUMBERS))]).first()
+    assert list(zip(row[: len(NUMBERS)], row[len(NUMBERS) :], strict=True)) == list(NUMBERS.values())
+    nodes = shred(df, F.lit("d"), F.col("body")).where("depth = 1").orderBy("pos").collect()
+    assert [r.kind for r in nodes] == [k for k, _ in NUMBERS.values()]
+    plain = Cursor(F.col("v"))
+    row = df.select(*[F.coalesce(plain.index(i).as_("bigint"), plain.index(i).as_("bigdec")).alias(f"v{i}") for i in range(len(NUMBERS))]).first()
+    assert all(got is None or Decimal(got) == Decimal(t) or float(got) == float(t) for got, t in zip(row, NUMBERS, strict=True))
+    assert row[2] is None and row[3] is None
+
+
+def test_typed_input_with_dates(spark):
+    from datetime import date, datetime
+
+    df = spark.createDataFrame([("r", (date(2024, 2, 29), [datetime(2024, 1, 2, 3, 4, 5)], bytearray(b"ab"), None))], "r string, b struct<d:date,t:array<timestamp_ntz>,x:binary,n:date>")
+    c = Cursor(F.col("v"))
+    row = documents(df, "r", "b").select(c.field("d").as_("string"), c.query("t[0]").as_("string"), c.field("x").as_("string"), c.field("n").kind(), c.field("d").kind()).first()
+    nodes = {r.key: r.v_str for r in shred(df, F.col("r"), F.col("b")).where("kind = 'string'").collect()}
+    assert list(row) == ["2024-02-29", nodes[None], nodes["x"], "null", "string"] and nodes["d"] == row[0]
+    bare = spark.sql("SELECT to_variant_object(named_struct('d', DATE'2024-02-29')) AS v")
+    assert list(bare.select(c.field("d").kind(), c.field("d").as_("string")).first()) == ["string", "2024-02-29"]
 
 
 def test_match_and_sizes(spark):
     c = Cursor(F.col("v"))
-    row = one(spark, KINDS, c.size().alias("a"), c.field("array").size().alias("b"), c.field("int").size().alias("c"), match_kind(c.field("string").value, {"string": F.lit(1)}).alias("d"), match_kind(c.field("bit").value, {"string": F.lit(1)}, F.lit(0)).alias("e"))
+    row = one(spark, ALL_KINDS, c.size().alias("a"), c.field("list").size().alias("b"), c.field("medium").size().alias("c"), match_kind(c.field("word").value, {"string": F.lit(1)}).alias("d"), match_kind(c.field("flag").value, {"string": F.lit(1)}, F.lit(0)).alias("e"))
     assert list(row) == [13, 1, None, 1, 0]
 
 
 @pytest.mark.parametrize(
     "text,kind",
-    [("1.0", "byte"), ("1e2", "byte"), ("1.23e200", "bigint"), ("1.2", "float"), ("42.4242424242", "double"), ("123.45678901234567890", "bigdec"), ("-129", "short"), ("128", "short"), ("2147483648", "long"), ("9223372036854775808", "bigint"), ("1e-400", "bigdec"), ("-0.0", "byte"), ("1e999999", None), ("0x1", None), ("01", None), ("", None), ("NaN", None), ("9" * 5000, "bigint")],
+    [("1.0", "byte"), ("1e2", "byte"), ("1.23e200", "bigint"), ("1.2", "float"), ("6.62607015", "double"), ("2.71828182845904523536", "bigdec"), ("-129", "short"), ("128", "short"), ("2147483648", "long"), ("9223372036854775808", "bigint"), ("1e-400", "bigdec"), ("-0.0", "byte"), ("1e999999", "bigint"), ("1e" + "9" * 30, "bigint"), ("1e-" + "9" * 30, "bigdec"), ("0x1", None), ("01", None), ("", None), ("NaN", None), ("9" * 5000, "bigint")],
 )
 def test_exact_classification(text, kind):
     found = classify(text)
@@ -106,7 +161,7 @@ def test_exact_classification(text, kind):
 
 
 def test_other_modes_agree_as_doubles():
-    for text in ("42.4242424242", "1.5", "0.1", "1e300", "1e400", "-7", "3.4e39"):
+    for text in ("6.62607015", "1.5", "0.1", "1e300", "1e400", "-7", "3.4e39"):
         values = {m: classify(text, m) for m in ("exact", "fast", "narrow")}
         assert values["narrow"][0] in ("float", "double", "byte", "bigint")
         if values["exact"][0] != "bigint":
@@ -123,11 +178,33 @@ def test_number_codecs():
     vectors = {100: "64", -100: "9C", -10000000000: "FDABF41C00", 10000000000: "02540BE400", 10000000: "00989680", -10000000: "FF676980", 0: "00", 127: "7F", 128: "0080", -128: "80"}
     for n, h in vectors.items():
         assert int_bytes(n).hex().upper() == h and int_from_bytes(int_bytes(n)) == n
-    assert decimal_parts(Decimal("123.45")) == ("12345", 2, 5, 1) and decimal_parts(Decimal("-2.71828")) == ("271828", 5, 6, -1) and decimal_parts(Decimal(0)) == ("0", 0, 1, 0)
+    assert written_parts("123.45") == ("12345", 2, 5, 1) and written_parts("-2.71828") == ("271828", 5, 6, -1) and written_parts("0") == ("0", 0, 1, 0) and written_parts("1.20") == ("120", 2, 3, 1)
     for t in ("1.2300", "-5e-60", "7E+140", "0.000"):
-        u, s, _, g = decimal_parts(Decimal(t))
-        assert decimal_from_parts(u, s, g) == Decimal(t)
-    assert read_number("1e400") == Decimal("1e400")
+        u, s, _, g = exact(t).parts()
+        assert from_parts(u, s, g) == exact(t)
+    assert exact("1e400") == exact("10e399") and exact("-0") == exact("0.0e7") and exact("01") is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(-(10**60), 10**60), st.integers(-80, 80))
+def test_equal_numbers_have_one_text(n, e):
+    '''However it is spelled, and no two numbers share one, with any number of digits.'''
+    d = exact(f"{n}e{e}")
+    assert exact(f"{n}.000e{e}") == d and exact(d.text()) == d
+    assert Fraction(d.text()) == n * Fraction(10) ** e
+    assert exact(f"{n * 10 + 1}e{e - 1}") != d
+
+
+def test_denoted_numbers(spark):
+    from jsonloom.functions.text import denoted_number
+
+    want = {
+        "5.00000000001": None, "1e0001": 10, " +0012 ": 12, "-7.000": -7, "1.5e1": 15, "1.5": None, "120e-1": 12, "125e-1": None, ".5e1": 5, "5.": 5, ".": None, "": None, "e5": None, "1e": None,
+        "9223372036854775807": 2**63 - 1, "9223372036854775808": None, "-9223372036854775808": -(2**63), "9223372036854775807.0000000000000000000000": 2**63 - 1, "0e99999999999999": 0, "-0": 0, "1e19": None,
+        "0." + "0" * 30 + "1e31": 1, "1" + "0" * 40 + "e-40": 1, "0x1F": None, "1e99999999999999": None, "x": None, "1,5": None, "12 3": None, "000000000000000000000000000000000001": 1,
+    }
+    got = {r.t: r.n for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", denoted_number(F.col("t")).alias("n")).collect()}
+    assert got == want
 
 
 def test_khash(spark):
@@ -173,18 +250,70 @@ def test_content_hash_ignores_key_order_only():
 
 
 def test_pack_counts_and_reconstruction(spark):
-    docs = [("file.json", '[{"some key":"some value"},{"some key":"some value"},{"some value":"some key"}]'), ("k", KINDS), ("s", '"x\\n\\"é\\u0001"'), ("e", "[]"), ("o", '{"a":{},"b":[[],null,false]}')]
+    docs = [("file.json", '[{"some key":"some value"},{"some key":"some value"},{"some value":"some key"}]'), ("k", ALL_KINDS), ("s", '"x\\n\\"é\\u0001"'), ("e", "[]"), ("o", '{"a":{},"b":[[],null,false]}')]
     df = spark.createDataFrame(docs, "root string, body string")
     for dedup, primitives in ((True, True), (False, True), (True, False), (False, False)):
         a = Aggregate.pack(df, F.col("root"), F.col("body"), dedup=dedup, dedup_primitives=primitives)
         back = {r.doc: json.loads(r.body, parse_float=Decimal) for r in a.reconstruct().collect()}
         assert back == {k: json.loads(t, parse_float=Decimal) for k, t in docs}
-        a.check()
     first = Aggregate.pack(df.where("root = 'file.json'"), F.col("root"), F.col("body"))
     counts = {r.table_name: r.n for r in first.summary().collect()}
     assert counts["object"] == 2 and counts["array"] == 1 and counts["string"] == 2 and counts["root"] == 1
+
+
+def test_root_names_are_distinct(spark):
+    """Two documents of one name, also NULL, are an error for whoever reads the roots, in one aggregate or two united."""
+    for rows in ([("a", "[1]"), ("a", "[2]")], [("a", "1"), ("a", "1")], [(None, "1"), (None, "2")]):
+        df = spark.createDataFrame(rows, "root string, body string")
+        packed = Aggregate.pack(df, F.col("root"), F.col("body"))
+        for read in (packed["root"], packed.reconstruct()):
+            with pytest.raises(PySparkException, match="two roots"):
+                read.collect()
+        halves = [Aggregate.pack(df.limit(1), F.col("root"), F.col("body")) for _ in range(2)]
+        with pytest.raises(PySparkException, match="two roots"):
+            halves[0].union(halves[1])["root"].collect()
+    one_null = Aggregate.pack(spark.createDataFrame([(None, "[7]"), ("b", None)], "root string, body string"), F.col("root"), F.col("body"))
+    assert [tuple(r) for r in one_null.reconstruct().collect()] == [(None, "[7]")]
+    none = Aggregate.pack(spark.createDataFrame([], "root string, body string"), F.col("root"), F.col("body"))
+    assert none.reconstruct().collect() == [] and none.query("a[0]").collect() == []
+
+
+def test_numbers_survive_packing(spark):
+    """Digit for digit, those beyond 28 digits too; equal ones in other spellings are one value."""
+    rng = np.random.default_rng(11)
+    digits = ["".join(map(str, rng.integers(0, 10, 60))).lstrip("0") for _ in range(200)]
+    literals = [f"{d[:k]}.{d[k:]}" for d in digits for k in (1, 9, 30)] + [f"{d}e{k}" for d in digits[:40] for k in (-300, -31, 0, 31, 300)] + [*NUMBERS, "1e300000", "1.20", "1.2", "12e-1"]
+    near = ["1234567890.12345678901234567890123456789", "1234567890.12345678901234567890199999999"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(literals + near)], "root string, body string")
+    packed = Aggregate.pack(df, F.col("root"), F.col("body"))
+    back = {int(r.doc): r.body for r in packed.reconstruct().collect()}
+    assert [exact(back[i]) for i in range(len(back))] == [exact(t) for t in literals + near] and exact(near[0]) != exact(near[1])
+    assert packed["float"].where("value = 1.2").count() == 1
+
+
+def test_paths_over_tables(spark):
+    df = spark.createDataFrame([("s", SHIP), ("k", ALL_KINDS), ("t", '{"decks":{"1":"x"}}'), ("u", "[5]")], "root string, body string")
+    a = Aggregate.pack(df, F.col("root"), F.col("body"))
+    ask = lambda *x, **y: sorted(tuple(r) for r in a.query(*x, **y).collect())
+    assert ask("decks.1") == [("s", "string", '"mid"'), ("t", "string", '"x"')] and ask("decks[1]") == [("s", "string", '"mid"')]
+    assert ask("crew.cook.shoe") == [("s", "byte", "41")] and ask("huge") == [("k", "bigint", KINDS["huge"][0])] and ask("none") == [("k", "null", "null")] and ask("[-1]") == [("u", "byte", "5")]
+    assert ask("decks") == [("s", "array", None), ("t", "object", None)] and ask("decks", ["s"], whole=True) == [("s", "array", '["low","mid","top"]')] and ask("gone.x") == []
+    known = a.lookup("string", "mid").collect()
+    assert len(known) == 1 and a.lookup("string", "no").count() == 0
     with pytest.raises(ValueError):
-        Aggregate.pack(df.union(df), F.col("root"), F.col("body")).check()
+        a.lookup("array", "x")
+
+
+def test_deep_documents(spark):
+    """Deeper than the parser's stack; beyond the bound they are listed, not lost silently."""
+    from jsonloom.functions.json_text import LEVELS
+
+    deep = '{"a":' * 1500 + "1" + "}" * 1500
+    df = spark.createDataFrame([("d", deep), ("x", "[" * (LEVELS + 1) + "]" * (LEVELS + 1)), ("n", None), ("e", " "), ("c", "[1"), ("ok", "[1e99999999, 2]")], "root string, body string")
+    nodes = shred(df, F.col("root"), F.col("body"))
+    assert {r.doc: r["max(depth)"] for r in nodes.groupBy("doc").agg(F.max("depth")).collect()} == {"d": 1500, "ok": 1}
+    assert {r.doc: r.reason for r in unreadable(df, F.col("root"), F.col("body")).collect()} == {"x": "too deep", "n": "null", "e": "empty", "c": "no JSON"}
+    assert len(shred_document("d", parse_exact("[" * 6000 + "]" * 6000))) == 6000
 
 
 def test_write_read_union_and_root(spark):
@@ -197,7 +326,7 @@ def test_write_read_union_and_root(spark):
 
 
 def test_shred_edges(spark):
-    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "{"), ("d", "1e9999999"), (None, "[1]"), ("a", '{"k":1,"k":2}')], "root string, body string")
+    df = spark.createDataFrame([("a", None), ("b", ""), ("c", "{"), ("d", "1e"), (None, "[1]"), ("a", '{"k":1,"k":2}')], "root string, body string")
     nodes = shred(df, F.col("root"), F.col("body"))
     assert nodes.schema.simpleString() == spark.createDataFrame([], NODES).schema.simpleString()
     assert sorted((r.doc or "", r.kind, r.v_long or 0) for r in nodes.collect()) == [("", "array", 0), ("", "byte", 1), ("a", "byte", 2), ("a", "object", 0)]
@@ -260,9 +389,13 @@ def test_blob_sharing_and_header():
 
 
 def test_blob_numbers():
-    doc = [Number(t) for t in ("1.20", "1e2", "-0.1", "123.45678901234567890", "9" * 50, "-" + "9" * 50, "1.23e-300", "3.4028235e38")]
+    doc = [Number(t) for t in ("1.20", "1e2", "-0.1", "2.71828182845904523536", "9" * 50, "-" + "9" * 50, "1.23e-300", "3.4028235e38")]
     back = decode(encode({"n": doc}))["n"]
     assert all(Decimal(str(x)) == Decimal(str(y)) for x, y in zip(back, doc, strict=True)) and np.isclose(back[2], -0.1)
+    long = Number("7" * 6000)
+    assert decode(encode({"n": [long, Number("0." + "3" * 6000)]}))["n"][0] == int(Decimal(long))
+    with pytest.raises(ValueError):
+        encode({"n": Number("1e99999999")})
 
 
 def test_blob_source(spark, tmp_path):
@@ -273,6 +406,34 @@ def test_blob_source(spark, tmp_path):
     assert {r.root: json.loads(r.body) for r in spark.read.format("jsonloom_blob").load(str(tmp_path)).collect()} == {f"r{i}": {"i": i, "s": ["x"] * i} for i in range(20)}
 
 
+def test_blob_source_options(spark, tmp_path):
+    spark.dataSource.register(BlobDataSource)
+    df = spark.createDataFrame([(f"r{i}", json.dumps({"i": i, "s": ["x", i]})) for i in range(9)] + [("bad", "{"), (None, "1"), ("nil", None)], "root string, body string")
+    out = df.coalesce(1).write.format("jsonloom_blob").mode("append")
+    with pytest.raises(PySparkException):
+        out.save(str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".blob")] == []
+    out.option("bad", "skip").option("max_bytes", 60).save("file://" + str(tmp_path))
+    assert len(list(tmp_path.glob("*.blob"))) > 2
+    read = spark.read.format("jsonloom_blob")
+    assert {r.root: r.body for r in read.option("query", "s[-1]").option("roots", "r2,r7,gone").load(str(tmp_path)).collect()} == {"r2": "2", "r7": "7"}
+    for path in ("hdfs://x/y", "s3a://x/y"):
+        with pytest.raises(PySparkException):
+            read.load(path).collect()
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/*.blob")
+    assert read_blobs(files, F.col("content"), query="i").count() == 9
+
+
+def test_blob_columns(spark):
+    df = spark.createDataFrame([("s", SHIP), ("k", ALL_KINDS), ("n", None)], "root string, body string")
+    blobs = df.select("root", encode_blob(F.col("root"), F.col("body")).alias("blob"))
+    got = {r.root: (r.a, r.b, r.c) for r in blobs.select("root", blob_query(F.col("blob"), F.col("root"), "decks[-1]").alias("a"), blob_query(F.col("blob"), F.col("root"), "tiny", "long")["body"].alias("b"), blob_query(F.col("blob"), F.lit("gone"), "x").alias("c")).collect()}
+    assert got == {"s": (("string", '"top"'), None, None), "k": (None, "-9", None), "n": (None, None, None)}
+    packed = pack_blobs(df.where("root <> 'n'"), F.col("root"), F.col("body"))
+    assert sorted(x for r in packed.collect() for x in r.roots) == ["k", "s"]
+    assert sorted(tuple(r) for r in read_blobs(packed, F.col("blob"), query="crew.cook.shoe").collect()) == [("k", None), ("s", "41")]
+
+
 # streams
 
 
@@ -280,11 +441,14 @@ def test_streamed_aggregate_is_idempotent(spark):
     path = fresh_path(spark, "agg")
     add = appender(path)
     one_, two = ([(n, '{"k":["v",1.5]}')] for n in ("a", "b"))
-    for batch in (one_, two, one_):
-        add(spark.createDataFrame(batch, "root string, body string"), 0)
-    a = Aggregate.read(spark, path)
-    assert {r.table_name: r.n for r in a.summary().where("n > 0").collect()} == {"float": 1, "string": 2, "array": 1, "object": 1, "root": 2}
-    assert {r.doc for r in a.reconstruct().collect()} == {"a", "b"}
+    for number, batch in enumerate((one_, two, [("a", "[2]")])):
+        for _ in range(2):
+            add(spark.createDataFrame(batch, "root string, body string"), number)
+    a = appended(spark, path)
+    assert {r.table_name: r.n for r in a.summary().where("n > 0").collect()} == {"float": 1, "string": 2, "array": 2, "object": 1, "root": 2}
+    assert {r.doc: r.body for r in a.reconstruct().collect()} == {"a": '{"k":["v",1.5]}', "b": '{"k":["v",1.5]}'}
+    Aggregate.pack(spark.createDataFrame([("z", '["new"]')], "root string, body string"), F.col("root"), F.col("body"))["string"].write.parquet(f"{path}/string/batch=9")
+    assert appended(spark, path)["string"].count() == 2  # a batch without roots isn't there
 
 
 def test_latest_facts_in_any_order(spark):
@@ -306,13 +470,13 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT khash('name') AS a, khash('') AS b, khash(CAST(NULL AS STRING)) AS c, number_kind(' 1.5 ') AS d, number_kind('x') AS e").first()
     assert list(row) == [4166048239, khash_of(""), None, "float", None]
-    assert spark.sql("SELECT kind FROM VALUES ('[1]'), ('{'), (NULL) AS t(b), LATERAL shred_json(b) ORDER BY kind").collect() == [("array",), ("byte",)]
+    assert spark.sql("SELECT kind FROM VALUES ('[1]'), ('{'), (NULL) AS t(b) LATERAL VIEW inline(shred_json(b)) n ORDER BY kind").collect() == [("array",), ("byte",)]
 
 
 def test_native_shredding_matches_exact(spark):
     from jsonloom.operators.shred import shred_native
 
-    df = spark.createDataFrame([("a", KINDS), ("b", "[[],{},[null,[1]]]"), ("c", "7"), ("d", None)], "root string, body string")
+    df = spark.createDataFrame([("a", ALL_KINDS), ("b", "[[],{},[null,[1]]]"), ("c", "7"), ("d", None)], "root string, body string")
     native = shred_native(df.select(F.col("root").alias("doc"), F.try_parse_json("body").alias("v")))
     exact = shred(df, F.col("root"), F.col("body"))
     assert sorted((r.doc, r.depth, r.key or "", r.kind) for r in native.collect()) == sorted((r.doc, r.depth, r.key or "", r.kind) for r in exact.collect())
@@ -347,8 +511,8 @@ def test_number_sheet_matches_brute_force(spark, small):
         assert r.k == want, t
 
 
-def test_spec_schema_has_every_depth(spark, small):
-    """Against a walk of the parsed specifications."""
+def test_spec_paths_have_every_depth(spark, small):
+    """Paths of every depth, against a walk of the parsed specifications."""
     from jsonloom.plans.documents import QUERIES
 
     kinds = {dict: "object", list: "array", str: "string", bool: "bit", type(None): "null"}
@@ -365,7 +529,7 @@ def test_spec_schema_has_every_depth(spark, small):
             walk(r.spec_id, [], json.loads(r.body or ""))
         except ValueError:
             pass
-    rows = QUERIES["spec_schema"](spark, small).collect()
+    rows = QUERIES["spec_paths"](spark, small).collect()
     named = set(kinds.values())
     got = {(r.path, r.kind if r.kind in named else "number"): r.documents for r in rows}
     assert len(got) == len(rows) and got == {k: len(v) for k, v in want.items()}

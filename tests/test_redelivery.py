@@ -49,3 +49,28 @@ def test_clashing_names(spark):
     assert len(out) == 1 and out[0]["n_"] == 3 and out[0]["a.b`c"] == 1
     with pytest.raises(ValueError):
         keep_one_delivery(df.withColumn("deliveries", F.lit(1)), F.col("id"), [])
+
+
+def test_stored_counts_are_kept(spark):
+    """A message stored after five copies and seen twice more came seven times."""
+    old = spark.createDataFrame([(1, 9, "stored", 5), (3, 1, "other", 2), (None, 1, "loose", 4)], SCHEMA + ", deliveries bigint")
+    new = spark.createDataFrame([(1, 1, "new"), (1, 2, "new"), (2, 1, "x")], SCHEMA)
+    assert [(r[0], r[2], r[4]) for r in kept(new, stored=old)] == [(1, "stored", 7), (2, "x", 1), (3, "other", 2), (None, "loose", 4)]
+
+
+def test_merging_batches_gives_what_one_run_gives(spark):
+    import random
+
+    from jsonloom.operators.redelivery import merge_batch, with_repeats
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, *range(12)]), i, f"t{i}") for i in range(60)]
+    order = [F.col("at")]
+    stored = keep_one_delivery(spark.createDataFrame(rows[:20], SCHEMA), F.col("id"), order)
+    for lo in (20, 40):
+        fresh, repeats = merge_batch(spark.createDataFrame(rows[lo : lo + 20], SCHEMA), stored, F.col("id"), order)
+        stored = with_repeats(stored, fresh, repeats)
+    once = keep_one_delivery(spark.createDataFrame(rows, SCHEMA), F.col("id"), order)
+    assert sorted(map(tuple, stored.collect()), key=repr) == sorted(map(tuple, once.collect()), key=repr)
+    none, nothing = merge_batch(spark.createDataFrame([], SCHEMA), stored, F.col("id"), order)
+    assert none.count() == 0 and nothing.count() == 0
