@@ -42,7 +42,7 @@ def heavy_keys(rows: DataFrame, fields: Mapping[str, Column], share: float) -> D
     """(field, key_value, n, total): keys holding more than ``share`` of the rows that have a key.
 
     At most 1/share keys a field can come out, whatever the input's size. Totals are added up from the
-    per-key states; the small table of totals has one row a field."""
+    per-key states; the small table of totals has one row for each of ``fields``, which the caller lists."""
     counts = keyed_totals(stacked_keys(rows, fields), ["field", "key_value"], [F.count(F.lit(1)).alias("n")])
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(totals), "field").where(F.col("n") > F.col("total") * F.lit(share))

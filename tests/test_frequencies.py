@@ -27,6 +27,21 @@ def test_weight_and_empty(spark):
     assert term_frequencies(df.limit(0)).collect() == []
 
 
+def test_too_many_fields_are_refused(spark, monkeypatch):
+    """The table of fields is broadcast, so its size is checked."""
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from jsonloom.operators import term_frequency
+
+    df = spark.createDataFrame([(f"f{i}", "r", "t", 1) for i in range(4)], OCC)
+    monkeypatch.setattr(term_frequency, "MOST_FIELDS", 4)
+    assert term_frequencies(df).count() == 4
+    monkeypatch.setattr(term_frequency, "MOST_FIELDS", 3)
+    with pytest.raises(PySparkException, match="more than 3 fields"):
+        term_frequencies(df).collect()
+
+
 def test_heavy_keys(spark):
     rows = [("a", i) for i in range(50)] + [("b", None)] * 49 + [(None, 1)] * 30
     got = {(r.field, r.key_value, r.n, r.total) for r in heavy_keys(spark.createDataFrame(rows, "p_ string, v int"), {"x": F.col("p_"), "y": F.col("v")}, 0.3).collect()}
