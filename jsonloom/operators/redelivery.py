@@ -76,7 +76,10 @@ def keep_one_delivery(
         counted_before = count_as.lower() in {c.lower() for c in stored.columns}
         rows = rows.unionByName(marked(stored, 0, F.coalesce(F.col(quoted(count_as)), F.lit(1)) if counted_before else F.lit(1)))
     keyed = rows.where(F.col(k).isNotNull())
-    counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias(copies), F.sum(came).alias(n))
+    if stored is None:  # every row came once: one column, so that a filter on the count also picks the branch
+        copies, counts = n, keyed.groupBy(k).agg(F.count(F.lit(1)).alias(n))
+    else:
+        counts = keyed.groupBy(k).agg(F.count(F.lit(1)).alias(copies), F.sum(came).alias(n))
     hot = F.broadcast(
         counts.where(F.col(copies) > 1000).orderBy(F.desc(copies), k).limit(HOT_KEYS).select(F.col(k).alias(hot_key), F.lit(SALTS).alias(spread_by))
     )
