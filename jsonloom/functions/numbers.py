@@ -132,6 +132,17 @@ def int_from_bytes(data: bytes) -> int:
     return int.from_bytes(data, "big", signed=True)
 
 
+def whole_bytes(literal: Column) -> Column:
+    """The bytes of a whole number of any length, as the container stores them; NULL for other text."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        found = [None if t is None else exact(t) for t in s]
+        return pd.Series([int_bytes(int(Decimal(e.sign + e.digits + "0" * e.exponent))) if e is not None and 0 <= e.exponent <= PLAIN else None for e in found], dtype=object)
+
+    return run(F.trim(literal))
+
+
 def number_kind(literal: Column, mode: str = "exact") -> Column:
     """The kind of a literal's text (outer white space ignored); NULL if it is no JSON number. Literals of up to 15
     digits without fraction stay in the JVM."""

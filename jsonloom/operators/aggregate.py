@@ -19,6 +19,8 @@ _REF = "struct<kind:string,ref:string>"
 _VALUE = {"int": "v_long", "long": "v_long", "bigint": "v_big", "float": "v_double", "double": "v_double", "bigdec": "v_big", "string": "v_str"}
 _PIECE = ("up_kind", "up", "height", "i", "key", "json")
 BUCKETS = 4096
+#: What ``value_frequencies`` needs of nodes.
+VALUE_COLUMNS = ("kind", "v_bool", "v_long", "v_double", "v_big", "v_str")
 
 
 def string_id(text: Column) -> Column:
@@ -302,14 +304,15 @@ def json_of_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc", "node_id", "key", "kind", value.alias("json"))
 
 
-def dense_ids(rows: DataFrame, by: str, name: str = "id") -> DataFrame:
+def dense_ids(rows: DataFrame, by: str, name: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """``rows`` with ids 0, 1, 2 ... without a gap, in an order that a hash of ``by`` (distinct values) gives.
 
-    Hash buckets are numbered within themselves, and a table of BUCKETS sums shifts each; so no task
-    sees more than its buckets, and the broadcast has BUCKETS rows at most."""
+    Hash buckets are numbered within themselves, and a table of as many sums shifts each; so no task
+    sees more than its buckets, and the broadcast has ``buckets`` rows at most. Choose them so that one
+    has some million rows."""
     from pyspark.sql import Window
 
-    marked = rows.withColumn("bucket_", F.pmod(F.xxhash64(F.col(by)), F.lit(BUCKETS)))
+    marked = rows.withColumn("bucket_", F.pmod(F.xxhash64(F.col(by)), F.lit(buckets)))
     sizes = marked.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n_"))
     before = sizes.select("bucket_", (F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))).alias("before_"))
     within = F.row_number().over(Window.partitionBy("bucket_").orderBy(F.col(by))) - 1

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -33,6 +34,9 @@ _ARROW = [
 ]
 
 
+COLUMNS = tuple(n for n, _ in _ARROW)
+
+
 class Number(str):
     """The text of a number literal."""
 
@@ -92,12 +96,13 @@ def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float
     return "string", None, None, None, None, value, value
 
 
-def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bool = False) -> list[tuple]:
+def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bool = False, hashes: bool = True) -> list[tuple]:
     """The node rows of a parsed document, in pre-order. node_id is the Dewey label, parent_id that label
     cut by one. chash identifies a value or subtree by content: equal trees have equal hashes whatever the
     order of object keys. ``key`` is an object member's key, ``key_hash`` its hash; ``pos`` the place within the
     parent; ``height`` the levels below. With ``entries`` also what a container holds: of each child key hash, key,
-    kind, and the value itself of a small scalar or else its content hash; so no join brings parent and child together."""
+    kind, and the value itself of a small scalar or else its content hash; so no join brings parent and child together.
+    Without ``hashes`` chash is None, which saves half of the time."""
     rows: list[list[Any]] = []
     stack: list[tuple[Any, str, str | None, int, int, str | None, int]] = [(value, "1", None, 0, 0, None, -1)]
     parents: list[int] = []
@@ -116,7 +121,7 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bo
             rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, chash, _key_hash(key)])
         else:
             kind, b, n, d, big, s, text = _scalar(v, mode)
-            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, content_hash(kind, text), _key_hash(key)])
+            rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, content_hash(kind, text) if hashes else None, _key_hash(key)])
     inside: dict[int, list[int]] = {}
     for i, p in enumerate(parents):
         if p >= 0:
@@ -124,9 +129,11 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bo
     heights = [0] * len(rows)
     for i in range(len(rows) - 1, -1, -1):  # children come after their parents
         row = rows[i]
-        if row[13] is None:
+        if row[6] in ("object", "array"):
             held = inside.get(i, [])
             heights[i] = 1 + max((heights[c] for c in held), default=0)
+            if not hashes:
+                continue
             if row[6] == "object":
                 row[13] = content_hash("object", *(x for p in sorted((rows[c][5], rows[c][13]) for c in held) for x in p))
             else:
@@ -159,36 +166,40 @@ def node_paths(rows: list[tuple]) -> list[str]:
     return out
 
 
-def _shredder(mode: str, strict: bool, paths: bool, entries: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _shredder(mode: str, strict: bool, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    paths, entries = "path" in names, "entries" in names
+    hashes = entries or "chash" in names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    found = shred_document(doc, parse_exact(body), mode, entries)
+                    found = shred_document(doc, parse_exact(body), mode, entries, hashes)
                 except ValueError:
                     if strict:
                         raise
                     continue
                 deep = len(found) > 1000 and max(r[3] for r in found) > 1000
                 if deep and rows:  # its labels are long: batches of its own
-                    yield node_batch(rows, paths, entries)
+                    yield node_batch(rows, names)
                     rows = []
                 rows += [(*r, p) for r, p in zip(found, node_paths(found), strict=True)] if paths else found
                 most = 1000 if deep else 50_000
                 while len(rows) > most:
-                    yield node_batch(rows[:most], paths, entries)
+                    yield node_batch(rows[:most], names)
                     del rows[:most]
-            yield node_batch(rows, paths, entries)
+            yield node_batch(rows, names)
 
     return run
 
 
-def node_batch(rows: list[tuple], paths: bool = False, entries: bool = False) -> pa.RecordBatch:
-    """Rows of ``shred_document`` as an Arrow batch."""
-    fields = [*_ARROW, *([("entries", None)] if entries else []), *([("path", pa.string())] if paths else [])]
+def node_batch(rows: list[tuple], names: Sequence[str] = COLUMNS) -> pa.RecordBatch:
+    """Rows of ``shred_document`` as an Arrow batch of the columns asked for."""
+    fields = [*_ARROW, *([("entries", None)] if "entries" in names else []), *([("path", pa.string())] if "path" in names else [])]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([_entries(c) if t is None else pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+    made = {n: _entries(c) if t is None else pa.array(c, t) for c, (n, t) in zip(cols, fields, strict=True) if n in names}
+    return pa.RecordBatch.from_arrays([made[n] for n in names], names=list(names))
 
 
 def _entries(column: tuple[list[tuple], ...]) -> pa.Array:
@@ -202,9 +213,12 @@ def _entries(column: tuple[list[tuple], ...]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
 
 
-def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False, paths: bool = False, entries: bool = False) -> DataFrame:
+def shred(
+    documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str = "exact", strict: bool = False, paths: bool = False, entries: bool = False, columns: Sequence[str] | None = None
+) -> DataFrame:
     """The nodes of all documents (schema NODES), one row each; with ``entries`` also what each container holds, with
     ``paths`` the path of each, keys and positions from the root. No exchange: every document is shredded where it is read.
+    columns: only these; others aren't made at all (Spark prunes columns of a scan, but not those that Python makes).
 
     body: JSON as STRING, BINARY (UTF-8), VARIANT or STRUCT. A NULL, empty or unreadable one gives no
     nodes, or an error if ``strict`` (``unreadable`` lists them). Numbers of any size are read exactly. doc may
@@ -212,7 +226,10 @@ def shred(documents: DataFrame, doc: Column, body: Column, *, numeric_mode: str
     if numeric_mode not in ("exact", "fast", "narrow"):
         raise ValueError(f"unknown numeric mode {numeric_mode}")
     slim, text = _bodies(documents, doc, body)
-    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict, paths, entries), NODES + ENTRIES * entries + PATH * paths)
+    types = dict(x.split(" ", 1) for x in re.split(r", (?![^<]*>)", NODES + ENTRIES + PATH))
+    names = list(columns) if columns is not None else [*COLUMNS, *["entries"] * entries, *["path"] * paths]
+    schema = ", ".join(f"{n} {types[n]}" for n in names)
+    return slim.select("doc", text.alias("body")).mapInArrow(_shredder(numeric_mode, strict, names), schema)
 
 
 def _bodies(documents: DataFrame, doc: Column, body: Column) -> tuple[DataFrame, Column]:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from jsonloom.api import ArrayCursor, Cursor
 from jsonloom.functions.extract import kind_of, match_kind
 from jsonloom.functions.khash import khash, khash_bucket
-from jsonloom.functions.numbers import number_kind, number_parts, number_text
+from jsonloom.functions.numbers import number_kind, number_parts, number_text, whole_bytes
 from jsonloom.functions.paths import path_steps
-from jsonloom.operators.aggregate import Aggregate, dense_ids, distinct_trees, json_of_nodes, rebuild, string_id, value_frequencies
+from jsonloom.operators.aggregate import VALUE_COLUMNS, Aggregate, dense_ids, distinct_trees, json_of_nodes, rebuild, string_id, value_frequencies
 from jsonloom.functions.sql import register
 from jsonloom.operators.shred import shred, shred_native, unreadable
 from jsonloom.session import fresh_path, stage, table
@@ -243,6 +243,12 @@ def _number(target: str):
 as_byte, as_bigint, as_float, as_bigdec = map(_number, ("byte", "bigint", "float", "bigdec"))
 
 
+def bigint_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Whole numbers of up to 19 digits as the container stores those beyond 64 bits."""
+    n = F.col("o_orderkey") * F.col("o_custkey") * 1_000_003 - F.col("o_custkey") * F.lit(9_876_543_210)
+    return table(spark, d, "orders").select("o_orderkey", F.hex(whole_bytes(n.cast("string"))).alias("stored"))
+
+
 def reconstruct_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Every literal packed to its value table and put together again: the same number, digit for digit."""
     sheet = table(spark, d, "number_sheet").select("entry_id", F.trim("literal").alias("literal"))
@@ -354,13 +360,13 @@ def shred_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes = shred(_props(spark, d), F.col("event_id"), F.col("props"), paths=True)
+    nodes = shred(_props(spark, d), F.col("event_id"), F.col("props"), columns=["doc", "path", "v_long"])
     return nodes.select(F.col("doc").cast("bigint").alias("event_id"), "path", "v_long")
 
 
 def spec_paths(spark: SparkSession, d: str) -> DataFrame:
     """The distinct schema of all specifications: paths of every depth and kinds with the number of documents."""
-    nodes = shred(table(spark, d, "api_spec"), F.col("spec_id"), F.col("body"), paths=True)
+    nodes = shred(table(spark, d, "api_spec"), F.col("spec_id"), F.col("body"), columns=["doc", "depth", "path", "kind"])
     return nodes.where("depth > 0").groupBy("path", "kind").agg(F.countDistinct("doc").alias("documents"))
 
 
@@ -375,8 +381,8 @@ def shred_refused(spark: SparkSession, d: str) -> DataFrame:
 
 def shred_pages(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of all nodes of all pages and payloads."""
-    p = shred(table(spark, d, "theater_page"), F.col("page_id"), F.col("body")).select("kind")
-    e = shred(table(spark, d, "event_log"), F.col("delivery_no"), F.col("payload")).select("kind")
+    p = shred(table(spark, d, "theater_page"), F.col("page_id"), F.col("body"), columns=["kind"])
+    e = shred(table(spark, d, "event_log"), F.col("delivery_no"), F.col("payload"), columns=["kind"])
     both = p.select(F.lit("theater_page").alias("source"), "kind").unionByName(e.select(F.lit("event_log").alias("source"), "kind"))
     return both.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -400,7 +406,7 @@ def facts_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _customer_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return shred(_customers(spark, d), F.col("root"), F.col("body"))
+    return shred(_customers(spark, d), F.col("root"), F.col("body"), columns=VALUE_COLUMNS)
 
 
 def dedup_strings(spark: SparkSession, d: str) -> DataFrame:
@@ -409,7 +415,7 @@ def dedup_strings(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_numbers(spark: SparkSession, d: str) -> DataFrame:
     docs = _orders(spark, d).select("o_orderkey", F.struct("body.key", "body.customer").alias("body"))
-    return value_frequencies(shred(docs, F.col("o_orderkey"), F.col("body")), ("byte", "short", "int", "long")).select("kind", F.col("value").cast("bigint").alias("value"))
+    return value_frequencies(shred(docs, F.col("o_orderkey"), F.col("body"), columns=VALUE_COLUMNS), ("byte", "short", "int", "long")).select("kind", F.col("value").cast("bigint").alias("value"))
 
 
 def value_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -419,7 +425,7 @@ def value_freq(spark: SparkSession, d: str) -> DataFrame:
 def _distinct_texts(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """The distinct containers of the customers' documents with their content, and how often each occurs."""
     docs = _clients(spark, d)
-    nodes = shred(docs, F.col("root"), F.col("body"))
+    nodes = shred(docs, F.col("root"), F.col("body"), columns=["kind", "chash", "n_children"])
     texts = Aggregate.pack(docs, F.col("root"), F.col("body")).texts().where(F.col("kind") == kind)
     return distinct_trees(nodes, kind).join(texts, F.col("chash") == F.col("ref")).select("json", "n", "n_children")
 
@@ -463,7 +469,7 @@ def table_listing(spark: SparkSession, d: str) -> DataFrame:
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of the orders' documents by kind."""
-    return shred(_orders(spark, d), F.col("o_orderkey"), F.col("body")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return shred(_orders(spark, d), F.col("o_orderkey"), F.col("body"), columns=["kind"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def root_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -549,9 +555,9 @@ def native_shred(spark: SparkSession, d: str) -> DataFrame:
 
 def sum_by_key(spark: SparkSession, d: str) -> DataFrame:
     """The sum of the members named k over all nodes, by type of event."""
-    nodes = shred(_props(spark, d), F.concat_ws("|", "event_type", F.col("event_id").cast("string")), F.col("props"))
+    nodes = shred(_props(spark, d), F.col("event_type"), F.col("props"), columns=["doc", "key", "kind", "v_long"])
     k = nodes.where("key = 'k' and kind in ('byte', 'short', 'int', 'long')")
-    return k.groupBy(F.substring_index("doc", "|", 1).alias("event_type")).agg(F.sum("v_long").alias("total"), F.count(F.lit(1)).alias("n"))
+    return k.groupBy(F.col("doc").alias("event_type")).agg(F.sum("v_long").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 _NAMES = {"match_kinds": "match_kind", "khash_keys": "khash", "khash_buckets": "khash_bucket"}
@@ -560,7 +566,7 @@ QUERIES = {
     for f in (
         json_source, json_lines, encode_from_struct, struct_dates, encode_from_string, decode_all_roots, blob_path_query, blob_typed_read, blob_source_roundtrip, blob_format, field_lookup,
         path_query, array_index, array_neg_index, read_segments, try_query, kind_filter, as_short, as_int, as_long, as_double, as_string, as_bool, as_byte, as_bigint, as_float, as_bigdec, as_null,
-        strict_reads, number_kinds, match_kinds, classify_numbers, classify_prices, bigdec_parts, reconstruct_numbers, object_entries, array_elements, container_size, array_left_right, cursor_moves,
+        strict_reads, number_kinds, match_kinds, classify_numbers, classify_prices, bigdec_parts, bigint_bytes, reconstruct_numbers, object_entries, array_elements, container_size, array_left_right, cursor_moves,
         khash_keys, khash_buckets, entries_by_khash, nth_key, path_split, shred_nodes, node_paths, spec_paths, shred_pages, shred_refused, streamed_shred, facts_latest, dedup_strings,
         dedup_numbers, value_freq, dedup_arrays, dedup_objects, assign_ids, pack_multi_root, union_dedup, table_listing, summary, root_lookup, aggregate_query, aggregate_roots, deref_join,
         value_lookup, key_join, eager_scan, reconstruct_json, rebuild_nodes, sum_by_key, rewrite_strings, sql_surface, native_shred,
@@ -752,4 +758,7 @@ FROM (WITH RECURSIVE t AS (SELECT spec_id, j.* FROM api_spec, json_tree(CASE WHE
     "aggregate_query": f"WITH {_CLIENT} SELECT c_custkey, 'string' AS kind, '\"' || r_name || '\"' AS json FROM n",
     "aggregate_roots": f"WITH {_CLIENT} SELECT c_custkey, 'object' AS kind, {_REGION} AS json FROM n WHERE c_custkey BETWEEN 1 AND 3",
     "value_lookup": f"WITH {_CLIENT} SELECT 'name' AS key, 'ASIA' AS value, count(DISTINCT r_regionkey) AS objects FROM n WHERE r_name = 'ASIA' GROUP BY ALL",
+    "bigint_bytes": """WITH n AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * o_custkey * 1000003 - CAST(o_custkey AS HUGEINT) * 9876543210 AS n FROM orders),
+b AS (SELECT *, list_filter([1, 2, 3, 4, 5, 6, 7, 8], lambda k: n >= -CAST(pow(2, 8 * k - 1) AS HUGEINT) AND n < CAST(pow(2, 8 * k - 1) AS HUGEINT))[1] AS k FROM n)
+SELECT o_orderkey, lpad(to_hex(CASE WHEN n < 0 THEN n + CAST(pow(2, 8 * k) AS HUGEINT) ELSE n END), CAST(2 * k AS INT), '0') AS stored FROM b""",
 }
