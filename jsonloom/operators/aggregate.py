@@ -56,11 +56,12 @@ class Aggregate:
         Root names must be distinct, NULL counting as one: whatever reads the roots of others fails. Documents that
         can't be read are left out (``unreadable`` lists them). Nodes are written once, parted by kind, so that each
         table reads its own."""
-        nodes = shred(documents, root, body, numeric_mode=numeric_mode, entries=True)
-        unused = ["parent_id", "pos", "key_hash", "n_children"]
-        if dedup and dedup_primitives:  # nothing then depends on where a value stands
+        placed = [] if dedup and dedup_primitives else ["node_id"]  # else nothing depends on where a value stands
+        columns = ["doc", *placed, "depth", "key", *VALUE_COLUMNS, "chash", "height", "entries"]
+        nodes = shred(documents, root, body, numeric_mode=numeric_mode, columns=columns)
+        if not placed:
             nodes = nodes.withColumn("doc", F.when(F.col("depth") == 0, F.col("doc"))).withColumn("node_id", F.lit(None).cast("string"))
-        nodes = stage(nodes.drop(*unused), "nodes", by="kind")
+        nodes = stage(nodes, "nodes", by="kind")
         return Aggregate.of_nodes(nodes, dedup=dedup, dedup_primitives=dedup_primitives)
 
     @staticmethod
@@ -198,11 +199,12 @@ class Aggregate:
         member = F.transform("value", lambda e, i: F.struct(i.alias("i"), e["key"].alias("key"), e["ref"]["kind"].alias("kind"), e["ref"]["ref"].alias("ref")))
         parts = [self._tables[t].select(F.lit(t).alias("up_kind"), F.col("id").alias("up"), "height", F.explode_outer(m).alias("e")) for t, m in (("array", array), ("object", member))]
         entries = parts[0].unionByName(parts[1]).select("up_kind", "up", "height", "e.i", "e.key", "e.kind", "e.ref")
-        staged = stage(entries.withColumn("step", self._step()), "entries", by="step")
-        ready = staged.where("step = 0").withColumn("json", _inline(F.col("kind"), F.col("ref")))
-        scalars = staged.where("step = 1").join(self.scalars(), ["kind", "ref"])
-        solved = stage(ready.select(*_PIECE).unionByName(scalars.select(*_PIECE)), "pieces", by="height")
-        nested = staged.where("step = 2")
+        entries = entries.withColumn("step", self._step())
+        ready = entries.where("step <> 1").withColumn("json", _inline(F.col("kind"), F.col("ref")))
+        scalars = entries.where("step = 1").join(self.scalars(), ["kind", "ref"])  # their exchange of containers is that of ``ready``
+        columns = [*_PIECE, "kind", "ref", "step"]
+        staged = stage(ready.select(*columns).unionByName(scalars.select(*columns)), "pieces", by="height")
+        solved, nested = staged.where("step < 2").select(*_PIECE), staged.where("step = 2").drop("json")
         found: DataFrame | None = None
         for height in sorted(r.height for r in staged.select("height").distinct().collect()):
             pieces = solved.where(F.col("height") == height)

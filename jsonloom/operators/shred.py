@@ -96,13 +96,13 @@ def _scalar(value: Any, mode: str) -> tuple[str, bool | None, int | None, float
     return "string", None, None, None, None, value, value
 
 
-def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bool = False, hashes: bool = True) -> list[tuple]:
+def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bool = False, hashes: bool = True, labels: bool = True) -> list[tuple]:
     """The node rows of a parsed document, in pre-order. node_id is the Dewey label, parent_id that label
     cut by one. chash identifies a value or subtree by content: equal trees have equal hashes whatever the
     order of object keys. ``key`` is an object member's key, ``key_hash`` its hash; ``pos`` the place within the
     parent; ``height`` the levels below. With ``entries`` also what a container holds: of each child key hash, key,
     kind, and the value itself of a small scalar or else its content hash; so no join brings parent and child together.
-    Without ``hashes`` chash is None, which saves half of the time."""
+    Without ``hashes`` chash is None, which saves half of the time; without ``labels`` node_id and parent_id are empty."""
     rows: list[list[Any]] = []
     stack: list[tuple[Any, str, str | None, int, int, str | None, int]] = [(value, "1", None, 0, 0, None, -1)]
     parents: list[int] = []
@@ -115,7 +115,7 @@ def shred_document(doc: str | None, value: Any, mode: str = "exact", entries: bo
             rows.append([doc, label, parent, depth, pos, key, kind, None, None, None, None, None, len(v), None, _key_hash(key)])
             inner = list(v.items()) if kind == "object" else [(None, x) for x in v]
             for i in range(len(inner) - 1, -1, -1):
-                stack.append((inner[i][1], f"{label}.{i + 1}", label, depth + 1, i, inner[i][0], me))
+                stack.append((inner[i][1], f"{label}.{i + 1}" if labels else "", label, depth + 1, i, inner[i][0], me))
         elif isinstance(v, Number) and len(v) < 40:
             kind, b, n, d, big, s, _, chash = _number(str(v), mode)
             rows.append([doc, label, parent, depth, pos, key, kind, b, n, d, big, s, 0, chash, _key_hash(key)])
@@ -169,18 +169,19 @@ def node_paths(rows: list[tuple]) -> list[str]:
 def _shredder(mode: str, strict: bool, names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     paths, entries = "path" in names, "entries" in names
     hashes = entries or "chash" in names
+    labels = paths or "node_id" in names or "parent_id" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    found = shred_document(doc, parse_exact(body), mode, entries, hashes)
+                    found = shred_document(doc, parse_exact(body), mode, entries, hashes, labels)
                 except ValueError:
                     if strict:
                         raise
                     continue
-                deep = len(found) > 1000 and max(r[3] for r in found) > 1000
+                deep = labels and len(found) > 1000 and max(r[3] for r in found) > 1000
                 if deep and rows:  # its labels are long: batches of its own
                     yield node_batch(rows, names)
                     rows = []
