@@ -115,18 +115,25 @@ class ArrayCursor(Cursor):
     rows, or a column (with ``posexplode``, for one) that counts from 0. Where it is a column, as after a move, numbers
     are those that VARIANT holds."""
 
-    def __init__(self, array: Cursor, at: int | Column) -> None:
-        inside = extract.elements(array.value)
+    def __init__(self, array: Cursor, at: int | Column, inside: Column | None = None) -> None:
+        self.inside = extract.elements(array.value) if inside is None else inside
         place = F.lit(at + 1 if at >= 0 else at) if isinstance(at, int) else F.when(at >= 0, at + 1)
-        super().__init__(array._checked(F.try_element_at(inside, place)), (*array.path, at if isinstance(at, int) else "*"), array.strict, array.text)
+        super().__init__(array._checked(F.try_element_at(self.inside, place)), (*array.path, at if isinstance(at, int) else "*"), array.strict, array.text)
         self.array, self.at = array, at
 
+    @staticmethod
+    def over(inside: Column, at: Column) -> ArrayCursor:
+        """A position in an ARRAY column, its elements taken out of the documents before and maybe read already (then
+        ``value`` is all there is to ask for): moves only count, whatever stands in the array. NULL elements are places too."""
+        return ArrayCursor(Cursor(inside), at, inside)
+
     def _moved(self, by: int) -> ArrayCursor:
         if isinstance(self.at, int):
-            at = F.lit(self.at) if self.at >= 0 else F.size(extract.elements(self.array.value)) + self.at
+            at = F.lit(self.at) if self.at >= 0 else F.size(self.inside) + self.at
         else:
             at = self.at
-        return ArrayCursor(self.array, F.when(self.value.isNotNull(), at + by))
+        there = self.value.isNotNull() if self.strict else at.between(0, F.size(self.inside) - 1)
+        return ArrayCursor(self.array, F.when(there, at + by), self.inside)
 
     def left(self) -> ArrayCursor:
         """The element before; nowhere before the first."""

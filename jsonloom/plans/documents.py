@@ -299,11 +299,15 @@ def container_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def array_left_right(spark: SparkSession, d: str) -> DataFrame:
-    """Each line with its neighbours, by cursors that move; within the array, so without an exchange."""
+    """Each line with its neighbours, by cursors that move; within the array, so without an exchange. Each line's part is
+    taken out and read once, not again by each cursor that comes by."""
     docs, c = _order_cursor(spark, d)
-    e = docs.select("o_orderkey", "v", F.posexplode(c.field("lines").elements()).alias("pos", "e"))
-    at = ArrayCursor(Cursor(F.col("v")).field("lines"), F.col("pos"))
-    return e.select("o_orderkey", "pos", *[x.field("part").as_("long").alias(n) for x, n in ((at, "part"), (at.left(), "left"), (at.right(), "right"), (at.right().left(), "back"))])
+    members = docs.select("o_orderkey", F.transform(c.query("lines").elements(), lambda e: Cursor(e).query("part").value).alias("members"))
+    parts = members.select("o_orderkey", F.transform("members", lambda m: Cursor(m).as_("long")).alias("parts"))
+    # outer, as from an inner one Spark infers filters on the array, and works it out in each of them again
+    e = parts.select("o_orderkey", "parts", F.posexplode_outer("parts").alias("pos", "part")).where("pos is not null")
+    at = ArrayCursor.over(F.col("parts"), F.col("pos"))
+    return e.select("o_orderkey", "pos", *[x.value.alias(n) for x, n in ((at, "part"), (at.left(), "left"), (at.right(), "right"), (at.right().left(), "back"))])
 
 
 def cursor_moves(spark: SparkSession, d: str) -> DataFrame:

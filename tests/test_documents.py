@@ -18,6 +18,7 @@ from jsonloom.functions.numbers import classify, exact, from_parts, int_bytes, i
 from jsonloom.functions.paths import parse_path, path_steps, render_path
 from jsonloom.operators.aggregate import dense_ids, document_text, json_of_nodes, rebuild
 from jsonloom.operators.shred import NODES, Number, parse_exact, shred, shred_document, unreadable
+from jsonloom.plans.documents import QUERIES
 from jsonloom.session import fresh_path
 from jsonloom.sources.blob import BlobBuilder, BlobError, BlobReader, decode, encode
 from jsonloom.sources.datasource import BlobDataSource, blob_query, encode_blob, pack_blobs, read_blobs, read_json_files
@@ -86,6 +87,19 @@ def test_cursor_moves(spark):
         one(spark, SHIP, Cursor(F.col("v"), strict=True).field("decks").as_object().kind().alias("x"))
 
 
+def test_moves_over_elements_taken_out_before(spark):
+    df = spark.createDataFrame([([7, None, 9], i) for i in (None, -1, 0, 1, 2, 3)] + [(None, 0), ([], 0)], "a array<int>, i int")
+    here = ArrayCursor.over(F.col("a"), F.col("i"))
+    moves = (here, here.left(), here.right(), here.right().left(), here.left().left().right())
+    none = (None,) * 5
+    assert [tuple(r) for r in df.select(*[m.value for m in moves]).collect()] == [none, none, (7, None, None, 7, None), (None, 7, 9, None, None), (9, None, None, None, None), none, none, none]
+
+
+def test_neighbours_take_lines_out_once(spark, small):
+    plan = QUERIES["array_left_right"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as array<variant>") == 1
+
+
 def test_strict_queries_fail(spark):
     c = Cursor(F.col("v"), strict=True)
     for move in (lambda: c.query("crew.gone").value, lambda: c.field("x").value, lambda: c.query("crew").index(0).value, lambda: c.query("crew.cook.called").as_("int")):
