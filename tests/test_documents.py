@@ -275,6 +275,39 @@ def test_pack_counts_and_reconstruction(spark):
     assert counts["object"] == 2 and counts["array"] == 1 and counts["string"] == 2 and counts["root"] == 1
 
 
+def test_references_say_short_values(spark):
+    """They need no table; longer ones do, also those of rewritten tables and of tables read from a folder."""
+    texts = ["", "'", "''x", "a\x1fb", "é\"\\\n\u0001/", "q" * 21, "q" * 22, "'" + "q" * 21, "z" * 300, "12", "[1]", "\U0001f600" * 21, "\U0001f600" * 22, "a.1"]
+    values = [*texts, 1, 12, 40000, 2**40, -(2**40), 0.5, 0.1, 1.5e-300, 2.5e-7, 2**80, True, None, {}, [], [[]], {"'": ["''"]}]
+    docs = [(str(i), json.dumps(v)) for i, v in enumerate(values)] + [("all", json.dumps(values)), ("twice", json.dumps({"a.1": values, "b": [values, {"\\\"": texts[6]}]}))]
+    df = spark.createDataFrame(docs, "root string, body string")
+    a = Aggregate.pack(df, F.col("root"), F.col("body"))
+    assert all(r.id == str(r.value) for t in ("int", "long", "float", "double") for r in a[t].collect())
+    assert {r.value for r in a["string"].collect() if r.id == "'" + r.value} >= {t for t in texts if len(t) < 22 and "\x1f" not in t}
+    read = fresh_path(spark, "t")
+    a.write(read)
+    for b in (a, Aggregate.read(spark, read), Aggregate(a.tables())):
+        assert {r.doc: json.loads(r.body) for r in b.reconstruct().collect()} == {k: json.loads(t) for k, t in docs}
+    more = {r.doc: json.loads(r.body) for r in a.rewrite("int", lambda c: c + 1).rewrite("string", F.upper).reconstruct().collect()}
+    assert more["all"] == [v + 1 if v == 40000 else v.upper() if isinstance(v, str) else {"'": ["''"]} if v == {"'": ["''"]} else v for v in values]
+
+
+def test_equal_nodes_of_a_batch_are_written_once(spark):
+    df = spark.createDataFrame([(str(i), '{"x":{"y":"low","n":[7,7]},"z":"low"}') for i in range(500)], "root string, body string").coalesce(1)
+    every, once = (shred(df, F.col("root"), F.col("body"), columns=["depth", "kind", "key", "chash", "entries"], once=o).collect() for o in (False, True))
+    assert len(every) == 500 * 7 and len(once) == 500 + 5 and {(r.kind, r.key, r.chash) for r in once} == {(r.kind, r.key, r.chash) for r in every}
+    a = Aggregate.pack(df, F.col("root"), F.col("body"))
+    back = a.reconstruct().collect()
+    assert len(back) == 500 and {json.dumps(json.loads(r.body), sort_keys=True) for r in back} == {json.dumps({"x": {"y": "low", "n": [7, 7]}, "z": "low"}, sort_keys=True)}
+
+
+def test_references_of_old_tables_are_refused(spark):
+    a = Aggregate.pack(spark.createDataFrame([("a", '{"x":[{"y":1}]}')], "root string, body string"), F.col("root"), F.col("body"))
+    cut = {t: df.withColumn("value", F.struct("value.kind", F.regexp_replace("value.ref", r"\..*", "").alias("ref"))) if t == "root" else df for t, df in a.tables().items()}
+    with pytest.raises(PySparkException, match="pack them again"):
+        Aggregate(cut).reconstruct().collect()
+
+
 def test_root_names_are_distinct(spark):
     """Two documents of one name, also NULL, are an error for whoever reads the roots, in one aggregate or two united."""
     for rows in ([("a", "[1]"), ("a", "[2]")], [("a", "1"), ("a", "1")], [(None, "1"), (None, "2")]):
